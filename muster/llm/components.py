@@ -22,7 +22,7 @@ import xxhash
 from muster.plans.lineage import cut
 
 #: With at most so many edges left, one cell holds them all.
-ONE_CELL_EDGES = 30_000
+ONE_CELL_EDGES = 200_000
 #: Edges aimed at per cell; sets how fine the grid is.
 EDGES_PER_CELL = 50_000
 MAX_BLOCKS = 256

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from muster.llm.buckets import bucket_runs
 from muster.llm.components import connected_components
-from muster.llm.shingles import mix, shingle_sets
+from muster.llm.shingles import mix, shingle_runs, shingle_sets
 from muster.plans.lineage import cut
 
 #: Random orders a class is drawn by; each gives 16 bits of its least shingle.
@@ -33,36 +33,38 @@ BUCKET = 128
 MORE_STEPS = 8
 #: Of 64 sketch bits, those that may differ; at similarity 0.5 16 differ on average, standard deviation 3.5.
 FAR_BITS = 25
+#: Pairs this close are of similarity 0.5 or more but for one in a hundred.
+SURE_BITS = 8
 #: Sides of a join up to this many ids are broadcast.
 BROADCAST_IDS = 1_000_000
 
-_MUL = mix(np.arange(1, ORDERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_MUL = (mix(np.arange(1, ORDERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_XOR = (mix(np.arange(1, ORDERS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)).astype(np.uint32)
 _rng = np.random.default_rng(6)
 _PATHS = np.stack([_rng.choice(ORDERS, STEPS, replace=False) for _ in range(RUNS)])
 
 
-def _draws(offs: np.ndarray, sh: np.ndarray) -> np.ndarray:
-    """(texts, ORDERS) 16 bits each of the least shingle by each order; texts without shingles must be left out."""
-    out = np.empty((len(offs) - 1, ORDERS), dtype=np.uint16)
+def _draws(starts: np.ndarray, sh: np.ndarray) -> np.ndarray:
+    """(texts, ORDERS) 16 bits each of the least shingle by each order; sh 32-bit hashes, text after text."""
+    out = np.empty((len(starts), ORDERS), dtype=np.uint16)
     for j in range(ORDERS):
-        least = np.minimum.reduceat(sh * _MUL[j], offs[:-1])
-        out[:, j] = (mix(least) & np.uint64(0xFFFF)).astype(np.uint16)
+        least = np.minimum.reduceat((sh ^ _XOR[j]) * _MUL[j], starts)
+        out[:, j] = mix(least.astype(np.uint64)) & np.uint64(0xFFFF)
     return out
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes are told by the hashes of a text's shingles with their number of times."""
     for batch in batches:
-        offs, sh = shingle_sets(batch.column(1).to_pylist())
-        sizes = np.diff(offs)
-        some = np.flatnonzero(sizes > 0)
-        if not len(some):
-            continue
-        offs = np.r_[offs[:-1][some], offs[-1]]  # texts without shingles take no room between
-        draws = _draws(offs, sh)
-        one = np.add.reduceat(mix(sh ^ np.uint64(0x5851F42D4C957F2D)), offs[:-1])
-        two = np.bitwise_xor.reduceat(mix(sh * np.uint64(0x14057B7EF767814F)), offs[:-1])
-        cid = mix(one ^ mix(two)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(cid), pa.array([x.tobytes() for x in draws], pa.binary())], ["id", "cid", "draws"])
+        for at in range(0, batch.num_rows, 2_000):
+            part = batch.slice(at, 2_000)
+            doc, sh = shingle_runs(part.column(1).to_pylist())
+            if not len(sh):
+                continue
+            starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            draws = _draws(starts, (sh >> np.uint64(32)).astype(np.uint32))
+            cid = mix(np.add.reduceat(mix(sh), starts) ^ mix(np.add.reduceat(sh * (sh | np.uint64(1)), starts))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[starts])), pa.array(cid), pa.array([x.tobytes() for x in draws], pa.binary())], ["id", "cid", "draws"])
 
 
 def _sketch(draws: np.ndarray) -> np.ndarray:
@@ -98,24 +100,36 @@ def _more_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _close(cols: list[np.ndarray], idx: np.ndarray) -> list[np.ndarray]:
-    """Pairs of a bucket whose sketches are close; of coloured rows only those of different colours."""
-    i, j = np.triu_indices(idx.shape[1], 1)
-    a, b = idx[:, i].ravel(), idx[:, j].ravel()
-    apart = np.bitwise_count((cols[2][a] ^ cols[2][b]).view(np.uint64))
-    ok = (apart <= FAR_BITS) & (cols[1][a] != cols[1][b])
+    """Pairs of a bucket whose sketches are close; of coloured rows only those of different colours.
+
+    Where two rows are both very close to an earlier one, their own pair is left out: the links to
+    that one join them.
+    """
+    m = idx.shape[1]
+    sk = cols[2][idx]
+    apart = np.bitwise_count((sk[:, :, None] ^ sk[:, None, :]).view(np.uint64))
+    later = np.triu(np.ones((m, m), bool), 1)
+    ok = (apart <= FAR_BITS) & later
+    if m > 2:
+        sure = ((apart <= SURE_BITS) & later).astype(np.float32)
+        ok &= (sure.transpose(0, 2, 1) @ sure) == 0
+    run, i, j = np.nonzero(ok)
+    x, y = idx[run, i], idx[run, j]
+    ok = cols[1][x] != cols[1][y]
     if len(cols) > 3:
-        ok &= cols[3][a] != cols[3][b]
-    a, b = cols[1][a[ok]], cols[1][b[ok]]
-    return [np.minimum(a, b), np.maximum(a, b), apart[ok].astype(np.int32)]
+        ok &= cols[3][x] != cols[3][y]
+    a, b = cols[1][x[ok]], cols[1][y[ok]]
+    return [np.minimum(a, b), np.maximum(a, b)]
 
 
-_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("apart", pa.int32())])
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_OUT = "big boolean, a long, b long, key long, cid long"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        offs, sh = shingle_sets(batch.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sh[offs[k] : offs[k + 1]].tobytes() for k in range(batch.num_rows)], pa.binary())], ["cid", "shingles"])
+        sets = shingle_sets(batch.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], ["cid", "shingles"])
 
 
 def _similar(threshold: float):
@@ -123,9 +137,10 @@ def _similar(threshold: float):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-                keep.append(both >= threshold * (len(x) + len(y) - both))
+                xy = np.frombuffer(x + y, np.uint32).copy()
+                xy.sort()
+                both = int((xy[1:] == xy[:-1]).sum())
+                keep.append(both >= threshold * (len(xy) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -150,76 +165,53 @@ def near_duplicate_groups(texts: DataFrame, id_col: str, text_col: str, threshol
     signed = cut(rows.mapInArrow(_signatures, f"id {kind}, cid long, draws binary"), "signed")
     classes = signed.groupBy("cid").agg(F.min("id").alias("id"), F.first("draws").alias("draws"))
 
-    keys = classes.select("cid", "draws").mapInArrow(_first_keys, "key long, cid long, sketch long")
-    out = cut(bucket_runs(keys, bucket, _close, _PAIR, [0, 1], "big boolean, a long, b long, apart int, key long, cid long"), "buckets")
-    near = out.where(~F.col("big")).groupBy("a", "b").agg(F.min("apart").alias("apart"))
-    big = out.where("big").select("key", "cid")
-    hubs = big.groupBy("key").agg(F.min("cid").alias("hub"))
-    stars = big.join(hubs, "key").where(F.col("cid") != F.col("hub")).select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"), F.lit(0).alias("apart"))
-    any_big = not big.isEmpty()
-    pairs = cut(near.unionByName(stars.distinct()) if any_big else near, "pairs")
-
-    ends = lambda p: p.select(F.col("a").alias("cid")).unionByName(p.select(F.col("b").alias("cid"))).distinct()
     reps = signed.groupBy("cid").agg(F.min("id").alias("id"))
 
-    def sets_of(p: DataFrame) -> DataFrame:
-        """Whole shingle sets of the classes in p, from the text of each class's least id."""
-        wanted = cut(reps.join(_small(ends(p)), "cid"), "wanted")
+    def bucketed(keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Pairs found in buckets, and rows of buckets over the limit, whose least class is paired with each of the others."""
+        out = cut(bucket_runs(keys, bucket, _close, _PAIR, [0, 1], _OUT), "buckets")
+        near, big = out.where(~F.col("big")).select("a", "b"), out.where("big").select("key", "cid").distinct()
+        if big.isEmpty():
+            return near.distinct(), None
+        hubs = big.groupBy("key").agg(F.min("cid").alias("hub"))
+        stars = big.join(hubs, "key").where(F.col("cid") != F.col("hub")).select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
+        return near.unionByName(stars).distinct(), big
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose whole shingle sets are similar enough; the sets come from the text of each class's least id."""
+        pairs = cut(pairs, "pairs")
+        ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+        wanted = cut(reps.join(_small(cut(ends, "ends")), "cid"), "wanted")
         held = rows.join(_small(wanted), "id").select("cid", "text").mapInArrow(_sets, "cid long, shingles binary")
-        return cut(held.groupBy("cid").agg(F.first("shingles").alias("shingles")), "sets")
-
-    def verified(p: DataFrame, sets: DataFrame) -> DataFrame:
-        one = p.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a")
+        sets = cut(held.groupBy("cid").agg(F.first("shingles").alias("shingles")), "sets")
+        one = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a")
         both = one.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-        return both.mapInArrow(_similar(threshold), "a long, b long")
-
-    both_ways = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "apart").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "apart"))
-    best = both_ways.groupBy("x").agg(F.min(F.struct("apart", "y")).alias("m")).select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b"))
-    if any_big:
-        best = best.unionByName(stars.select("a", "b"))
-    sets = sets_of(pairs)
-    links = [cut(verified(best.distinct(), sets), "links")]
-
-    def coloured(p: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """p's pairs between groups that the links so far leave apart, and the groups."""
-        groups = links[0]
-        for x in links[1:]:
-            groups = groups.unionByName(x)
-        colour = cut(connected_components(groups, "a", "b"), "colours")
-        ca, cb = colour.select(F.col("id").alias("a"), F.col("group_id").alias("ga")), colour.select(F.col("id").alias("b"), F.col("group_id").alias("gb"))
-        apart = p.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
-        return apart, colour
-
-    apart, colour = coloured(pairs)
-    links.append(cut(verified(apart, sets), "links"))
+        return cut(both.mapInArrow(_similar(threshold), "a long, b long"), "links")
 
+    keys = classes.select("cid", "draws").mapInArrow(_first_keys, "key long, cid long, sketch long")
+    pairs, big = bucketed(keys)
+    links = verified(pairs)
     step = 0
-    while any_big:
-        _, colour = coloured(pairs)
-        tinted = big.distinct().join(colour.select(F.col("id").alias("cid"), F.col("group_id").alias("colour")), "cid", "left").withColumn("colour", F.coalesce("colour", "cid"))
+    while big is not None:
+        # Rows of one joined group need no more pairs: what counts is where a bucket mixes groups.
+        step += 1
+        colour = cut(connected_components(links, "a", "b"), "colours")
+        tinted = big.join(colour.select(F.col("id").alias("cid"), F.col("group_id").alias("colour")), "cid", "left").withColumn("colour", F.coalesce("colour", "cid"))
         sizes = cut(tinted.groupBy("key", "colour").agg(F.count(F.lit(1)).alias("n")), "sizes")
         mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "colour")).alias("top")).where("k > 1").select("key", F.col("top.colour").alias("main"))
         tinted = cut(tinted.join(mixed, "key"), "tinted")
         if tinted.isEmpty():
             break
-        step += 1
         if step <= MORE_STEPS:
             source = tinted.select("key", "cid", "colour").join(classes.select("cid", "draws"), "cid").select("key", "cid", "colour", "draws")
-            keys = source.mapInArrow(_more_keys, "key long, cid long, sketch long, colour long")
-            out = cut(bucket_runs(keys, bucket, _close, _PAIR, [0, 1], "big boolean, a long, b long, apart int, key long, cid long"), "buckets")
-            big = out.where("big").select("key", "cid")
-            hubs = big.groupBy("key").agg(F.min("cid").alias("hub"))
-            stars = big.join(hubs, "key").where(F.col("cid") != F.col("hub")).select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
-            more = cut(out.where(~F.col("big")).select("a", "b").unionByName(stars).distinct(), "pairs")
-            any_big = not big.isEmpty()
-        else:  # what still mixes is compared with all of its bucket, the largest group's members only with the others
+            pairs, big = bucketed(source.mapInArrow(_more_keys, "key long, cid long, sketch long, colour long"))
+        else:  # what still mixes is compared with all of its bucket, the largest group's rows only with the others
             rest = tinted.where(F.col("colour") != F.col("main")).select("key", F.col("cid").alias("x"), F.col("colour").alias("cx"))
-            more = cut(tinted.join(rest, "key").where(F.col("colour") != F.col("cx")).select(F.least("cid", "x").alias("a"), F.greatest("cid", "x").alias("b")).distinct(), "pairs")
-            any_big = False
-        more, _ = coloured(more)
-        links.append(cut(verified(more, sets_of(more)), "links"))
+            pairs = tinted.join(rest, "key").where(F.col("colour") != F.col("cx")).select(F.least("cid", "x").alias("a"), F.greatest("cid", "x").alias("b")).distinct()
+            big = None
+        links = links.unionByName(verified(pairs))
 
-    _, colour = coloured(pairs)
+    colour = connected_components(links, "a", "b")
     named = signed.select("id", "cid").distinct().join(colour.select(F.col("id").alias("cid"), F.col("group_id").alias("g")), "cid", "left").withColumn("g", F.coalesce("g", "cid"))
     named = cut(named.select("id", "g"), "named")
     groups = named.groupBy("g").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1")

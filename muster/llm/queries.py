@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from muster.llm.canonical import map_places
 from muster.llm.components import match_groups
+from muster.llm.names import name_variants
 from muster.llm.near_duplicates import near_duplicate_groups
 from muster.llm.vectors import similar_pairs
 from muster.session import table
@@ -22,9 +24,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_groups(table(spark, sf_dir, "comment_matches"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return map_places(table(spark, sf_dir, "comments"), table(spark, sf_dir, "places"), table(spark, sf_dir, "states"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "comments"), "id", "text", threshold=0.5)
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants(table(spark, sf_dir, "comments"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p6_found, p7_found)}

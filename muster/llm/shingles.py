@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -34,24 +35,27 @@ class _Words(dict):
 _HASH = _Words()
 
 
-def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, hashes): the sorted distinct hashes of each text's runs of WIDTH words; none for fewer words."""
+def shingle_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(document numbers, hashes): the hash of each run of WIDTH words, in the order of the texts."""
     words = [WORD.findall(t.lower()) for t in texts]
     counts = np.array([len(w) for w in words], dtype=np.int64)
     total = int(counts.sum())
-    get = _HASH.__getitem__
-    flat = np.fromiter((get(x) for w in words for x in w), dtype=np.uint64, count=total)
     if total < WIDTH:
-        return np.zeros(len(texts) + 1, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+    flat = np.fromiter(map(_HASH.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=total)
     sh = np.zeros(total - WIDTH + 1, dtype=np.uint64)
     for k in range(WIDTH):
         sh += flat[k : k + len(sh)] * _MULT[k]
-    sh = mix(sh)
     doc = np.repeat(np.arange(len(texts)), counts)
     inside = doc[: len(sh)] == doc[WIDTH - 1 :]
-    sh, doc = sh[inside], doc[: len(inside)][inside]
-    order = np.lexsort((sh, doc))
-    sh, doc = sh[order], doc[order]
-    first = np.r_[True, (sh[1:] != sh[:-1]) | (doc[1:] != doc[:-1])] if len(sh) else np.empty(0, bool)
-    sh, doc = sh[first], doc[first]
-    return np.r_[0, np.cumsum(np.bincount(doc, minlength=len(texts)))], sh
+    return doc[: len(inside)][inside], mix(sh[inside])
+
+
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """The sorted distinct 32-bit hashes of each text's runs of WIDTH words; none for fewer words."""
+    doc, sh = shingle_runs(texts)
+    both = np.sort((doc.astype(np.uint64) << np.uint64(32)) | (sh >> np.uint64(32)))
+    both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+    ends = np.searchsorted(both, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(32))
+    low = both.astype(np.uint32)
+    return [low[a:b] for a, b in zip(ends[:-1], ends[1:])]
