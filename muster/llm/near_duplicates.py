@@ -53,18 +53,22 @@ def _draws(starts: np.ndarray, sh: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(min_chars: int):
     """Classes are told by the hashes of a text's shingles with their number of times."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2_000):
-            part = batch.slice(at, 2_000)
-            doc, sh = shingle_runs(part.column(1).to_pylist())
-            if not len(sh):
-                continue
-            starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-            draws = _draws(starts, (sh >> np.uint64(32)).astype(np.uint32))
-            cid = mix(np.add.reduceat(mix(sh), starts) ^ mix(np.add.reduceat(sh * (sh | np.uint64(1)), starts))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[starts])), pa.array(cid), pa.array([x.tobytes() for x in draws], pa.binary())], ["id", "cid", "draws"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
+                part = batch.slice(at, 2_000)
+                doc, sh = shingle_runs([t if len(t.strip()) >= min_chars else "" for t in part.column(1).to_pylist()])
+                if not len(sh):
+                    continue
+                starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+                draws = _draws(starts, (sh >> np.uint64(32)).astype(np.uint32))
+                cid = mix(np.add.reduceat(mix(sh), starts) ^ mix(np.add.reduceat(sh * (sh | np.uint64(1)), starts))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[starts])), pa.array(cid), pa.array([x.tobytes() for x in draws], pa.binary())], ["id", "cid", "draws"])
+
+    return run
 
 
 def _sketch(draws: np.ndarray) -> np.ndarray:
@@ -161,8 +165,8 @@ def near_duplicate_groups(texts: DataFrame, id_col: str, text_col: str, threshol
     """
     kind = texts.select(id_col).dtypes[0][1]
     rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    rows = rows.where(F.length(F.regexp_replace("text", r"(?U)^\s+|\s+$", "")) >= min_chars)
-    signed = cut(rows.mapInArrow(_signatures, f"id {kind}, cid long, draws binary"), "signed")
+    rows = rows.where(F.length("text") >= min_chars)
+    signed = cut(rows.mapInArrow(_signatures(min_chars), f"id {kind}, cid long, draws binary"), "signed")
     classes = signed.groupBy("cid").agg(F.min("id").alias("id"), F.first("draws").alias("draws"))
 
     reps = signed.groupBy("cid").agg(F.min("id").alias("id"))

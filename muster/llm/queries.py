@@ -10,6 +10,7 @@ from muster.llm.canonical import map_places
 from muster.llm.components import match_groups
 from muster.llm.names import name_variants
 from muster.llm.near_duplicates import near_duplicate_groups
+from muster.llm.pii import find_personal_data, redact_texts
 from muster.llm.vectors import similar_pairs
 from muster.session import table
 
@@ -28,6 +29,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_places(table(spark, sf_dir, "comments"), table(spark, sf_dir, "places"), table(spark, sf_dir, "states"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "comments"), "id", "text").select("id", "kind", "start_pos")
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact_texts(table(spark, sf_dir, "comments").select("id", "text").distinct(), "id", "text")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "comments"), "id", "text", threshold=0.5)
 
@@ -37,4 +46,4 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p6_found, p7_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p5_redacted, p6_found, p7_found)}
