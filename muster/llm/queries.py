@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from muster.llm.canonical import map_places
 from muster.llm.components import match_groups
+from muster.llm.mixing import mix, mixture_shares
 from muster.llm.names import name_variants
 from muster.llm.near_duplicates import near_duplicate_groups
+from muster.llm.packing import CAPACITY, pack, token_counts
 from muster.llm.pii import find_personal_data, redact_texts
+from muster.llm.ranking import robust_ranking
+from muster.llm.subjects import document_subjects
 from muster.llm.vectors import similar_pairs
 from muster.session import table
 
@@ -29,6 +33,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_places(table(spark, sf_dir, "comments"), table(spark, sf_dir, "places"), table(spark, sf_dir, "states"))
 
 
+def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = ("duplicate", "temporal_coupling", "stylometric", "argument_identity", "ai_detection", "paraphrase_reachable")
+    scores = {p: F.col(f"score_breakdown.{p}") for p in parts} | {"campaign_score": F.col("campaign_score")}
+    return robust_ranking(table(spark, sf_dir, "clusters"), ["run_id", "cluster_id"], scores)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "comments"), "id", "text").select("id", "kind", "start_pos")
 
@@ -45,5 +55,33 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_variants(table(spark, sf_dir, "comments"))
 
 
+def _sizes(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", keep=list(keep))
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_sizes(spark, sf_dir), "id", "n_tokens", CAPACITY).withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the contexts are: containers, tokens, the least possible containers, share of room used."""
+    packed = pack(_sizes(spark, sf_dir), "id", "n_tokens", CAPACITY)
+    boxes = packed.groupBy("container").agg(F.sum("n_tokens").alias("t"))
+    return boxes.agg(F.count(F.lit(1)).alias("containers"), F.sum("t").alias("tokens"), F.ceil(F.sum("t") / CAPACITY).alias("least_containers"), F.round(F.sum("t") / (F.count(F.lit(1)) * CAPACITY), 6).alias("fill"), F.max("t").alias("fullest"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_sizes(spark, sf_dir, "source"), table(spark, sf_dir, "mix_targets")).withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes, targets = _sizes(spark, sf_dir, "source"), table(spark, sf_dir, "mix_targets")
+    return mixture_shares(sizes, targets, mix(sizes, targets))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p5_redacted, p6_found, p7_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_ranking, p5_found, p5_redacted, p6_found, p7_found, p8_packed, p8_fill, p9_mixture, p9_shares, p10_found)}
