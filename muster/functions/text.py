@@ -124,3 +124,9 @@ def entropy(counts: Column) -> Column:
 def finite(c: Column) -> Column:
     v = c.cast("double")
     return F.when(F.isnan(v) | (F.abs(v) == F.lit(float("inf"))), None).otherwise(v)
+
+
+def finite_or_large(c: Column) -> Column:
+    """c with NaN as null; infinite values stay."""
+    v = c.cast("double")
+    return F.when(F.isnan(v), None).otherwise(v)

@@ -255,10 +255,10 @@ def wn9_batches(t: Tables) -> DataFrame:
     return sized.mapInPandas(run, "id string, n_tokens int, batch long")
 
 
-@query(f", {SHINGLES} SELECT id, unnest(g) AS shingle FROM sh WHERE len(g) <= 40")
-def wn10_shingle_windows(t: Tables) -> DataFrame:
-    g = T.shingles(F.col("text"))
-    return t.tx.select("id", g.alias("g")).where(F.size("g") <= 40).select("id", F.explode("g").alias("shingle"))
+@query(f", {SHINGLES} SELECT shingle, count(*) AS n FROM (SELECT unnest(g) AS shingle FROM sh) GROUP BY 1 HAVING count(*) >= 2")
+def wn10_shared_shingles(t: Tables) -> DataFrame:
+    """Shingles that more than one text has."""
+    return t.tx.select(F.explode(T.shingles(F.col("text"))).alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
 @query("SELECT run_id, cluster, count(*) AS n FROM lab WHERE cluster <> -1 GROUP BY 1, 2 HAVING n >= 15 ORDER BY n DESC, run_id, cluster LIMIT 30")

@@ -1 +1,147 @@
-"""..."""
+"""Style features (ST), the style signal (AG9) and surprisal (ML13, AG12, AG13)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window, functions as F
+
+from muster.functions import text as T
+from muster.functions.fixed import DISCOURSE_MARKERS, FUNCTION_WORDS, GENERATED_WORDS, MARKS
+from muster.operators import style
+from muster.suite.base import Tables, query, view
+from muster.suite.text import zlib_ratio
+
+BY = ["run_id", "cluster"]
+_quoted = lambda ws: ", ".join("'" + w.replace("'", "''") + "'" for w in ws)
+_marks = ", ".join(f"length(text) - length(replace(text, '{m.replace(chr(39), chr(39) * 2)}', ''))" for m in MARKS)
+FEATS = rf"""wd AS (SELECT id, text, regexp_extract_all(lower(text), '\p{{L}}+') AS w, list_transform(list_filter(string_split_regex(text, '[.!?]+[\s\x{{00A0}}]+'), s -> regexp_replace(s, '^[\s\x{{00A0}}]+|[\s\x{{00A0}}]+$', '', 'g') <> ''), s -> len(regexp_extract_all(lower(s), '\p{{L}}+'))::DOUBLE) AS sl, [{_marks}] AS mk FROM tx),
+wn AS (SELECT *, len(w)::DOUBLE AS n, greatest(1.0, len(sl)::DOUBLE) AS sn, list_avg(sl) AS sm, sqrt(list_avg(list_transform(sl, x -> (x - list_avg(sl)) * (x - list_avg(sl))))) AS sd, list_sum(list_transform(w, x -> length(x)))::DOUBLE AS letters, list_sum(list_transform(w, x -> greatest(1, len(regexp_extract_all(x, '[aeiouy]+')))))::DOUBLE AS syl, len(list_filter(w, x -> len(regexp_extract_all(x, '[aeiouy]+')) >= 3))::DOUBLE AS hard, list_sum(mk)::DOUBLE AS mt FROM wd WHERE len(w) > 0),
+ft AS (SELECT id, CASE WHEN len(sl) < 2 OR sd + sm = 0 THEN 0.0 ELSE (sd - sm) / (sd + sm) END AS burstiness_sent, CASE WHEN len(sl) < 2 OR sm = 0 THEN 0.0 ELSE sd / sm END AS sent_len_cv, len(list_distinct(w)) / n AS ttr, letters / n AS avg_word_len,
+ CASE WHEN mt > 0 THEN -list_sum(list_transform(list_filter(mk, x -> x > 0), x -> x / mt * log2(x / mt))) ELSE 0.0 END AS punct_entropy, (length(text) - length(replace(text, '—', ''))) / n AS emdash_rate, 0.39 * n / sn + 11.8 * syl / n - 15.59 AS flesch_kincaid, 5.8 * letters / n - 29.6 * sn / n - 15.8 AS coleman_liau, 0.4 * (n / sn + 100 * hard / n) AS gunning_fog,
+ len(list_filter(w, x -> x IN ({_quoted(DISCOURSE_MARKERS)}))) / n AS discourse_marker_rate, len(list_filter(w, x -> x IN ({_quoted(GENERATED_WORDS)}))) / n AS llmism_rate FROM wn)"""
+
+
+@view
+def feats(t: Tables) -> DataFrame:
+    return style.features(t.tx.select("id", "text"))
+
+
+_ROW_FEATURES = {"st1_burstiness_sent": "burstiness_sent", "st2_sent_len_cv": "sent_len_cv", "st6_ttr": "ttr", "st7_avg_word_len": "avg_word_len", "st9_punct_entropy": "punct_entropy", "st10_emdash_rate": "emdash_rate", "st12_flesch_kincaid": "flesch_kincaid", "st13_coleman_liau": "coleman_liau", "st14_gunning_fog": "gunning_fog", "st17_discourse_marker_rate": "discourse_marker_rate", "st18_llmism_rate": "llmism_rate"}
+
+
+def _feature(col: str):
+    return lambda t: t.feats.select("id", F.round(col, 6).alias(col))
+
+
+for _key, _col in _ROW_FEATURES.items():
+    query(f", {FEATS} SELECT id, round({_col}, 6) AS {_col} FROM ft", name=_key)(_feature(_col))
+
+COUNTS = r"wc AS (SELECT id, w, count(*) AS c FROM (SELECT id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM tx) GROUP BY 1, 2)"
+
+
+@query()
+def st3_mtld(t: Tables) -> DataFrame:
+    return t.feats.select("id", style.mtld("w").alias("mtld"))
+
+
+@query(f", {COUNTS} SELECT id, round(10000 * (sum(c * c) - sum(c)) / (sum(c) * sum(c)), 6) AS yule_k FROM wc GROUP BY 1 HAVING sum(c) >= 10")
+def st4_yule_k(t: Tables) -> DataFrame:
+    n = style.word_counts(t.tx.select("id", "text")).groupBy("id").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q")).where("n >= 10")
+    return n.select("id", F.round(10000 * (F.col("q") - F.col("n")) / (F.col("n") * F.col("n")), 6).alias("yule_k"))
+
+
+@query(f", {COUNTS} SELECT id, round(sum(CASE WHEN c = 1 THEN 1 ELSE 0 END) / count(*), 6) AS hapax_ratio FROM wc GROUP BY 1")
+def st5_hapax(t: Tables) -> DataFrame:
+    return style.word_counts(t.tx.select("id", "text")).groupBy("id").agg(F.round(F.sum(F.when(F.col("c") == 1, 1).otherwise(0)) / F.count(F.lit(1)), 6).alias("hapax_ratio"))
+
+
+@query("SELECT id, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) AS entropy FROM (SELECT id, g, count(*) AS c FROM (SELECT id, unnest(list_transform(range(1, length(text) - 1), i -> substring(lower(text), i, 3))) AS g FROM tx) GROUP BY 1, 2) GROUP BY 1")
+def st8_trigram_entropy(t: Tables) -> DataFrame:
+    grams = T.let(F.lower("text"), lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.substring(x, i, F.lit(3))))
+    n = t.tx.select("id", F.explode(grams).alias("g")).groupBy("id", "g").agg(F.count(F.lit(1)).alias("c"))
+    return n.groupBy("id").agg(F.round(F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c"), 6).alias("entropy"))
+
+
+FWL = f"({_quoted(FUNCTION_WORDS)})"
+
+
+@query(rf", wl AS (SELECT id, docket_id, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS w FROM tx), dn AS (SELECT docket_id, count(*) AS dn FROM wl GROUP BY 1), rt AS (SELECT docket_id, w, count(*) / any_value(dn) AS p FROM wl JOIN dn USING (docket_id) WHERE w IN {FWL} GROUP BY 1, 2), sz AS (SELECT id, docket_id, count(*) AS n FROM wl GROUP BY 1, 2), o AS (SELECT id, w, count(*) AS o FROM wl WHERE w IN {FWL} GROUP BY 1, 2) SELECT sz.id, round(sum(CASE WHEN p * n > 0.5 THEN pow(coalesce(o.o, 0) - p * n, 2) / (p * n) ELSE 0 END), 5) AS chi2 FROM sz JOIN rt USING (docket_id) LEFT JOIN o ON o.id = sz.id AND o.w = rt.w GROUP BY 1")
+def st11_function_word_chi2(t: Tables) -> DataFrame:
+    return style.function_word_chi2(t.tx.select("id", "docket_id", "text"), "docket_id").select("id", F.round("chi2", 5).alias("chi2"))
+
+
+@query()
+def st15_clause_depth(t: Tables) -> DataFrame:
+    """Depth of clauses by commas and brackets, in place of a parser's: one more than the most in a sentence, at most 200."""
+    depth = F.transform(T.sentences(F.col("text")), lambda s: F.least(F.lit(200), 1 + F.length(s) - F.length(F.regexp_replace(s, r"[,;(\[]", ""))).cast("double"))
+    return t.tx.select("id", depth.alias("d")).where(F.size("d") > 0).select("id", (F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / F.size("d")).alias("depth"))
+
+
+@query()
+def st16_pos_entropy(t: Tables) -> DataFrame:
+    return t.feats.select("id", style.pos_entropy("w").alias("pos_entropy"))
+
+
+@query()
+def st19_zlib_ratio(t: Tables) -> DataFrame:
+    return t.tx.select("id", zlib_ratio("text").alias("zlib_ratio"))
+
+
+@query(rf", wl AS (SELECT docket_id, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS w FROM tx) SELECT docket_id, w AS word, round(count(*) / (SELECT count(*) FROM wl b WHERE b.docket_id = a.docket_id), 9) AS rate FROM wl a WHERE w IN {FWL} GROUP BY 1, 2")
+def st20_baseline(t: Tables) -> DataFrame:
+    words = t.tx.select("docket_id", F.explode(T.words(F.col("text"))).alias("word")).groupBy("docket_id", "word").agg(F.count(F.lit(1)).alias("c"))
+    n = F.sum("c").over(Window.partitionBy("docket_id"))
+    return words.withColumn("rate", F.round(F.col("c") / n, 9)).where(F.col("word").isin(*FUNCTION_WORDS)).select("docket_id", "word", "rate")
+
+
+IMPUTE = "im AS (SELECT DISTINCT run_id, cluster_id, CASE WHEN isnan(score_breakdown.paraphrase_reachable) OR isinf(score_breakdown.paraphrase_reachable) THEN NULL ELSE score_breakdown.paraphrase_reachable END AS v FROM clusters)"
+
+
+@query(f", {IMPUTE} SELECT run_id, cluster_id, coalesce(v, (SELECT median(v) FROM im)) AS v FROM im")
+def st21_imputed(t: Tables) -> DataFrame:
+    c = t.clusters.select("run_id", "cluster_id", T.finite(F.col("score_breakdown.paraphrase_reachable")).alias("v")).distinct()
+    return style.impute(c, ["v"])
+
+
+STYLE_COLS = ["sent_len_cv", "ttr", "avg_word_len", "punct_entropy", "gunning_fog"]
+
+
+@query(f", {FEATS} SELECT id, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / (stddev_pop({c}) OVER () + 1e-9), 5) AS {c}" for c in STYLE_COLS) + " FROM ft")
+def st22_standardised(t: Tables) -> DataFrame:
+    return style.standardise(t.feats.select("id", *STYLE_COLS), STYLE_COLS).select("id", *[F.round(c, 5).alias(c) for c in STYLE_COLS])
+
+
+TIGHT = f"{FEATS}, z AS (SELECT id, " + ", ".join(f"({c} - avg({c}) OVER ()) / (stddev_pop({c}) OVER () + 1e-9) AS {c}" for c in STYLE_COLS) + " FROM ft), lg AS (" + " UNION ALL ".join(f"SELECT run_id, cluster, '{c}' AS f, {c} AS x FROM z JOIN lab USING (id)" for c in STYLE_COLS) + "), cl AS (SELECT run_id, cluster, f, count(*) AS n, greatest(1e-9, var_pop(x)) AS v FROM lg WHERE cluster <> -1 GROUP BY 1, 2, 3 HAVING count(*) >= 3), rs AS (SELECT c.run_id, c.cluster, c.f, any_value(c.n) AS n, any_value(c.v) AS v, CASE WHEN count(*) FILTER (WHERE l.cluster <> c.cluster) < 5 THEN var_pop(l.x) ELSE var_pop(l.x) FILTER (WHERE l.cluster <> c.cluster) END AS b FROM cl c JOIN lg l ON l.run_id = c.run_id AND l.f = c.f GROUP BY 1, 2, 3)"
+
+
+@query(f", {TIGHT} SELECT run_id, cluster, any_value(n) AS n, round(least(1.0, any_value(n) / 20.0) * greatest(0.0, least(0.95, 1 - exp(avg(ln(sqrt(v / greatest(1e-6, b)) + 0.01))))), 3) AS style_score FROM rs GROUP BY 1, 2")
+def ag9_style(t: Tables) -> DataFrame:
+    z = style.standardise(t.feats.select("id", *STYLE_COLS), STYLE_COLS)
+    return style.tightness(z.join(t.lab, "id"), STYLE_COLS).select(*BY, "n", F.round("style_score", 3).alias("style_score"))
+
+
+SURP = r"ws AS (SELECT id, unnest(list_zip(range(0, len(w)), w)) AS e FROM (SELECT id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM tx)), wp AS (SELECT id, e[1] AS pos, e[2] AS word, coalesce(lag(e[2]) OVER (PARTITION BY id ORDER BY e[1]), '^') AS prev FROM ws), cp AS (SELECT prev, word, count(*) AS cp FROM wp GROUP BY 1, 2), cw AS (SELECT prev, count(*) AS cw FROM wp GROUP BY 1), vv2 AS (SELECT count(DISTINCT word) AS v FROM cp), sp AS (SELECT id, pos, -log2((cp + 0.1) / (cw + 0.1 * v)) AS s FROM wp JOIN cp USING (prev, word) JOIN cw USING (prev), vv2)"
+
+
+@query(f", {SURP} SELECT id, count(*) AS n, round(avg(s), 6) AS mean_surprisal FROM sp GROUP BY 1")
+def ml13_surprisal(t: Tables) -> DataFrame:
+    return style.surprisal(t.tx.select("id", "text")).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 6).alias("mean_surprisal"))
+
+
+@query(f", {SURP}, d AS (SELECT *, s - lag(s) OVER w AS d1, s - 2 * lag(s) OVER w + lag(s, 2) OVER w AS d2 FROM sp WINDOW w AS (PARTITION BY id ORDER BY pos)) SELECT id, round(avg(s), 5) AS s_mean, round(var_pop(s), 5) AS s_var, round(avg(d1), 5) AS d1_mean, round(var_pop(d1), 5) AS d1_var, round(var_pop(d2), 5) AS d2_var FROM d GROUP BY 1 HAVING count(*) >= 4")
+def ag12_surprisal_features(t: Tables) -> DataFrame:
+    f = style.surprisal_features(style.surprisal(t.tx.select("id", "text")))
+    return f.select("id", *[F.round(c, 5).alias(c) for c in ("s_mean", "s_var", "d1_mean", "d1_var", "d2_var")])
+
+
+@query()
+def wn3_autocorrelation(t: Tables) -> DataFrame:
+    return style.surprisal_features(style.surprisal(t.tx.select("id", "text"))).select("id", "s_skew", "s_kurt", "d2_ac")
+
+
+@query()
+def ag13_generated_score(t: Tables) -> DataFrame:
+    """How much less each cluster's surprisal features vary than its run's, with label."""
+    cols = ["s_mean", "s_var", "d1_var", "d2_var"]
+    f = style.surprisal_features(style.surprisal(t.tx.select("id", "text"))).select("id", *cols)
+    s = style.tightness(style.standardise(f, cols).join(t.lab, "id"), cols, full_size=15.0)
+    return s.select(*BY, F.col("style_score").alias("ai_score"), F.when(F.col("style_score") > 0.6, "ai_likely").when(F.col("style_score") > 0.3, "uncertain").otherwise("human_likely").alias("label"))
