@@ -57,3 +57,28 @@ def cluster_scan(events: DataFrame, least: int = 3) -> DataFrame:
         return pd.DataFrame({**key, "lambda_star": [lam], "start_us": [t[i]], "end_us": [t[j]], "peak_count": [j - i + 1 if lam > 0 else 0], "tcs": [1 - math.exp(-lam / n)], "p": [0.5 * math.erfc(math.sqrt(lam))]})
 
     return rows.groupBy("run_id", "cluster").applyInPandas(run, "run_id long, cluster int, n long, lambda_star double, start_us long, end_us long, peak_count long, tcs double, p double")
+
+
+def count_windows(events: DataFrame, least: int = 3) -> DataFrame:
+    """(run_id, cluster, n_windows, n_dense): windows between a cluster's times, and those with more than expected."""
+    ranked = ranks_in(events, "run_id", "us")
+    span = events.groupBy("run_id").agg(F.count(F.lit(1)).alias("m"), (F.max("us") - F.min("us")).alias("span"))
+    rows = ranked.where("cluster <> -1").join(F.broadcast(span), "run_id").select("run_id", "cluster", "us", "lo", "hi", "m", "span")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("us", kind="stable")
+        n, m = len(pdf), int(pdf["m"].iloc[0])
+        t, lo, hi = pdf["us"].to_numpy(), pdf["lo"].to_numpy(), pdf["hi"].to_numpy()
+        last = np.searchsorted(t, t + LONGEST * int(pdf["span"].iloc[0]), side="right") - 1
+        windows = dense = 0
+        for i in range(n):
+            j = np.arange(i, last[i] + 1)
+            k, mu = (j - i + 1).astype(float), n * (hi[j] - lo[i]) / m
+            windows += len(j)
+            ok = (k > mu) & (k < n) & (mu > 0) & (mu < n)
+            with np.errstate(all="ignore"):
+                dense += int((np.where(ok, k * np.log(k / mu) + (n - k) * np.log((n - k) / (n - mu)), 0) > 0).sum())
+        out = pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "cluster": [pdf["cluster"].iloc[0]], "n_windows": [windows], "n_dense": [dense]})
+        return out if n >= least else out.iloc[:0]
+
+    return rows.groupBy("run_id", "cluster").applyInPandas(run, "run_id long, cluster int, n_windows long, n_dense long")

@@ -139,11 +139,11 @@ def tightness(df: DataFrame, cols: list[str], full_size: float = 20.0) -> DataFr
     long = df.select(*BY, F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("x")) for c in cols])).alias("e")).select(*BY, "e.f", "e.x")
     part = long.groupBy(*BY, "f").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
     w = Window.partitionBy("run_id", "f")
-    part = part.withColumn("N", F.sum("n").over(w)).withColumn("S", F.sum("s").over(w)).withColumn("Q", F.sum("q").over(w))
+    part = part.withColumn("run_n", F.sum("n").over(w)).withColumn("run_s", F.sum("s").over(w)).withColumn("run_q", F.sum("q").over(w))
     part = part.where("cluster <> -1 AND n >= 3")
     var = lambda q, s, n: q / n - (s / n) * (s / n)
     c = F.col
-    rest = F.when(c("N") - c("n") < 5, var(c("Q"), c("S"), c("N"))).otherwise(var(c("Q") - c("q"), c("S") - c("s"), c("N") - c("n")))
+    rest = F.when(c("run_n") - c("n") < 5, var(c("run_q"), c("run_s"), c("run_n"))).otherwise(var(c("run_q") - c("q"), c("run_s") - c("s"), c("run_n") - c("n")))
     ratio = F.greatest(F.lit(1e-9), var(c("q"), c("s"), c("n"))) / F.greatest(F.lit(1e-6), rest)
     part = part.withColumn("ratio", ratio)
     out = part.groupBy(*BY).agg(F.first("n").alias("n"), F.avg(F.log(F.sqrt("ratio") + 0.01)).alias("log"), F.sum(F.log("ratio")).alias("logs"), F.median("ratio").alias("median_ratio"))

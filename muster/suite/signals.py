@@ -8,7 +8,7 @@ from muster.functions import text as T
 from muster.functions.fixed import CAMPAIGN, WEIGHTS
 from muster.operators import clusters as C
 from muster.operators import graph
-from muster.operators.scan import cluster_scan
+from muster.operators.scan import cluster_scan, count_windows
 from muster.suite.base import Tables, query, view
 from muster.suite.relational import KEY, META, RESOLVED, registry, resolved
 from muster.suite.text import ARGS, VEC
@@ -149,6 +149,13 @@ def argument_pairs(t: Tables) -> DataFrame:
     return a.join(b, BY).where("id_a < id_b").select(*BY, C.argument_identity("a", "b").alias("s"))
 
 
+@query(f", {SCAN} SELECT run_id, cluster, count(*) AS n_windows, sum(CASE WHEN lam > 0 THEN 1 ELSE 0 END)::BIGINT AS n_dense FROM l GROUP BY 1, 2")
+def j16_windows(t: Tables) -> DataFrame:
+    """How many windows of a cluster are looked at, and how many of them hold more than expected."""
+    us = F.unix_micros(F.col("posted_date").cast("timestamp"))
+    return count_windows(t.cc.where("posted_date IS NOT NULL").select("run_id", "cluster", us.alias("us")))
+
+
 @query(f", {ARG15} SELECT run_id, cluster, count(*) AS n_pairs, round(sum(s), 6) AS total FROM pr GROUP BY 1, 2")
 def sc1_argument_identity(t: Tables) -> DataFrame:
     return t.argument_pairs.groupBy(*BY).agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.sum("s"), 6).alias("total"))
@@ -306,6 +313,14 @@ def ml1_minhash(t: Tables) -> DataFrame:
     return C.minhash(t.tx.select("id", T.shingles(F.col("text")).alias("g")), "id", "g").select("id", F.element_at("sig", 1).alias("s1"), F.element_at("sig", 126).alias("s126"))
 
 
+@query()
+def j7_band_collisions(t: Tables) -> DataFrame:
+    """(id, n): with how many bands each text collides with another text."""
+    bands = C.bands(C.minhash(t.tx.select("id", T.shingles(F.col("text")).alias("g")), "id", "g"), "id", 14, 9)
+    hit = bands.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k >= 2")
+    return bands.join(hit, "band").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def ml2_lsh_pairs(t: Tables) -> DataFrame:
     """How many texts each text shares a band with, by bands of nine of 126 least hashes."""

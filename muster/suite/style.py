@@ -113,10 +113,10 @@ def st22_standardised(t: Tables) -> DataFrame:
 TIGHT = f"{FEATS}, z AS (SELECT id, " + ", ".join(f"({c} - avg({c}) OVER ()) / (stddev_pop({c}) OVER () + 1e-9) AS {c}" for c in STYLE_COLS) + " FROM ft), lg AS (" + " UNION ALL ".join(f"SELECT run_id, cluster, '{c}' AS f, {c} AS x FROM z JOIN lab USING (id)" for c in STYLE_COLS) + "), cl AS (SELECT run_id, cluster, f, count(*) AS n, greatest(1e-9, var_pop(x)) AS v FROM lg WHERE cluster <> -1 GROUP BY 1, 2, 3 HAVING count(*) >= 3), rs AS (SELECT c.run_id, c.cluster, c.f, any_value(c.n) AS n, any_value(c.v) AS v, CASE WHEN count(*) FILTER (WHERE l.cluster <> c.cluster) < 5 THEN var_pop(l.x) ELSE var_pop(l.x) FILTER (WHERE l.cluster <> c.cluster) END AS b FROM cl c JOIN lg l ON l.run_id = c.run_id AND l.f = c.f GROUP BY 1, 2, 3)"
 
 
-@query(f", {TIGHT} SELECT run_id, cluster, any_value(n) AS n, round(least(1.0, any_value(n) / 20.0) * greatest(0.0, least(0.95, 1 - exp(avg(ln(sqrt(v / greatest(1e-6, b)) + 0.01))))), 3) AS style_score FROM rs GROUP BY 1, 2")
+@query(f", {TIGHT} SELECT run_id, cluster, any_value(n) AS n, round(least(1.0, any_value(n) / 20.0) * greatest(0.0, least(0.95, 1 - exp(avg(ln(sqrt(v / greatest(1e-6, b)) + 0.01))))), 4) AS style_score FROM rs GROUP BY 1, 2")
 def ag9_style(t: Tables) -> DataFrame:
     z = style.standardise(t.feats.select("id", *STYLE_COLS), STYLE_COLS)
-    return style.tightness(z.join(t.lab, "id"), STYLE_COLS).select(*BY, "n", F.round("style_score", 3).alias("style_score"))
+    return style.tightness(z.join(t.lab, "id"), STYLE_COLS).select(*BY, "n", "style_score")
 
 
 SURP = r"ws AS (SELECT id, unnest(list_zip(range(0, len(w)), w)) AS e FROM (SELECT id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM tx)), wp AS (SELECT id, e[1] AS pos, e[2] AS word, coalesce(lag(e[2]) OVER (PARTITION BY id ORDER BY e[1]), '^') AS prev FROM ws), cp AS (SELECT prev, word, count(*) AS cp FROM wp GROUP BY 1, 2), cw AS (SELECT prev, count(*) AS cw FROM wp GROUP BY 1), vv2 AS (SELECT count(DISTINCT word) AS v FROM cp), sp AS (SELECT id, pos, -log2((cp + 0.1) / (cw + 0.1 * v)) AS s FROM wp JOIN cp USING (prev, word) JOIN cw USING (prev), vv2)"
