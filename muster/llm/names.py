@@ -289,7 +289,7 @@ def person_variants(comments: DataFrame, first_col: str, last_col: str) -> DataF
     keyed = at.withColumn("form", F.when(bare, F.col("g"))).join(meant.drop("k"), ["s", "generation", "form"], "left")
     keyed = keyed.withColumn("g", F.coalesce("full", F.try_element_at(first_formal, F.col("g")), F.col("g")))
     keyed = keyed.select("name", F.concat_ws("|", "s", "g", "generation").alias("key"), "tokens")
-    return _pairs("person", cut(keyed, "keyed"), 0.6)
+    return _pairs("person", cut(keyed, "keyed"), 0.5)
 
 
 def name_variants(comments: DataFrame) -> DataFrame:
