@@ -16,7 +16,7 @@ _marks = ", ".join(f"length(text) - length(replace(text, '{m.replace(chr(39), ch
 FEATS = rf"""wd AS (SELECT id, text, regexp_extract_all(lower(text), '\p{{L}}+') AS w, list_transform(list_filter(string_split_regex(text, '[.!?]+[\s\x{{00A0}}]+'), s -> regexp_replace(s, '^[\s\x{{00A0}}]+|[\s\x{{00A0}}]+$', '', 'g') <> ''), s -> len(regexp_extract_all(lower(s), '\p{{L}}+'))::DOUBLE) AS sl, [{_marks}] AS mk FROM tx),
 wn AS (SELECT *, len(w)::DOUBLE AS n, greatest(1.0, len(sl)::DOUBLE) AS sn, list_avg(sl) AS sm, sqrt(list_avg(list_transform(sl, x -> (x - list_avg(sl)) * (x - list_avg(sl))))) AS sd, list_sum(list_transform(w, x -> length(x)))::DOUBLE AS letters, list_sum(list_transform(w, x -> greatest(1, len(regexp_extract_all(x, '[aeiouy]+')))))::DOUBLE AS syl, len(list_filter(w, x -> len(regexp_extract_all(x, '[aeiouy]+')) >= 3))::DOUBLE AS hard, list_sum(mk)::DOUBLE AS mt FROM wd WHERE len(w) > 0),
 ft AS (SELECT id, CASE WHEN len(sl) < 2 OR sd + sm = 0 THEN 0.0 ELSE (sd - sm) / (sd + sm) END AS burstiness_sent, CASE WHEN len(sl) < 2 OR sm = 0 THEN 0.0 ELSE sd / sm END AS sent_len_cv, len(list_distinct(w)) / n AS ttr, letters / n AS avg_word_len,
- CASE WHEN mt > 0 THEN -list_sum(list_transform(list_filter(mk, x -> x > 0), x -> x / mt * log2(x / mt))) ELSE 0.0 END AS punct_entropy, (length(text) - length(replace(text, '—', ''))) / n AS emdash_rate, 0.39 * n / sn + 11.8 * syl / n - 15.59 AS flesch_kincaid, 5.8 * letters / n - 29.6 * sn / n - 15.8 AS coleman_liau, 0.4 * (n / sn + 100 * hard / n) AS gunning_fog,
+ CASE WHEN mt > 0 THEN 0.0 - list_sum(list_transform(list_filter(mk, x -> x > 0), x -> x / mt * log2(x / mt))) ELSE 0.0 END AS punct_entropy, (length(text) - length(replace(text, '—', ''))) / n AS emdash_rate, 0.39 * n / sn + 11.8 * syl / n - 15.59 AS flesch_kincaid, 5.8 * letters / n - 29.6 * sn / n - 15.8 AS coleman_liau, 0.4 * (n / sn + 100 * hard / n) AS gunning_fog,
  len(list_filter(w, x -> x IN ({_quoted(DISCOURSE_MARKERS)}))) / n AS discourse_marker_rate, len(list_filter(w, x -> x IN ({_quoted(GENERATED_WORDS)}))) / n AS llmism_rate FROM wn)"""
 
 

@@ -107,7 +107,7 @@ def fn12_parse_json(t: Tables) -> DataFrame:
     return t.analysis_runs.where("params_json IS NOT NULL").select("id", p["min_cluster"].alias("min_cluster"), p["neighbors"].alias("neighbors"), r["noise"].alias("noise"))
 
 
-@query("SELECT docket_id, round(-sum(p * log2(p)), 6) AS entropy FROM (SELECT docket_id, n / sum(n) OVER (PARTITION BY docket_id) AS p FROM (SELECT docket_id, title, count(*) AS n FROM cm GROUP BY 1, 2)) GROUP BY 1")
+@query("SELECT docket_id, round(-sum(p * log2(p)), 6) + 0.0 AS entropy FROM (SELECT docket_id, n / sum(n) OVER (PARTITION BY docket_id) AS p FROM (SELECT docket_id, title, count(*) AS n FROM cm GROUP BY 1, 2)) GROUP BY 1")
 def fn13_entropy(t: Tables) -> DataFrame:
     counts = t.cm.groupBy("docket_id", "title").agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy("docket_id").agg(F.round(T.entropy(F.collect_list("n")), 6).alias("entropy"))
