@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from muster.suite import base, relational, signals, style, streams, text, views  # noqa: F401
+from muster.suite import base, dense, relational, signals, streams, style, text, views  # noqa: F401
 
 FLAGSHIP = "sc4_clusters"
 

@@ -166,3 +166,36 @@ def test_store_files(spark, tmp_path):
 def test_core_does_not_import_llm():
     code = "import sys; sys.path.insert(0, '.'); import muster.catalog; assert not any(m.startswith('muster.llm') for m in sys.modules)"
     assert subprocess.run([sys.executable, "-c", code], check=False).returncode == 0
+
+
+def test_density_clusters(spark):
+    import numpy as np
+
+    from muster.operators import density
+
+    rng = np.random.default_rng(1)
+    centres = np.eye(16)[:3] * 4
+    x = np.concatenate([c + rng.normal(size=(40, 16)) * 0.2 for c in centres] + [rng.normal(size=(6, 16))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(1, f"v{k:03d}", [float(a) for a in r]) for k, r in enumerate(x)], "run_id long, id string, v array<double>")
+    got = {r.id: r.cluster for r in density.density_clusters(df, least=15).collect()}
+    assert len(got) == 126
+    for g in range(3):
+        labels = [got[f"v{k:03d}"] for k in range(40 * g, 40 * g + 40)]
+        assert max(labels.count(c) for c in set(labels) if c >= 0) >= 36
+
+
+def test_synthetic_campaigns_are_found(spark):
+    from muster.operators import synthetic
+
+    df = synthetic.corpus(spark)
+    assert df.count() == 400 + sum(c[1] for c in synthetic.CAMPAIGNS) and df.select("id").distinct().count() == df.count()
+    groups = similar_sets(df.select("id", T.shingles(F.col("text")).alias("g")).dropDuplicates(["g"]), "id", "g", 0.3)
+    assert groups.count() > 0
+    us = F.unix_micros("posted_date")
+    labels = {c[0]: k for k, c in enumerate(synthetic.CAMPAIGNS)}
+    ev = df.select(F.lit(1).cast("long").alias("run_id"), F.coalesce(*[F.when(F.col("label") == n, k) for n, k in labels.items()], F.lit(-1)).alias("cluster"), us.alias("us"))
+    found = {r.cluster: r for r in cluster_scan(ev).collect()}
+    for name, size, day, hour, minutes, *_ in synthetic.CAMPAIGNS:
+        r = found[labels[name]]
+        assert r.lambda_star > 50 and (r.end_us - r.start_us) <= minutes * 60_000_000
