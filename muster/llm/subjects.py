@@ -33,6 +33,7 @@ WORD_SHARE = 0.5
 #: Words of the widened lexicon: in so many sentences of subjects, with this share in one.
 WIDE_COUNT, WIDE_SHARE = 8, 0.6
 LEXICON_WORDS = 50_000
+WIDENINGS = 1
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?;\n]+|<[^>]*>")
@@ -288,6 +289,23 @@ def _likes(pairs: list[tuple[str, int]], n: int) -> dict[str, set[int]]:
     return dict(out)
 
 
+def _widened(documents: DataFrame, odds: dict[str, np.ndarray], cols: list[str]) -> dict[str, np.ndarray]:
+    """Log odds of the words of all documents that keep to one subject, by the subjects of their sentences so far."""
+    n = len(cols)
+    counted = documents.select("text").where(F.col("text").isNotNull()).mapInArrow(_wide(odds, n), "word string, " + ", ".join(f"{c} long" for c in cols))
+    sums = cut(counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in cols]), "words")
+    sizes = sums.agg(*[F.sum(c).alias(c) for c in cols]).first()
+    sizes = np.array([float(sizes[c] or 0) + 1.0 for c in cols])
+    total = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
+    most = F.greatest(*cols) if n > 1 else F.col(cols[0])
+    wide = sums.withColumn("total", total).where((F.col("total") >= WIDE_COUNT) & (most >= WIDE_SHARE * F.col("total")))
+    out = {}
+    for r in wide.orderBy(F.col("total").desc(), "word").limit(LEXICON_WORDS).collect():
+        if (new := _odds(np.array([r[x] for x in cols], dtype=float), sizes)) is not None:
+            out[r.word] = new
+    return out
+
+
 def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, labelled_docs: int = LABELLED_DOCS) -> DataFrame:
     """(doc_id, subject) for each subject of a document, none for one without real text.
 
@@ -310,17 +328,8 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     odds = fit_lexicon(texts, labelled, n)
 
     cols = [f"s{k}" for k in range(n)]
-    counted = documents.select("text").where(F.col("text").isNotNull()).mapInArrow(_wide(odds, n), "word string, " + ", ".join(f"{c} long" for c in cols))
-    sums = counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in cols])
-    sums = cut(sums, "words")
-    sizes = sums.agg(*[F.sum(c).alias(c) for c in cols]).first()
-    sizes = [float(sizes[c] or 0) + 1.0 for c in cols]
-    total = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
-    wide = sums.withColumn("total", total).where((F.col("total") >= WIDE_COUNT) & (F.greatest(*cols) >= WIDE_SHARE * F.col("total")) if n > 1 else F.lit(True))
-    wide = wide.orderBy(F.col("total").desc(), "word").limit(LEXICON_WORDS).collect()
-    for r in wide:
-        if (new := _odds(np.array([r[x] for x in cols], dtype=float), np.array(sizes))) is not None:
-            odds[r.word] = new
+    for _ in range(WIDENINGS):
+        odds = odds | _widened(documents, odds, cols)
 
     pair_odds = _pair_odds(texts, Lexicon(odds, n), n)
     sources = _likes([(r.source, s) for r, ls in zip(taught, labelled) for s in ls if r.source], n)
