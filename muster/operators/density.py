@@ -155,7 +155,7 @@ def density_clusters(vectors: DataFrame, least: int | None = None, k: int = 5) -
         got = leaves(pdf, least or max(5, int(size**0.5 / 3))) if size >= 30 else {}
         return pd.DataFrame({"run_id": int(pdf["run_id"].iloc[0]), "id": list(got), "cluster": list(got.values())}).astype({"run_id": "int64", "id": "object", "cluster": "int32"})
 
-    found = tree.join(F.broadcast(n), "run_id").groupBy("run_id").applyInPandas(run, "run_id long, id string, cluster int")
+    found = tree.join(n, "run_id").groupBy("run_id").applyInPandas(run, "run_id long, id string, cluster int")
     return vectors.select("run_id", "id").join(found, ["run_id", "id"], "left").select("run_id", "id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 

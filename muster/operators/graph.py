@@ -54,8 +54,12 @@ def metadata_edges(comments: DataFrame) -> DataFrame:
 
 
 def template_edges(groups: DataFrame) -> DataFrame:
-    """groups: (id, group_id) of duplicates."""
-    return group_edges(groups, "group_id").select("src", "dst", F.lit(TEMPLATE).alias("weight"), F.lit("template").alias("kind"))
+    """groups: (id, group_id) of duplicates, group_id the least id. An edge from that to each of the others.
+
+    A group of n stands for n (n - 1) / 2 links of this weight; its star keeps it together without
+    making them, so a group of copies costs its size.
+    """
+    return groups.where("id <> group_id").select(F.col("group_id").alias("src"), F.col("id").alias("dst"), F.lit(TEMPLATE).alias("weight"), F.lit("template").alias("kind"))
 
 
 def combine_edges(*lists: DataFrame) -> DataFrame:

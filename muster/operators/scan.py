@@ -44,7 +44,7 @@ def cluster_scan(events: DataFrame, least: int = 3) -> DataFrame:
     """
     ranked = ranks_in(events, "run_id", "us")
     span = events.groupBy("run_id").agg(F.count(F.lit(1)).alias("m"), (F.max("us") - F.min("us")).alias("span"))
-    rows = ranked.where("cluster <> -1").join(F.broadcast(span), "run_id").select("run_id", "cluster", "us", "lo", "hi", "m", "span")
+    rows = ranked.where("cluster <> -1").join(span, "run_id").select("run_id", "cluster", "us", "lo", "hi", "m", "span")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("us", kind="stable")
@@ -63,7 +63,7 @@ def count_windows(events: DataFrame, least: int = 3) -> DataFrame:
     """(run_id, cluster, n_windows, n_dense): windows between a cluster's times, and those with more than expected."""
     ranked = ranks_in(events, "run_id", "us")
     span = events.groupBy("run_id").agg(F.count(F.lit(1)).alias("m"), (F.max("us") - F.min("us")).alias("span"))
-    rows = ranked.where("cluster <> -1").join(F.broadcast(span), "run_id").select("run_id", "cluster", "us", "lo", "hi", "m", "span")
+    rows = ranked.where("cluster <> -1").join(span, "run_id").select("run_id", "cluster", "us", "lo", "hi", "m", "span")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("us", kind="stable")

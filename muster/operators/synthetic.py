@@ -53,5 +53,5 @@ def ground_truth(df: DataFrame) -> DataFrame:
 def variants(members: DataFrame, texts: DataFrame) -> DataFrame:
     """members: id, cluster; texts: cluster, k (from 0), text. Each member with one of its cluster's variants, by hash."""
     n = texts.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    m = members.join(F.broadcast(n), "cluster").withColumn("k", F.pmod(F.xxhash64("id"), F.col("n")))
+    m = members.join(n, "cluster").withColumn("k", F.pmod(F.xxhash64("id"), F.col("n")))
     return m.join(texts, ["cluster", "k"]).select("id", "cluster", "text")

@@ -67,7 +67,7 @@ def tx(t: Tables) -> DataFrame:
 def lab(t: Tables) -> DataFrame:
     """Cluster labels of each docket's last finished run."""
     last = t.analysis_runs.where("id % 2 = 0").groupBy("docket_id").agg(F.max("id").alias("run_id")).select("run_id")
-    return t.cluster_labels.select("run_id", "id", "cluster").distinct().join(F.broadcast(last), "run_id")
+    return t.cluster_labels.select("run_id", "id", "cluster").distinct().join(last, "run_id")
 
 
 @view

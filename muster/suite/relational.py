@@ -117,10 +117,12 @@ def j6_metadata_pairs(t: Tables) -> DataFrame:
     return graph.metadata_edges(t.cm).select("src", "dst", F.round("weight", 9).alias("weight"))
 
 
-@query(f", {SHINGLES}, e AS (SELECT id, unnest(g) AS g, len(g) AS n FROM sh), p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS m, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2) SELECT id_a, id_b, round(m / (na + nb - m), 6) AS jaccard FROM p WHERE m / (na + nb - m) >= 0.8")
+@query(f", {SHINGLES}, rp AS (SELECT min(id) AS id FROM tx GROUP BY {KEY}), e AS (SELECT id, unnest(g) AS g, len(g) AS n FROM sh JOIN rp USING (id)), p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS m, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2) SELECT id_a, id_b, round(m / (na + nb - m), 6) AS jaccard FROM p WHERE m / (na + nb - m) >= 0.8")
 def j8_similar_texts(t: Tables) -> DataFrame:
-    """Exact similarity join of the distinct texts' shingle sets, copies shown by their least id's text."""
-    return similar_sets(t.tx.select("id", T.shingles(F.col("text")).alias("g")), "id", "g", 0.8).select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
+    """Exact similarity join of the distinct texts, a class of copies shown by its least id; j5_templates has the classes."""
+    first = t.tx.groupBy(F.md5(T.exact_key(F.col("text"))).alias("k")).agg(F.min("id").alias("id")).select("id")
+    reps = t.tx.select("id", T.shingles(F.col("text")).alias("g")).join(first, "id", "left_semi")
+    return similar_sets(reps, "id", "g", 0.8).select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query(f", {VEC}, vc AS (SELECT ve.id, v, run_id, cluster FROM ve JOIN lab USING (id) WHERE cluster <> -1), s AS (SELECT run_id, cluster, i, sum(v[i]) AS s FROM vc, range(1, 65) r(i) GROUP BY 1, 2, 3), n AS (SELECT run_id, cluster, count(*) AS n FROM vc GROUP BY 1, 2) SELECT run_id, cluster, any_value(n) AS n, round((sum(s * s) - any_value(n)) / (any_value(n) * (any_value(n) - 1)), 6) AS mean_cosine FROM s JOIN n USING (run_id, cluster) WHERE n >= 2 GROUP BY 1, 2")

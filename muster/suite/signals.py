@@ -177,7 +177,7 @@ def ag15_rhetoric(t: Tables) -> DataFrame:
     return a.join(b, BY).where("id_a < id_b").groupBy(*BY).agg(F.round(F.avg(T.jaccard(F.col("e_a"), F.col("e_b"))), 6).alias("mean_jaccard"))
 
 
-EDGES = f"{META}, te AS (SELECT a.id AS src, b.id AS dst, 0.4::DOUBLE AS weight, 'timing' AS kind FROM cm a JOIN cm b ON a.id < b.id AND b.posted_date BETWEEN a.posted_date - INTERVAL 60 SECOND AND a.posted_date + INTERVAL 60 SECOND), {DUP}, tp AS (SELECT a.id AS src, b.id AS dst, 0.4::DOUBLE AS weight, 'template' AS kind FROM dg a JOIN dg b ON a.g = b.g AND a.id < b.id), ed AS (SELECT src, dst, round(sum(weight), 9) AS weight, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds FROM (SELECT * FROM te UNION ALL SELECT * FROM tp UNION ALL SELECT src, dst, weight, 'metadata' FROM me) GROUP BY 1, 2 HAVING round(sum(weight), 9) > 0.1)"
+EDGES = f"{META}, te AS (SELECT a.id AS src, b.id AS dst, 0.4::DOUBLE AS weight, 'timing' AS kind FROM cm a JOIN cm b ON a.id < b.id AND b.posted_date BETWEEN a.posted_date - INTERVAL 60 SECOND AND a.posted_date + INTERVAL 60 SECOND), {DUP}, tp AS (SELECT g AS src, id AS dst, 0.4::DOUBLE AS weight, 'template' AS kind FROM dg WHERE id <> g), ed AS (SELECT src, dst, round(sum(weight), 9) AS weight, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds FROM (SELECT * FROM te UNION ALL SELECT * FROM tp UNION ALL SELECT src, dst, weight, 'metadata' FROM me) GROUP BY 1, 2 HAVING round(sum(weight), 9) > 0.1)"
 
 
 @view
@@ -364,7 +364,7 @@ def ml9_reclaim(t: Tables) -> DataFrame:
     """Noise goes to its likeliest cluster if that is likelier than one half; a cluster's share of its run stands in for membership."""
     n = t.lab.where("cluster <> -1").groupBy("run_id", F.col("cluster").alias("other")).agg(F.count(F.lit(1)).alias("c"))
     p = n.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy("run_id"))).groupBy("run_id").agg(F.max("p").alias("p"), F.max_by("other", "p").alias("best"))
-    return t.lab.join(F.broadcast(p), "run_id").select("id", F.when((F.col("cluster") == -1) & (F.col("p") > 0.5), F.col("best")).otherwise(F.col("cluster")).alias("cluster"))
+    return t.lab.join(p, "run_id").select("id", F.when((F.col("cluster") == -1) & (F.col("p") > 0.5), F.col("best")).otherwise(F.col("cluster")).alias("cluster"))
 
 
 # Scores

@@ -109,8 +109,9 @@ def fn12_parse_json(t: Tables) -> DataFrame:
 
 @query("SELECT docket_id, round(-sum(p * log2(p)), 6) + 0.0 AS entropy FROM (SELECT docket_id, n / sum(n) OVER (PARTITION BY docket_id) AS p FROM (SELECT docket_id, title, count(*) AS n FROM cm GROUP BY 1, 2)) GROUP BY 1")
 def fn13_entropy(t: Tables) -> DataFrame:
-    counts = t.cm.groupBy("docket_id", "title").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("docket_id").agg(F.round(T.entropy(F.collect_list("n")), 6).alias("entropy"))
+    n = t.cm.groupBy("docket_id", "title").agg(F.count(F.lit(1)).alias("n"))
+    # sum(-p log p) = log N - sum(n log n) / N needs no list
+    return n.groupBy("docket_id").agg(F.round(F.greatest(F.lit(0.0), F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")), 6).alias("entropy"))
 
 
 @query("SELECT id, round(-sum(p * log2(p)), 6) AS entropy FROM (SELECT id, n / sum(n) OVER (PARTITION BY id) AS p FROM (SELECT id, g, count(*) AS n FROM (SELECT id, unnest(list_transform(range(1, length(text) - 1), i -> substring(lower(text), i, 3))) AS g FROM tx) GROUP BY 1, 2)) GROUP BY 1")

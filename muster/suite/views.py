@@ -16,7 +16,7 @@ DOCKET = "OLRB-2029-0003"
 def last_clusters(t: Tables) -> DataFrame:
     """Clusters of each docket's last finished run, each once."""
     last = t.analysis_runs.where("id % 2 = 0").groupBy("docket_id").agg(F.max("id").alias("run_id")).select("run_id")
-    return t.clusters.distinct().join(F.broadcast(last), "run_id")
+    return t.clusters.distinct().join(last, "run_id")
 
 
 @query("SELECT docket_id, n_comments, n_clusters, n_campaigns, max(id) AS last_id FROM analysis_runs WHERE id % 2 = 0 GROUP BY 1, 2, 3, 4 ORDER BY last_id DESC")
