@@ -29,8 +29,9 @@ ORDERS = 64
 RUNS, STEPS = 20, 3
 #: Buckets up to this size are compared pair by pair.
 BUCKET = 128
-#: Steps by which buckets that stay over the limit are split before their rest is compared with the largest group in them.
-MORE_STEPS = 8
+#: Buckets that stay over the limit are split until comparing the smaller groups in them with all of them takes
+#: at most so many pairs for each class, or for so many steps.
+REST_PAIRS, MORE_STEPS = 100, 12
 #: Of 64 sketch bits, those that may differ; at similarity 0.5 16 differ on average, standard deviation 3.5.
 FAR_BITS = 25
 #: Pairs this close are of similarity 0.5 or more but for one in a hundred.
@@ -170,16 +171,19 @@ def near_duplicate_groups(texts: DataFrame, id_col: str, text_col: str, threshol
     classes = signed.groupBy("cid").agg(F.min("id").alias("id"), F.first("draws").alias("draws"))
 
     reps = signed.groupBy("cid").agg(F.min("id").alias("id"))
+    n_classes = signed.select("cid").distinct().count()
 
     def bucketed(keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         """Pairs found in buckets, and rows of buckets over the limit, whose least class is paired with each of the others."""
-        out = cut(bucket_runs(keys, bucket, _close, _PAIR, [0, 1], _OUT), "buckets")
-        near, big = out.where(~F.col("big")).select("a", "b"), out.where("big").select("key", "cid").distinct()
+        coloured = "colour" in keys.columns
+        out = cut(bucket_runs(keys, bucket, _close, _PAIR, [0, 1, 3] if coloured else [0, 1], _OUT + ", colour long" * coloured), "buckets")
+        near, big = out.where(~F.col("big")).select("a", "b"), out.where("big").select("key", "cid", *["colour"] * coloured).distinct()
         if big.isEmpty():
             return near.distinct(), None
-        hubs = big.groupBy("key").agg(F.min("cid").alias("hub"))
-        stars = big.join(hubs, "key").where(F.col("cid") != F.col("hub")).select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
-        return near.unionByName(stars).distinct(), big
+        heads = big.groupBy("key", F.col("colour" if coloured else "cid").alias("colour")).agg(F.min("cid").alias("cid"))  # one of each group
+        hubs = heads.groupBy("key").agg(F.min("cid").alias("hub"))
+        stars = heads.join(hubs, "key").where(F.col("cid") != F.col("hub")).select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
+        return near.unionByName(stars).distinct(), big.select("key", "cid")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose whole shingle sets are similar enough; the sets come from the text of each class's least id."""
@@ -202,11 +206,12 @@ def near_duplicate_groups(texts: DataFrame, id_col: str, text_col: str, threshol
         colour = cut(connected_components(links, "a", "b"), "colours")
         tinted = big.join(colour.select(F.col("id").alias("cid"), F.col("group_id").alias("colour")), "cid", "left").withColumn("colour", F.coalesce("colour", "cid"))
         sizes = cut(tinted.groupBy("key", "colour").agg(F.count(F.lit(1)).alias("n")), "sizes")
-        mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "colour")).alias("top")).where("k > 1").select("key", F.col("top.colour").alias("main"))
-        tinted = cut(tinted.join(mixed, "key"), "tinted")
-        if tinted.isEmpty():
+        mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "colour")).alias("top"), F.sum("n").alias("n")).where("k > 1")
+        cost = mixed.agg(F.sum(F.col("n") * (F.col("n") - F.col("top.n")).cast("double"))).first()[0]
+        if cost is None:
             break
-        if step <= MORE_STEPS:
+        tinted = cut(tinted.join(mixed.select("key", F.col("top.colour").alias("main")), "key"), "tinted")
+        if cost > REST_PAIRS * n_classes and step <= MORE_STEPS:
             source = tinted.select("key", "cid", "colour").join(classes.select("cid", "draws"), "cid").select("key", "cid", "colour", "draws")
             pairs, big = bucketed(source.mapInArrow(_more_keys, "key long, cid long, sketch long, colour long"))
         else:  # what still mixes is compared with all of its bucket, the largest group's rows only with the others
