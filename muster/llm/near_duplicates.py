@@ -25,8 +25,8 @@ from muster.plans.lineage import cut
 
 #: Random orders a class is drawn by; each gives 16 bits of its least shingle.
 ORDERS = 64
-#: A pair of similarity 0.5 shares one path of three steps with probability 1/8, one of RUNS with 0.93; one of 0.6 with 0.99.
-RUNS, STEPS = 20, 3
+#: A pair of similarity 0.5 shares one path of three steps with probability 1/8, one of RUNS with 0.97; one of 0.6 with 0.998.
+RUNS, STEPS = 26, 3
 #: Buckets up to this size are compared pair by pair.
 BUCKET = 128
 #: Buckets that stay over the limit are split until comparing the smaller groups in them with all of them takes
