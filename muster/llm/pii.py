@@ -55,7 +55,7 @@ AFTER_TITLE = re.compile(rf"\.?[ \xa0]+((?:[^\W\d_]\.[ \xa0]+)*({SURNAME}))")
 INITIAL_NAME = re.compile(rf"\b[A-Z]\.(?:[ \xa0]?[A-Z]\.)?[ \xa0]+({SURNAME})(?![\w@])")
 CUE = re.compile(r"(?:/s/|--|\bsincerely,|\bthanks,|\brespectfully,|\bregards,|\bname:|\bi am|\bask|\bneighbor|\bit was|\bstreet only|\bagent,|\bas|\bboth|\bsigned,?|\bdear|^|[\n>])[ \xa0]*$", re.I)
 _NAME = re.compile(r"[^\W\d_]+")
-_SPELLED = re.compile(r"\b(?:(?:%s)\b[ -]?){7,}" % "|".join(DIGITS), re.I)
+_SPELLED = re.compile(r"\b(?:(?:%s)\b[ -]?){6,}(?:%s)\b" % ("|".join(DIGITS), "|".join(DIGITS)), re.I)
 
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person_name": "[NAME]"}
 
@@ -101,12 +101,12 @@ def plain_form(text: str) -> tuple[str, list[int] | None]:
     if "dot" in low or any(x in low for x in ("(at)", "[at]", "{at}", "<at>")):
         text, places = _rewrite(text, places, DISGUISE, _undisguised)
     if sum(map(low.count, DIGITS)) >= 7:
-        text, places = _rewrite(text, places, _SPELLED, lambda m: "".join(DIGITS[w] for w in re.findall(r"[a-z]+", m[0].lower())) + (" " if m[0][-1] in " -" else ""))
+        text, places = _rewrite(text, places, _SPELLED, lambda m: "".join(DIGITS[w] for w in re.findall(r"[a-z]+", m[0].lower())))
     return text, places
 
 
 def _rewrite(text: str, places: list[int] | None, pattern: re.Pattern, new) -> tuple[str, list[int] | None]:
-    """Matches replaced by new(match); their characters take places spread over the match, the first the first."""
+    """Matches replaced by new(match); of its characters the first takes the match's first place, the last its last."""
     out, kept, at = [], [], 0
     where = places if places is not None else range(len(text) + 1)
     for m in pattern.finditer(text):
@@ -116,7 +116,7 @@ def _rewrite(text: str, places: list[int] | None, pattern: re.Pattern, new) -> t
         out += [text[at : m.start()], s]
         kept += where[at : m.start()]
         wide = m.end() - m.start()
-        kept += [where[m.start() + min(k, wide - 1)] for k in range(len(s))]
+        kept += [where[m.start() + min(k, wide - 1)] for k in range(len(s) - 1)] + [where[m.end() - 1]]
         at = m.end()
     if not out:
         return text, places
@@ -138,13 +138,17 @@ def _names(text: str, low: str, add) -> None:
                 add("person_name", m.start(1), m.end())
             continue
         small = text[a].islower()
+        back = BEFORE_GIVEN.search(text, max(0, a - 45), a)
+        if back and not ((back[1][0].isupper() or small) and back[1].lower() not in NOT_BEFORE_COMMA and len(back[1]) > 2):
+            back = None
+        if back and CUE.search(text, max(0, back.start() - 20), back.start()):  # "Marsh, Ann" where a name is due
+            add("person_name", back.start(), b)
+            continue
         m = AFTER_GIVEN.match(text, b)
-        if m and (m[1][0].isupper() or small and m[1] not in NOT_SURNAMES and len(m[1]) > 3):
+        if m and len(m[1]) > 2 and m[1].lower() not in NOT_SURNAMES and (m[1][0].isupper() or small and len(m[1]) > 3):
             add("person_name", a, m.end())
-            continue
-        m = BEFORE_GIVEN.search(text, max(0, a - 45), a)
-        if m and (m[1][0].isupper() or small) and m[1].lower() not in NOT_BEFORE_COMMA and len(m[1]) > 2:
-            add("person_name", m.start(), b)
+        elif back:
+            add("person_name", back.start(), b)
     if "." in text:
         for m in INITIAL_NAME.finditer(text):
             before = text[max(0, m.start() - 20) : m.start()]

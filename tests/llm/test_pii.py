@@ -29,6 +29,8 @@ def test_spans(text, want):
 
 def test_redacted_text_stays_readable():
     assert redact("Call (711) 555-0112 now, says Mr. Boroway.") == "Call [PHONE] now, says Mr. [NAME]."
+    assert redact("email kim (at) post (dot) co (dot) test or call five five five two one two three four five six now") == "email [EMAIL] or call [PHONE] now"
+    assert redact("Name: Marsh, Ann In our street") == "Name: [NAME] In our street"
     assert redact("nothing here") == "nothing here" and redact("") == "" and redact(None) is None
 
 
