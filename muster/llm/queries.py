@@ -15,7 +15,7 @@ from muster.llm.packing import CAPACITY, pack, token_counts
 from muster.llm.pii import find_personal_data, redact_texts
 from muster.llm.ranking import robust_ranking
 from muster.llm.subjects import document_subjects
-from muster.llm.vectors import similar_pairs
+from muster.llm.vectors import measured_recall, similar_pairs
 from muster.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "comment_vectors"), "comment_id", "embedding", k=10, min_cosine=0.9)
 
 
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the index against brute force, for every comment whose number is divisible by 100."""
+    vectors = table(spark, sf_dir, "comment_vectors")
+    asked = vectors.where(F.try_to_number(F.substring_index("comment_id", "-", -1), F.lit("99999999999")) % 100 == 0)
+    return measured_recall(vectors, asked, "comment_id", "embedding", k=10, min_cosine=0.9)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_groups(table(spark, sf_dir, "comment_matches"))
 
@@ -84,4 +91,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_ranking, p5_found, p5_redacted, p6_found, p7_found, p8_packed, p8_fill, p9_mixture, p9_shares, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_recall, p2_found, p3_found, p4_ranking, p5_found, p5_redacted, p6_found, p7_found, p8_packed, p8_fill, p9_mixture, p9_shares, p10_found)}
