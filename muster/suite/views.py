@@ -92,9 +92,9 @@ def db7_kpis(t: Tables) -> DataFrame:
     return t.timeline.agg(F.max("n").alias("peak"), F.sum("n").alias("total"), F.sum(F.when(F.col("is_burst"), 1).otherwise(0)).alias("bursts"), F.round(F.avg(F.when(F.col("n") > 0, F.col("n"))), 6).alias("mean_busy"))
 
 
-@query(f", {CL} SELECT classification, count(*) AS n, round(avg(center_x), 6) AS cx, round(avg(center_y), 6) AS cy FROM lc GROUP BY 1")
+@query(f", {CL} SELECT classification, count(*) AS n, round(avg(center_x), 9) AS cx, round(avg(center_y), 9) AS cy FROM lc GROUP BY 1")
 def db8_centres(t: Tables) -> DataFrame:
-    return last_clusters(t).groupBy("classification").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("center_x"), 6).alias("cx"), F.round(F.avg("center_y"), 6).alias("cy"))
+    return last_clusters(t).groupBy("classification").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("center_x"), 9).alias("cx"), F.round(F.avg("center_y"), 9).alias("cy"))
 
 
 @query(f", {CL} SELECT classification, sum(n_comments)::BIGINT AS volume, round(sum(n_comments) / sum(sum(n_comments)) OVER () * 100, 4) AS pct FROM lc GROUP BY 1")
