@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from muster.functions.fixed import EDGE_LIMIT, METADATA, TEMPLATE, TIMING, TOGETHER_S
-from muster.operators.joins import band_pairs
+from muster.operators.joins import band_pairs, similar_sets
 from muster.plans.lineage import cut
 
 
@@ -32,6 +32,21 @@ def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("group_id")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("group_id")).distinct())
 
 
+def near_groups(sets: DataFrame, id_col: str, set_col: str, threshold: float) -> DataFrame:
+    """(id, group_id) of sets similar to another by at least threshold, directly or through others; group_id is the least id.
+
+    Sets of the same elements (known by 64-bit hashes) form a class, shown by its least id; classes are
+    joined by similar_sets and copies follow their class. An empty set is like an empty one only.
+    """
+    hashed = F.array_sort(F.transform(set_col, lambda x: F.xxhash64(x)))
+    held = cut(sets.select(F.col(id_col).alias("id"), hashed.alias("s")).withColumn("k", F.md5(F.array_join("s", " "))), "sets")
+    classes = cut(held.groupBy("k").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "classes")
+    reps = held.join(classes.select(F.col("first").alias("id")), "id", "left_semi").select("id", "s")
+    joined = components(similar_sets(reps, "id", "s", threshold), "id_a", "id_b").select(F.col("id").alias("first"), "group_id")
+    named = classes.join(joined, "first", "left").where("n > 1 OR group_id IS NOT NULL").select("k", F.coalesce("group_id", "first").alias("group_id"))
+    return held.select("id", "k").join(named, "k").select("id", "group_id")
+
+
 def timing_edges(comments: DataFrame) -> DataFrame:
     at = comments.where("posted_date IS NOT NULL").select("id", F.unix_micros(F.col("posted_date").cast("timestamp")).alias("us"))
     return band_pairs(at, "id", "us", TOGETHER_S).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"), F.lit(TIMING).alias("weight"), F.lit("timing").alias("kind"))

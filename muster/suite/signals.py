@@ -14,6 +14,8 @@ from muster.suite.relational import KEY, META, RESOLVED, registry, resolved
 from muster.suite.text import ARGS, VEC
 
 BY = ["run_id", "cluster"]
+#: Least Jaccard index of near-duplicates.
+SIMILAR = 0.7
 DUP = f"k AS (SELECT id, min(id) OVER (PARTITION BY {KEY}) AS g, count(*) OVER (PARTITION BY {KEY}) AS gn FROM tx), dg AS (SELECT id, g FROM k WHERE gn >= 2)"
 
 
@@ -25,6 +27,12 @@ def dg(t: Tables) -> DataFrame:
     return key.join(sizes, "k").select("id", "g")
 
 
+@view
+def ng(t: Tables) -> DataFrame:
+    """(id, g) of texts in a near-duplicate group: Jaccard index of their five-word shingles at least SIMILAR, directly or through others."""
+    return graph.near_groups(t.tx.select("id", T.shingles(F.col("text")).alias("s")), "id", "s", SIMILAR).withColumnRenamed("group_id", "g")
+
+
 @view
 def size(t: Tables) -> DataFrame:
     return t.lab.where("cluster <> -1").groupBy(*BY).agg(F.count(F.lit(1)).alias("n"))
@@ -35,7 +43,17 @@ SIZE = "size AS (SELECT run_id, cluster, count(*) AS n FROM lab WHERE cluster <>
 
 @query(f", {DUP}, {SIZE}, o AS (SELECT run_id, cluster, g, count(*) AS c FROM lab JOIN dg USING (id) WHERE cluster <> -1 GROUP BY 1, 2, 3) SELECT size.run_id, size.cluster, any_value(n) AS n_members, coalesce(sum(c), 0)::BIGINT AS n_duplicates, round(coalesce(sum(c), 0) / any_value(n), 6) AS dup_fraction, coalesce(max(c), 0) AS largest FROM size LEFT JOIN o USING (run_id, cluster) GROUP BY 1, 2")
 def ag1_duplicates(t: Tables) -> DataFrame:
-    o = t.lab.where("cluster <> -1").join(t.dg, "id").groupBy(*BY, "g").agg(F.count(F.lit(1)).alias("c")).groupBy(*BY).agg(F.sum("c").alias("s"), F.max("c").alias("m"))
+    """By groups of equal texts; ag1_near_duplicates has the near-duplicate groups."""
+    return duplicate_stats(t, t.dg)
+
+
+@query()
+def ag1_near_duplicates(t: Tables) -> DataFrame:
+    return duplicate_stats(t, t.ng)
+
+
+def duplicate_stats(t: Tables, groups: DataFrame) -> DataFrame:
+    o = t.lab.where("cluster <> -1").join(groups, "id").groupBy(*BY, "g").agg(F.count(F.lit(1)).alias("c")).groupBy(*BY).agg(F.sum("c").alias("s"), F.max("c").alias("m"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return t.size.join(o, BY, "left").select(*BY, F.col("n").alias("n_members"), zero("s").alias("n_duplicates"), F.round(zero("s") / F.col("n"), 6).alias("dup_fraction"), zero("m").alias("largest"))
 
@@ -56,7 +74,17 @@ def ag2_exact_chain(t: Tables) -> DataFrame:
 
 @query(f", {DUP} SELECT run_id, cluster, count(*) AS n_near, count(DISTINCT g) AS n_groups FROM lab JOIN dg USING (id) WHERE cluster <> -1 GROUP BY 1, 2")
 def ag3_near_groups(t: Tables) -> DataFrame:
-    return t.lab.where("cluster <> -1").join(t.dg, "id").groupBy(*BY).agg(F.count(F.lit(1)).alias("n_near"), F.count_distinct("g").alias("n_groups"))
+    """By groups of equal texts; ag3_near_members has the near-duplicate groups."""
+    return group_members(t, t.dg)
+
+
+@query()
+def ag3_near_members(t: Tables) -> DataFrame:
+    return group_members(t, t.ng)
+
+
+def group_members(t: Tables, groups: DataFrame) -> DataFrame:
+    return t.lab.where("cluster <> -1").join(groups, "id").groupBy(*BY).agg(F.count(F.lit(1)).alias("n_near"), F.count_distinct("g").alias("n_groups"))
 
 
 SAMPLE = f"{VEC}, v1 AS (SELECT * FROM (SELECT ve.id, v, run_id, cluster, row_number() OVER (PARTITION BY run_id, cluster ORDER BY md5(id)) AS k FROM ve JOIN lab USING (id) WHERE cluster <> -1) WHERE k <= 100), ps AS (SELECT a.run_id, a.cluster, avg(c) AS mean, median(c) AS med, min(c) AS least FROM (SELECT a.run_id, a.cluster, list_inner_product(a.v, b.v) AS c FROM v1 a JOIN v1 b ON a.run_id = b.run_id AND a.cluster = b.cluster AND a.id < b.id) a GROUP BY 1, 2)"
@@ -180,10 +208,20 @@ def ag15_rhetoric(t: Tables) -> DataFrame:
 EDGES = f"{META}, te AS (SELECT a.id AS src, b.id AS dst, 0.4::DOUBLE AS weight, 'timing' AS kind FROM cm a JOIN cm b ON a.id < b.id AND b.posted_date BETWEEN a.posted_date - INTERVAL 60 SECOND AND a.posted_date + INTERVAL 60 SECOND), {DUP}, tp AS (SELECT g AS src, id AS dst, 0.4::DOUBLE AS weight, 'template' AS kind FROM dg WHERE id <> g), ed AS (SELECT src, dst, round(sum(weight), 9) AS weight, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds FROM (SELECT * FROM te UNION ALL SELECT * FROM tp UNION ALL SELECT src, dst, weight, 'metadata' FROM me) GROUP BY 1, 2 HAVING round(sum(weight), 9) > 0.1)"
 
 
+def coordination(t: Tables, groups: DataFrame) -> DataFrame:
+    cm = t.cm
+    return graph.combine_edges(graph.timing_edges(cm), graph.template_edges(groups.withColumnRenamed("g", "group_id")), graph.metadata_edges(cm))
+
+
 @view
 def edges(t: Tables) -> DataFrame:
-    cm = t.cm
-    return graph.combine_edges(graph.timing_edges(cm), graph.template_edges(t.dg.withColumnRenamed("g", "group_id")), graph.metadata_edges(cm))
+    """Template edges join equal texts only; near_edges has those of near-duplicates."""
+    return coordination(t, t.dg)
+
+
+@view
+def near_edges(t: Tables) -> DataFrame:
+    return coordination(t, t.ng)
 
 
 @query(f", {EDGES} SELECT src, dst, weight, kinds FROM ed")
@@ -191,6 +229,11 @@ def ag16_edges(t: Tables) -> DataFrame:
     return t.edges
 
 
+@query()
+def ag16_near_edges(t: Tables) -> DataFrame:
+    return t.near_edges
+
+
 #: For the statistics of given communities the clusters of the last runs stand in for them.
 MEMBER = "mb AS (SELECT id, run_id || ':' || cluster AS community FROM lab WHERE cluster <> -1)"
 
@@ -205,6 +248,11 @@ def ag17_community_stats(t: Tables) -> DataFrame:
     return graph.community_stats(t.edges, t.member)
 
 
+@query()
+def ag17_near_stats(t: Tables) -> DataFrame:
+    return graph.community_stats(t.near_edges, t.member)
+
+
 @query(f", {MEMBER}, o AS (SELECT community, docket_id, count(*) AS c FROM mb JOIN cm USING (id) GROUP BY 1, 2) SELECT community, round(max(c) / sum(c), 6) AS overlap FROM o GROUP BY 1")
 def ag18_overlap(t: Tables) -> DataFrame:
     o = t.member.join(t.cm.select("id", "docket_id"), "id").groupBy("community", "docket_id").agg(F.count(F.lit(1)).alias("c"))
@@ -305,6 +353,11 @@ def j14_members_labels(t: Tables) -> DataFrame:
     return t.dg.join(t.lab, "id").groupBy(F.col("g").alias("community"), *BY).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def j14_near_labels(t: Tables) -> DataFrame:
+    return t.ng.join(t.lab, "id").groupBy(F.col("g").alias("community"), *BY).agg(F.count(F.lit(1)).alias("n"))
+
+
 # Learned operators
 
 
@@ -356,7 +409,7 @@ def ml6_projected(t: Tables) -> DataFrame:
 
 @query()
 def ml12_communities(t: Tables) -> DataFrame:
-    return graph.communities(t.edges)
+    return graph.communities(t.near_edges)
 
 
 @query("SELECT id, CASE WHEN cluster = -1 AND p > 0.5 THEN best ELSE cluster END AS cluster FROM (SELECT a.id, a.cluster, max(m.p) AS p, arg_max(m.cluster, m.p) AS best FROM lab a JOIN (SELECT run_id, cluster, count(*) / (sum(count(*)) OVER (PARTITION BY run_id)) AS p FROM lab WHERE cluster <> -1 GROUP BY 1, 2) m USING (run_id) GROUP BY 1, 2)")

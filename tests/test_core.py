@@ -3,6 +3,7 @@ import json
 import subprocess
 import sys
 import urllib.error
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from muster.operators import clusters, graph, style
 from muster.operators.joins import band_pairs, similar_sets
 from muster.operators.scan import cluster_scan
 from muster.sources import rest, store
+from muster.suite import signals  # noqa: F401
+from muster.suite.base import QUERIES, Tables
 
 
 def one(spark, expr, **cols):
@@ -199,3 +202,43 @@ def test_synthetic_campaigns_are_found(spark):
     for name, size, day, hour, minutes, *_ in synthetic.CAMPAIGNS:
         r = found[labels[name]]
         assert r.lambda_star > 50 and (r.end_us - r.start_us) <= minutes * 60_000_000
+
+
+def test_near_groups_hold_edited_copies(spark):
+    base = "we ask the board to keep the rule as it stands because the rivers of this county need it and so do all of the farms along them".split()
+    edited = [*base[:-1], "today"]  # 22 of 24 shingles shared
+    texts = {"b": " ".join(base), "a": " ".join(base).upper(), "c": " ".join(edited), "d": "  " + "  ".join(edited), "e": " ".join(reversed(base)), "f": " "}
+    sets = spark.createDataFrame(list(texts.items()), "id string, text string").select("id", T.shingles(F.col("text")).alias("s"))
+    got = {(r.id, r.group_id) for r in graph.near_groups(sets, "id", "s", 0.7).collect()}
+    assert got == {(x, "a") for x in "abcd"}
+    assert graph.near_groups(sets.where("1 = 0"), "id", "s", 0.7).count() == 0
+
+
+def test_edited_copies_count_as_duplicates(spark):
+    """ag1, ag3, ag16, j14 and ml12 against groups by brute force over the smallest tables."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    sets = {r.id: set(r.s) for r in t.tx.select("id", T.shingles(F.col("text")).alias("s")).collect()}
+    up = {i: i for i in sets}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if len(both := sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b]) and both and find(a) != find(b):
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    sizes = Counter(map(find, ids))
+    want = {i: find(i) for i in ids if sizes[find(i)] > 1}
+    assert {r.id: r.g for r in t.ng.collect()} == want
+    assert len(want) > t.dg.count()
+    labels = [(r.run_id, r.cluster, r.id) for r in t.lab.where("cluster <> -1").collect() if r.id in want]
+    n = Counter((r, c) for r, c, _ in labels)
+    assert {(r.run_id, r.cluster): r.n_duplicates for r in QUERIES["ag1_near_duplicates"](spark, t.dir).where("n_duplicates > 0").collect()} == n
+    assert {(r.run_id, r.cluster): (r.n_near, r.n_groups) for r in QUERIES["ag3_near_members"](spark, t.dir).collect()} == {k: (v, len({want[i] for r, c, i in labels if (r, c) == k})) for k, v in n.items()}
+    e = {(r.src, r.dst) for r in QUERIES["ag16_near_edges"](spark, t.dir).where("kinds LIKE '%template%'").collect()}
+    assert e == {(g, i) for i, g in want.items() if i != g}
+    assert {i for i, g in want.items()} <= {r.id for r in QUERIES["ml12_communities"](spark, t.dir).collect()}
