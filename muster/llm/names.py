@@ -217,8 +217,8 @@ def person_parts(name: str) -> tuple[str, str, str, list[str]] | None:
 
 def _person_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = [(x, p) for x in batch.column(0).to_pylist() if (p := person_parts(x))]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.string()), *(pa.array([p[k] for _, p in got], pa.string()) for k in range(3)), pa.array([p[3] for _, p in got], pa.list_(pa.string()))], ["name", "given", "surname", "generation", "tokens"])
+        got = [(x, p, n) for x, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (p := person_parts(x))]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in got], pa.string()), *(pa.array([p[k] for _, p, _ in got], pa.string()) for k in range(3)), pa.array([p[3] for _, p, _ in got], pa.list_(pa.string())), pa.array([n for _, _, n in got], pa.int64())], ["name", "given", "surname", "generation", "tokens", "rows"])
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,12 +267,15 @@ def org_variants(comments: DataFrame, org_col: str) -> DataFrame:
 
 def person_variants(comments: DataFrame, first_col: str, last_col: str) -> DataFrame:
     """(kind 'person', name_a, name_b): pairs of spellings first|last of one person. Names of fewer than two words name nobody."""
-    names = comments.select(F.concat(normal(F.col(first_col)), F.lit("|"), normal(F.col(last_col))).alias("name")).distinct()
-    parts = cut(names.mapInArrow(_person_parts, "name string, given string, surname string, generation string, tokens array<string>"), "persons")
-    known = cut(parts.where(F.length("given") > 1).groupBy(F.col("given").alias("token")).agg(F.count_distinct("surname").alias("k")).where(F.col("k") >= ATTESTED), "known")
+    names = comments.select(F.concat(normal(F.col(first_col)), F.lit("|"), normal(F.col(last_col))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
+    parts = cut(names.mapInArrow(_person_parts, "name string, given string, surname string, generation string, tokens array<string>, rows long"), "persons")
+    # The fields changed places where the surname is a known given name and mostly one, and the given name is not known as one or mostly a surname.
+    givens = parts.where(F.length("given") > 1).groupBy(F.col("given").alias("token")).agg(F.count_distinct("surname").alias("k"), F.sum("rows").alias("g"))
+    surnames = parts.groupBy(F.col("surname").alias("token")).agg(F.sum("rows").alias("s"))
+    stands = cut(givens.join(surnames, "token", "left").select("token", (F.col("k") >= ATTESTED).alias("known"), (F.col("g") - F.coalesce("s", F.lit(0))).alias("lean")), "stands")
     for part in ("given", "surname"):
-        parts = parts.join(known.select(F.col("token").alias(part), F.col("k").alias(f"{part}_known")), part, "left")
-    turned = F.col("surname_known").isNotNull() & F.col("given_known").isNull() & (F.length("given") > 1)  # the fields changed places
+        parts = parts.join(stands.select(F.col("token").alias(part), F.col("known").alias(f"{part}_known"), F.col("lean").alias(f"{part}_lean")), part, "left")
+    turned = F.coalesce(F.col("surname_known") & (F.col("surname_lean") > 0) & (~F.col("given_known") | (F.col("given_lean") < 0)), F.lit(False))
     parts = cut(parts.select("name", F.when(turned, F.col("surname")).otherwise(F.col("given")).alias("given"), F.when(turned, F.col("given")).otherwise(F.col("surname")).alias("surname"), "generation", "tokens"), "persons")
     sur = parts.groupBy(F.col("surname").alias("token")).agg(F.count_distinct("given").alias("n"), F.count(F.lit(1)).alias("m"))
     giv = parts.where(F.length("given") > 1).groupBy(F.col("given").alias("token")).agg(F.count_distinct("surname").alias("n"), F.count(F.lit(1)).alias("m"))

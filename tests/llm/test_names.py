@@ -39,3 +39,13 @@ def test_variants(spark):
     mine = sorted([f"deborah|{p0}", f"debbie|{p0}", f"d.|{p0}", f"deborah {p0}|", f"|{p0}, deborah", f"dr. deborah|{p0}", f"drborah|{p0}"])
     assert {x for x in got if x[0] == "person"} == {("person", a, b) for k, a in enumerate(mine) for b in mine[k + 1 :]}
     assert name_variants(df.where("1 = 0")).count() == 0
+
+
+def test_swapped_fields_stay_swapped_as_rows_grow(spark):
+    """Each surname is seen as a given name with more than ATTESTED partners, as each given name as a surname."""
+    givens = ["Wilbur", "Hortense", "Cuthbert", "Griselda", "Ottoline", "Barnaby", "Persephone", "Leopold"]
+    sur = names(8, 9)
+    rows = [(None, g, s) for g in givens for s in sur] * 4 + [(None, s, g) for g in givens for s in sur]
+    df = spark.createDataFrame(rows, "organization string, submitter_first string, submitter_last string")
+    got = {tuple(r) for r in name_variants(df).collect()}
+    assert got == {("person", *sorted((f"{g}|{s}".lower(), f"{s}|{g}".lower()))) for g in givens for s in sur}
