@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from muster.functions import text as T
 from muster.functions.fixed import FUNCTION_WORDS, REGISTRY
+from muster.functions.stats import ratcliff
 from muster.operators import graph
 from muster.operators.joins import band_pairs, nearest, ranks_in, similar_sets
 from muster.sources import store
 from muster.suite.base import Tables, query
 from muster.suite.text import ARGS, SHINGLES, VEC
 
+#: Least Ratcliff-Obershelp ratio at which an organisation is a mistyped registry name.
+FUZZY = 0.85
 MATCH_IDS = "SELECT DISTINCT upper(trim(left_id)) AS id FROM comment_matches WHERE trim(left_id) <> ''"
 
 
@@ -165,14 +168,40 @@ def resolved(t: Tables, word_boundary: bool = False) -> DataFrame:
     return best.select("organization", F.col("m.pos").alias("pos"), F.when(F.col("m.inexact"), 0.95).otherwise(1.0).alias("score"))
 
 
+def fuzzy_resolved(t: Tables) -> DataFrame:
+    """resolved(), and for organisations left without an entry the registry name of best ratio from FUZZY on, the first of equals."""
+    first = resolved(t)
+    left = t.cm.where("organization IS NOT NULL").select("organization").distinct().join(first, "organization", "left_anti").withColumn("org", T.normal_org(F.col("organization"))).where("org <> ''")
+    names = left.select("org").distinct().join(F.broadcast(registry(t).select("pos", "name"))).withColumn("score", ratcliff("org", "name")).where(F.col("score") >= FUZZY)
+    best = names.groupBy("org").agg(F.max(F.struct("score", (-F.col("pos")).alias("first"))).alias("m"))
+    mistyped = left.join(best, "org").select("organization", (-F.col("m.first")).cast("int").alias("pos"), F.col("m.score").alias("score"))
+    return first.unionByName(mistyped)
+
+
 @query(f", {RESOLVED} SELECT organization, pos::INT AS pos, score::DOUBLE AS score FROM rs")
 def j12_registry(t: Tables) -> DataFrame:
+    """The two exact stages; j12_fuzzy has the third."""
     return resolved(t)
 
 
+@query()
+def j12_fuzzy(t: Tables) -> DataFrame:
+    return fuzzy_resolved(t)
+
+
 @query(f", {RESOLVED} SELECT cm.id, reg.name, reg.sector, reg.intensity FROM cm JOIN rs USING (organization) JOIN reg ON reg.pos = rs.pos")
 def j13_attributes(t: Tables) -> DataFrame:
-    e = resolved(t).join(F.broadcast(registry(t)), "pos").select("organization", "name", "sector", "intensity")
+    """By the two exact stages; j13_fuzzy has all three."""
+    return attributes(t, resolved(t))
+
+
+@query()
+def j13_fuzzy(t: Tables) -> DataFrame:
+    return attributes(t, fuzzy_resolved(t))
+
+
+def attributes(t: Tables, found: DataFrame) -> DataFrame:
+    e = found.join(F.broadcast(registry(t)), "pos").select("organization", "name", "sector", "intensity")
     return t.cm.select("id", "organization").join(e, "organization").select("id", "name", "sector", "intensity")
 
 

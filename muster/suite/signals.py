@@ -10,7 +10,7 @@ from muster.operators import clusters as C
 from muster.operators import graph
 from muster.operators.scan import cluster_scan, count_windows
 from muster.suite.base import Tables, query, view
-from muster.suite.relational import KEY, META, RESOLVED, registry, resolved
+from muster.suite.relational import KEY, META, RESOLVED, fuzzy_resolved, registry, resolved
 from muster.suite.text import ARGS, VEC
 
 BY = ["run_id", "cluster"]
@@ -135,7 +135,17 @@ def ag7_geography(t: Tables) -> DataFrame:
 
 @query(f", {RESOLVED}, m AS (SELECT cc.id, cc.run_id, cc.cluster, reg.name, reg.sector, reg.intensity FROM cc LEFT JOIN rs USING (organization) LEFT JOIN reg ON reg.pos = rs.pos WHERE cluster <> -1), e AS (SELECT run_id, cluster, name, count(*) AS c FROM m WHERE name IS NOT NULL GROUP BY 1, 2, 3) SELECT m.run_id, m.cluster, count(m.name) AS n_matched, round(count(m.name) / count(*), 3) AS match_rate, count(DISTINCT m.name) AS n_entities, round(sum(CASE WHEN intensity IN ('high', 'very_high') THEN 1 ELSE 0 END) / greatest(1, count(m.name)), 3) AS high_pct, (SELECT round(max(c) / sum(c), 4) FROM e WHERE e.run_id = m.run_id AND e.cluster = m.cluster) AS concentration FROM m GROUP BY 1, 2 HAVING count(*) >= 3")
 def ag8_entities(t: Tables) -> DataFrame:
-    e = resolved(t).join(F.broadcast(registry(t)), "pos").select("organization", "name", "intensity")
+    """By the two exact stages of resolving; ag8_fuzzy has all three."""
+    return entities(t, resolved(t))
+
+
+@query()
+def ag8_fuzzy(t: Tables) -> DataFrame:
+    return entities(t, fuzzy_resolved(t))
+
+
+def entities(t: Tables, found: DataFrame) -> DataFrame:
+    e = found.join(F.broadcast(registry(t)), "pos").select("organization", "name", "intensity")
     m = t.cc.where("cluster <> -1").select(*BY, "organization").join(e, "organization", "left")
     c = m.groupBy(*BY, "name").agg(F.count(F.lit(1)).alias("c"), F.sum(F.when(F.col("intensity").isin("high", "very_high"), 1).otherwise(0)).alias("hi"))
     named = F.col("name").isNotNull()

@@ -1,9 +1,11 @@
 import datetime as dt
+import difflib
 import json
 import subprocess
 import sys
 import urllib.error
 from collections import Counter
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from muster.operators import clusters, graph, style
 from muster.operators.joins import band_pairs, similar_sets
 from muster.operators.scan import cluster_scan
 from muster.sources import rest, store
-from muster.suite import signals  # noqa: F401
+from muster.suite import relational, signals  # noqa: F401
 from muster.suite.base import QUERIES, Tables
 
 
@@ -242,3 +244,22 @@ def test_edited_copies_count_as_duplicates(spark):
     e = {(r.src, r.dst) for r in QUERIES["ag16_near_edges"](spark, t.dir).where("kinds LIKE '%template%'").collect()}
     assert e == {(g, i) for i, g in want.items() if i != g}
     assert {i for i, g in want.items()} <= {r.id for r in QUERIES["ml12_communities"](spark, t.dir).collect()}
+
+
+def test_mistyped_organisations_resolve(spark, monkeypatch):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    name, other = (r.name for r in relational.registry(t).where("length(name) >= 15").orderBy("pos").limit(2).collect())
+    slip = name[:6] + name[7:]
+    orgs = [(name,), (slip,), ("x" + name + " office",), ("zzzz qqqq",), ("",), (None,)]
+    rows = spark.createDataFrame([(f"c{k}", o) for k, (o,) in enumerate(orgs)], "id string, organization string")
+    reg = spark.createDataFrame([(3, other, "s", "t", "high"), (5, name, "s", "t", "high"), (9, name, "s", "t", "low")], "pos int, name string, sector string, type string, intensity string")
+    monkeypatch.setattr(relational, "registry", lambda t: reg)
+    small = SimpleNamespace(cm=rows)
+    got = {r.organization: (r.pos, round(r.score, 6)) for r in relational.fuzzy_resolved(small).collect()}
+    ratio = difflib.SequenceMatcher(None, normal_org(spark, slip), name).ratio()
+    assert got == {name: (5, 1.0), slip: (5, round(ratio, 6)), "x" + name + " office": (5, 0.95)} and ratio >= 0.85
+    assert {r.id for r in relational.attributes(small, relational.fuzzy_resolved(small)).collect()} == {"c0", "c1", "c2"}
+
+
+def normal_org(spark, name):
+    return one(spark, T.normal_org(F.lit(name)))
