@@ -188,7 +188,7 @@ def most_similar(vectors: DataFrame, id_col: str, vec_col: str, k: int = 10, dim
     big, step = out.where("big").select("key", "cid", "q", "pivots"), 0
     while not big.isEmpty():
         step += 1
-        # The last split is by the whole list, then in chance parts, each list against those in its part.
+        # What is still too long after the splits is cut in chance parts, four times over; pairs that share no part are lost.
         if step <= MORE_STEPS:
             more = big.mapInArrow(_split(step), "key long, cid long, q binary, pivots binary")
         else:
