@@ -58,8 +58,13 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     left = {n: c for n, c in counts.items() if c > 0}
     lengths = sorted(left)
     out: list[tuple[tuple[int, ...], int]] = []
+    held = sum(1 << n for n in left)  # bit n: length n is left
+    turned = sum(1 << (capacity - n) for n in left)
 
     def drop(n: int) -> None:
+        nonlocal held, turned
+        held ^= 1 << n
+        turned ^= 1 << (capacity - n)
         del left[n]
         lengths.pop(bisect.bisect_left(lengths, n))
 
@@ -74,22 +79,22 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
                 break
             if have(n) > 0 and have(gap - n, int(gap - n == n)) > 0:
                 return (n, gap - n)
-        tried = 0
         for k in range(top - 1, -1, -1):
             a = lengths[k]
-            if 3 * a < gap or tried > 64:
+            if 3 * a < gap:
                 break
             if have(a) <= 0:
                 continue
             rest = gap - a
-            tried += 1
-            for j in range(min(k, bisect.bisect_right(lengths, rest) - 1), -1, -1):
-                b = lengths[j]
+            both = held & (turned >> (capacity - rest)) & ((2 << a) - 1)  # bit b: b, at most a, and rest - b are left
+            while both:
+                b = both.bit_length() - 1
                 if 2 * b < rest:
                     break
                 c = rest - b
                 if have(b, int(a == b)) > 0 and have(c, int(a == c) + int(b == c)) > 0:
                     return (a, b, c)
+                both ^= 1 << b
         return None
 
     while lengths:

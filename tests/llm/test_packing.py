@@ -43,3 +43,8 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "hello world " * 20000), (5, "<|endoftext|>")], "doc_id long, text string")
     got = {r.id: r.n_tokens for r in token_counts(df, "doc_id", "text").collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 39_000 and got[5] > 1
+
+
+def test_triple_below_many_larger_lengths():
+    counts = {n: 1 for n in range(300, 400) if n not in (330, 332, 338)} | {500: 1, 170: 1, 168: 1, 162: 1}
+    assert plan(counts, 1000)[0] == ((500, 170, 168, 162), 1)
