@@ -13,23 +13,24 @@ and a hub's edges spread over a whole row of cells.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 import xxhash
 
-from muster.plans.lineage import cut
+from muster.plans.lineage import cut, cut_counted, settled
 
-#: With at most so many edges left, one cell holds them all.
-ONE_CELL_EDGES = 200_000
-#: Edges aimed at per cell; sets how fine the grid is.
-EDGES_PER_CELL = 50_000
-MAX_BLOCKS = 256
+#: Edges aimed at per cell, as a multiple of the root of their number, so that cells grow in size and in number: 1,600 edges
+#: make one cell, a million 25 of 40,000, ten thousand millions 2,500 of four millions.
+EDGES_PER_ROOT = 40
+#: Vertices a worker holds; a cell with more is worked on in parts, each with a union-find of its own.
+HELD = 400_000
 
 
-def _forest(seed: int):
-    """Local union-find over the edges of one partition of cells, as (vertex, representative). seed -1: the least vertex represents."""
+def _forest(seed: int, held: int = HELD):
+    """Local union-find over the edges of a cell: (vertex, representative), and (representative, null) for those that stand for others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict = {}
@@ -44,12 +45,19 @@ def _forest(seed: int):
             return root
 
         def order(x):
-            if seed < 0:
-                return x
             if x not in rank:
                 rank[x] = (xxhash.xxh64_intdigest(str(x), seed), x)
             return rank[x]
 
+        def found(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            links = [(x, r) for x in list(parent) if (r := find(x)) != x]
+            links += [(r, None) for r in {r for _, r in links}]
+            for k in range(0, len(links), 50_000):
+                part = links[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], kind), pa.array([r for _, r in part], kind)], ["v", "root"])
+            parent.clear()
+            rank.clear()
+
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
@@ -61,15 +69,16 @@ def _forest(seed: int):
                     parent[b] = a
                 else:
                     parent[a] = b
-        found = [(x, r) for x in list(parent) if (r := find(x)) != x]
-        for k in range(0, len(found), 50_000):
-            part = found[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], kind), pa.array([r for _, r in part], kind)], ["v", "root"])
+            if len(parent) > held:
+                yield from found(kind)
+        if parent:
+            yield from found(kind)
 
     return run
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, one_cell_edges: int = ONE_CELL_EDGES) -> DataFrame:
+@settled
+def connected_components(edges: DataFrame, src: str, dst: str, edges_per_root: int = EDGES_PER_ROOT, held: int = HELD) -> DataFrame:
     """(id, group_id) for each end of an edge between two different vertices; group_id is the least id of the group.
 
     Nulls: an edge with a null end links nothing. Repeated and turned edges count once, and an
@@ -79,42 +88,31 @@ def connected_components(edges: DataFrame, src: str, dst: str, one_cell_edges: i
     a, b = F.col(src), F.col(dst)
     kind = edges.select(src).dtypes[0][1]
     active = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    active = cut(active, "edges")
+    active, n = cut_counted(active, "edges")
     parents: list[DataFrame] = []
-    n = active.count()
     while n:
-        blocks = 1 if n <= one_cell_edges else min(MAX_BLOCKS, max(2, int((n / EDGES_PER_CELL) ** 0.5) + 1))
-        if blocks == 1:
-            cells = active.coalesce(1)
-        else:
-            block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-            cells = active.repartition(blocks * blocks, block(F.col("a")), block(F.col("b")))
-        stars = cells.mapInArrow(_forest(-1 if blocks == 1 else len(parents)), f"v {kind}, root {kind}")
-        if blocks == 1:
-            parents.append(cut(stars.select("v", F.col("root").alias("parent")), "parents"))
-            break
-        stars = cut(stars, "stars")
-        least = stars.groupBy("v").agg(F.min("root").alias("parent"))
-        stands = stars.select(F.col("root").alias("v")).distinct()
-        parents.append(cut(least.join(stands, "v", "left_anti"), "parents"))
-        kept = least.join(stands, "v", "left_semi").select(F.col("v").alias("a"), F.col("parent").alias("b"))
-        others = stars.join(least, "v").where(F.col("root") != F.col("parent")).select(F.col("parent").alias("a"), F.col("root").alias("b"))
-        active = cut(kept.unionByName(others).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-        n = active.count()
+        blocks = ceil((n**0.5 / edges_per_root) ** 0.5)
+        block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+        cells = active.repartitionById(blocks * blocks, block(F.col("a")) * blocks + block(F.col("b")))
+        stars = cells.mapInArrow(_forest(len(parents), held), f"v {kind}, root {kind}")
+        # What the cells of its row and column found for a vertex; it has at most one representative a cell (or part of one).
+        met = stars.groupBy("v").agg(F.min("root").alias("parent"), F.max(F.col("root").isNull()).alias("stands"), F.collect_set("root").alias("roots"))
+        met = cut(met.where("parent IS NOT NULL"), "stars")
+        parents.append(met.where("NOT stands").select("v", "parent"))
+        kept = met.where("stands").select(F.col("v").alias("a"), F.col("parent").alias("b"))
+        others = met.where(F.size("roots") > 1).select(F.col("parent").alias("a"), F.explode("roots").alias("b")).where("a <> b")
+        active, n = cut_counted(kept.unionByName(others).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     if not parents:
-        none = edges.select(F.col(src).alias("id"), F.col(src).alias("group_id")).where(F.lit(False))
-        return none
+        return edges.select(F.col(src).alias("id"), F.col(src).alias("group_id")).where(F.lit(False))
     # A parent is a vertex that stayed in the graph, so it may have a parent of a later round.
     labels = parents[-1]
     for p in reversed(parents[:-1]):
         later = labels.select(F.col("v").alias("parent"), F.col("parent").alias("top"))
         labels = cut(labels.unionByName(p.join(later, "parent", "left").select("v", F.coalesce("top", "parent").alias("parent"))), "labels")
-    roots = labels.select(F.col("parent").alias("v"), "parent").distinct()
-    labels = labels.unionByName(roots)
-    if len(parents) > 1:  # representatives were chosen by hash: name each group by its least id
-        names = labels.groupBy("parent").agg(F.min("v").alias("least"))
-        labels = labels.join(names, "parent").select("v", F.col("least").alias("parent"))
-    return labels.select(F.col("v").alias("id"), F.col("parent").alias("group_id"))
+    # Representatives were chosen by hash: each group is named by its least id.
+    names = labels.groupBy("parent").agg(F.least(F.min("v"), F.first("parent")).alias("least"))
+    members = labels.unionByName(names.select(F.col("parent").alias("v"), "parent"))
+    return members.join(names, "parent").select(F.col("v").alias("id"), F.col("least").alias("group_id"))
 
 
 def match_groups(matches: DataFrame, src: str = "left_id", dst: str = "right_id") -> DataFrame:
