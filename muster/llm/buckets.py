@@ -2,7 +2,8 @@
 
 Rows are hashed by key and sorted within each partition, so that a bucket is a run of rows.
 Runs up to a limit go to a vectorised function, many runs of one length at a time. A longer
-run is never held: its rows are passed on, marked, for the caller to split by a longer key.
+run is never held: its rows are passed on, marked, for the caller to split by a longer key; if
+asked, they are also worked on in windows of the limit, in the order of further columns.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
     return out
 
 
-def bucket_runs(df: DataFrame, limit: int, work: Pairs, work_schema: pa.Schema, big_fields: list[int], schema: str) -> DataFrame:
+def bucket_runs(df: DataFrame, limit: int, work: Pairs, work_schema: pa.Schema, big_fields: list[int], schema: str, windows_by: str | None = None) -> DataFrame:
     """df: first column the bucket key (long), then columns of numbers or binaries of one width.
 
     work(columns, idx) gets the columns of a stretch and the row numbers of equally long runs,
@@ -60,6 +61,14 @@ def bucket_runs(df: DataFrame, limit: int, work: Pairs, work_schema: pa.Schema,
         long_key = None
         big_types: list = []
 
+        def long_rows(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            yield emit(None, cols, big_types)
+            if windows_by is not None:
+                for k in range(0, len(cols[0]) - 1, limit):
+                    found = work(cols, np.arange(k, min(k + limit, len(cols[0])))[None, :])
+                    if len(found[0]):
+                        yield emit(found, None, big_types)
+
         def done(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             """All runs of cols are whole, but for the rest of the long run under way."""
             nonlocal long_key
@@ -69,7 +78,7 @@ def bucket_runs(df: DataFrame, limit: int, work: Pairs, work_schema: pa.Schema,
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             lens = np.diff(np.r_[starts, len(key)])
             for s, m in zip(starts[lens > limit], lens[lens > limit]):
-                yield emit(None, [c[s : s + m] for c in cols], big_types)
+                yield from long_rows([c[s : s + m] for c in cols])
             for m in np.unique(lens[(lens > 1) & (lens <= limit)]):
                 at = starts[lens == m]
                 step = max(1, CELLS // int(m * m))
@@ -89,7 +98,7 @@ def bucket_runs(df: DataFrame, limit: int, work: Pairs, work_schema: pa.Schema,
             if long_key is not None:  # goes on, or ends here
                 m = int(np.argmax(np.r_[key != long_key, True]))
                 if m:
-                    yield emit(None, [c[:m] for c in cols], big_types)
+                    yield from long_rows([c[:m] for c in cols])
                     cols = [c[m:] for c in cols]
                     key = cols[0]
                 if not len(key):
@@ -101,10 +110,10 @@ def bucket_runs(df: DataFrame, limit: int, work: Pairs, work_schema: pa.Schema,
             carry = [c[last:] for c in cols]
             if len(carry[0]) > limit:
                 long_key = carry[0][0]
-                yield emit(None, carry, big_types)
+                yield from long_rows(carry)
                 carry = None
         if carry is not None:
             yield from done(carry)
 
     key = df.columns[0]
-    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, *[windows_by] * (windows_by is not None)).mapInArrow(run, schema)

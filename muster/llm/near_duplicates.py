@@ -1,18 +1,24 @@
 """Problem 6: groups of texts that are edited copies of each other, by chosen paths.
 
-Texts with the same set of word shingles form a class, which counts once from then on. A
-class follows several runs of paths; at each step of a path it goes where one of its shingles,
-drawn by a random order shared by all (the least in it), leads, so that two classes stay
-together over a step with a probability equal to their similarity. Classes that end a path
-together are compared within their bucket by 64-bit sketches; a bucket over the limit is split
-by further steps. Pairs that pass the sketch are verified on their whole sets. First the best
-partner of each class is verified and joined; then all pairs between classes that are still
-apart. Pairs inside a joined group need no check, so a large group costs no more than its size.
+Texts with the same set of word shingles form a class, which counts once from then on. A class
+follows paths: at each step it goes where one of its shingles, drawn by a random order shared by
+all (the least in it), leads, so that two classes stay together over a step with a probability
+equal to their similarity. A path ends as soon as its bucket is small, and the bucket is compared
+pair by pair; in buckets still too large, where comparing is not cheaper, the classes start anew
+with paths one step longer. For paths of d steps as many runs are made as it takes for a pair at
+the threshold to meet in one of them with the wanted recall, so each pair is sought at a depth at
+which its buckets end, with enough runs for that depth.
+
+Rows that meet are told apart by how many of 64 draws they share, and pairs that pass are
+verified on their whole sets. First each class is compared with its best partner only, and what
+is verified is joined; from then on only pairs between groups still apart are compared, so a large
+group of copies costs no more than its size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -21,40 +27,43 @@ from pyspark.sql import DataFrame, functions as F
 from muster.llm.buckets import bucket_runs
 from muster.llm.components import connected_components
 from muster.llm.shingles import mix, shingle_runs, shingle_sets
-from muster.plans.lineage import cut
+from muster.plans.lineage import cut, cut_counted, settled
 
-#: Random orders a class is drawn by; each gives 16 bits of its least shingle.
+#: Random orders a class is drawn by; each gives 16 bits of its least shingle, the first also 32 for paths of one step.
 ORDERS = 64
-#: A pair of similarity 0.5 shares one path of three steps with probability 1/8, one of RUNS with 0.97; one of 0.6 with 0.998.
-RUNS, STEPS = 26, 3
+#: Wanted probability that a pair at the threshold is found by itself (without links through others).
+RECALL = 0.99
 #: Buckets up to this size are compared pair by pair.
 BUCKET = 128
-#: Buckets that stay over the limit are split until comparing the smaller groups in them with all of them takes
-#: at most so many pairs for each class, or for so many steps.
-REST_PAIRS, MORE_STEPS = 100, 12
-#: Of 64 sketch bits, those that may differ; at similarity 0.5 16 differ on average, standard deviation 3.5.
-FAR_BITS = 25
-#: Pairs this close are of similarity 0.5 or more but for one in a hundred.
-SURE_BITS = 8
 #: Sides of a join up to this many ids are broadcast.
 BROADCAST_IDS = 1_000_000
 
 _MUL = (mix(np.arange(1, ORDERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _XOR = (mix(np.arange(1, ORDERS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)).astype(np.uint32)
-_rng = np.random.default_rng(6)
-_PATHS = np.stack([_rng.choice(ORDERS, STEPS, replace=False) for _ in range(RUNS)])
 
 
-def _draws(starts: np.ndarray, sh: np.ndarray) -> np.ndarray:
-    """(texts, ORDERS) 16 bits each of the least shingle by each order; sh 32-bit hashes, text after text."""
-    out = np.empty((len(starts), ORDERS), dtype=np.uint16)
-    for j in range(ORDERS):
-        least = np.minimum.reduceat((sh ^ _XOR[j]) * _MUL[j], starts)
-        out[:, j] = mix(least.astype(np.uint64)) & np.uint64(0xFFFF)
-    return out
+def runs_needed(threshold: float, recall: float, depth: int) -> int:
+    """Paths of so many steps after which a pair at the threshold has met with probability recall."""
+    return max(1, ceil(log(1 - recall) / log(1 - min(threshold, 0.999) ** depth)))
 
 
-def _signatures(min_chars: int):
+def least_shared(threshold: float, recall: float) -> int:
+    """The most draws a pair at the threshold shares with probability recall or more."""
+    below, k = 0.0, 0
+    while k < ORDERS:
+        below += comb(ORDERS, k) * threshold**k * (1 - threshold) ** (ORDERS - k)
+        if below > 1 - recall:
+            break
+        k += 1
+    return k
+
+
+def _paths(runs: int, depth: int) -> np.ndarray:
+    rng = np.random.default_rng([6, depth])
+    return np.stack([rng.choice(ORDERS, depth, replace=False) for _ in range(runs)])
+
+
+def _signatures(min_chars: int, firsts: int):
     """Classes are told by the hashes of a text's shingles with their number of times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,70 +74,77 @@ def _signatures(min_chars: int):
                 if not len(sh):
                     continue
                 starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                draws = _draws(starts, (sh >> np.uint64(32)).astype(np.uint32))
+                short = (sh >> np.uint64(32)).astype(np.uint32)
+                least = np.empty((len(starts), ORDERS), dtype=np.uint32)
+                for j in range(ORDERS):
+                    least[:, j] = np.minimum.reduceat((short ^ _XOR[j]) * _MUL[j], starts)
+                draws = (mix(least.astype(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
                 cid = mix(np.add.reduceat(mix(sh), starts) ^ mix(np.add.reduceat(sh * (sh | np.uint64(1)), starts))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[starts])), pa.array(cid), pa.array([x.tobytes() for x in draws], pa.binary())], ["id", "cid", "draws"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[starts])), pa.array(cid), pa.array([x.tobytes() for x in draws], pa.binary()), pa.array([x.tobytes() for x in least[:, :firsts]], pa.binary())], ["id", "cid", "draws", "first"])
 
     return run
 
 
-def _sketch(draws: np.ndarray) -> np.ndarray:
-    """One bit of each order, from bits that the paths' keys mix with others."""
-    return np.packbits((draws ^ (draws >> 7)) & 1, axis=1).view(np.uint64)[:, 0].view(np.int64)
+def _posts(depth: int, runs: int, firsts: int):
+    """(cid, colour, draws, first) to one row a run: (key of the path's end, cid, colour, one byte of each draw)."""
+    paths = _paths(runs, depth) if depth > 1 else None
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            draws = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint16).reshape(n, ORDERS)
+            which = np.arange(runs, dtype=np.uint64)
+            if depth == 1:
+                first = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint32).reshape(n, firsts)
+                keys = mix(first.astype(np.uint64) + (which << np.uint64(40)) + np.uint64(1))
+            else:
+                keys = np.full((n, runs), mix(np.array([depth], dtype=np.uint64))[0])
+                for k in range(depth):
+                    keys = mix(keys ^ mix(draws[:, paths[:, k]].astype(np.uint64) + (which << np.uint64(20)) + np.uint64(1)))
+            bytes_ = [x.tobytes() for x in (draws & 0xFF).astype(np.uint8)]
+            many = lambda c: pa.array(np.repeat(c.to_numpy(), runs))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), many(batch.column(0)), many(batch.column(1)), pa.array([x for x in bytes_ for _ in range(runs)], pa.binary())], ["key", "cid", "colour", "draws"])
 
-def _first_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        draws = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, ORDERS)
-        sketch = _sketch(draws)
-        keys = np.zeros((len(draws), RUNS), dtype=np.uint64)
-        for k in range(STEPS):
-            keys = mix(keys ^ mix(draws[:, _PATHS[:, k]].astype(np.uint64) + (np.arange(RUNS, dtype=np.uint64) << np.uint64(20)) + np.uint64(1)))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), RUNS)), pa.array(np.repeat(sketch, RUNS))], ["key", "cid", "sketch"])
-
-
-def _more_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row of a bucket over the limit goes on by two more draws, chosen by the bucket's key: two rows."""
+    return run
+
+
+_POST = "key long, cid long, colour long, draws binary"
+
+
+def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        draws = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint16).reshape(-1, ORDERS)
-        key = batch.column(0).to_numpy().view(np.uint64)
-        new = []
-        for child in (1, 2):
-            at = (mix(key + np.uint64(child)) % np.uint64(ORDERS)).astype(np.int64)
-            new.append(mix(key ^ mix(draws[np.arange(len(draws)), at].astype(np.uint64) + np.uint64(child << 20))))
-        twice = lambda c: pa.array(np.concatenate([c.to_numpy()] * 2))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(new).view(np.int64)), twice(batch.column(1)), pa.array(np.concatenate([_sketch(draws)] * 2)), twice(batch.column(2))], ["key", "cid", "sketch", "colour"])
-
-
-def _close(cols: list[np.ndarray], idx: np.ndarray) -> list[np.ndarray]:
-    """Pairs of a bucket whose sketches are close; of coloured rows only those of different colours.
-
-    Where two rows are both very close to an earlier one, their own pair is left out: the links to
-    that one join them.
-    """
-    m = idx.shape[1]
-    sk = cols[2][idx]
-    apart = np.bitwise_count((sk[:, :, None] ^ sk[:, None, :]).view(np.uint64))
-    later = np.triu(np.ones((m, m), bool), 1)
-    ok = (apart <= FAR_BITS) & later
-    if m > 2:
-        sure = ((apart <= SURE_BITS) & later).astype(np.float32)
-        ok &= (sure.transpose(0, 2, 1) @ sure) == 0
-    run, i, j = np.nonzero(ok)
-    x, y = idx[run, i], idx[run, j]
-    ok = cols[1][x] != cols[1][y]
-    if len(cols) > 3:
-        ok &= cols[3][x] != cols[3][y]
-    a, b = cols[1][x[ok]], cols[1][y[ok]]
-    return [np.minimum(a, b), np.maximum(a, b)]
+        if batch.num_rows:
+            draws = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint16).reshape(-1, ORDERS)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.tobytes() for x in (draws & 0xFF).astype(np.uint8)], pa.binary())], ["key", "cid", "colour", "draws"])
+
+
+def _close(shared: int, best: bool):
+    """Pairs of a bucket of different colours that share enough draws; best: for each row only the best partner before it (after it, if none is before)."""
+
+    def run(cols: list[np.ndarray], idx: np.ndarray) -> list[np.ndarray]:
+        m = idx.shape[1]
+        draws, colour, cid = cols[3][idx], cols[2][idx], cols[1][idx]
+        same = np.zeros((len(idx), m, m), dtype=np.uint8)
+        for j in range(ORDERS):
+            same += draws[:, :, None, j] == draws[:, None, :, j]
+        same[(colour[:, :, None] == colour[:, None, :]) | (same < shared)] = 0
+        if best:
+            before = np.where(np.tril(np.ones((m, m), bool), -1), same, 0)
+            none = before.max(axis=2, initial=0) == 0
+            before[none] = same[none]
+            run_, i = np.nonzero(before.max(axis=2, initial=0) > 0)
+            j = before[run_, i].argmax(axis=1)
+        else:
+            run_, i, j = np.nonzero(np.triu(same, 1))
+        a, b = cid[run_, i], cid[run_, j]
+        return [np.minimum(a, b), np.maximum(a, b)]
+
+    return run
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-_OUT = "big boolean, a long, b long, key long, cid long"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,73 +171,154 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def near_duplicate_groups(texts: DataFrame, id_col: str, text_col: str, threshold: float = 0.5, min_chars: int = 30, bucket: int = BUCKET) -> DataFrame:
+def _usable(texts: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    return rows.where(F.length("text") >= min_chars)
+
+
+@settled
+def near_duplicate_groups(texts: DataFrame, id_col: str, text_col: str, threshold: float = 0.5, min_chars: int = 30, bucket: int = BUCKET, recall: float = RECALL) -> DataFrame:
     """(id, group_id) of all texts near-duplicate to another, directly or through others.
 
     Similarity is the Jaccard index of the distinct runs of five words (runs of letters and
-    digits, lower-cased). group_id is the least id of the group. Null, blank and short texts
-    (under min_chars once trimmed) and texts of fewer than five words are in no group; a
-    repeated id with the same text counts once. Copies join their class, however many they are.
-    Ids may be strings or integers. An empty table gives an empty result; other columns are ignored.
+    digits, lower-cased). group_id is the least id of the group. A pair at the threshold is found
+    by itself with probability recall; depth and number of paths follow from the two. Null, blank
+    and short texts (under min_chars once trimmed) and texts of fewer than five words are in no
+    group; a repeated id with the same text counts once. Copies join their class, however many
+    they are. Ids may be strings or integers. An empty table gives an empty result; other columns
+    are ignored.
     """
     kind = texts.select(id_col).dtypes[0][1]
-    rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    rows = rows.where(F.length("text") >= min_chars)
-    signed = cut(rows.mapInArrow(_signatures(min_chars), f"id {kind}, cid long, draws binary"), "signed")
-    classes = signed.groupBy("cid").agg(F.min("id").alias("id"), F.first("draws").alias("draws"))
-
-    reps = signed.groupBy("cid").agg(F.min("id").alias("id"))
-    n_classes = signed.select("cid").distinct().count()
-
-    def bucketed(keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-        """Pairs found in buckets, and rows of buckets over the limit, whose least class is paired with each of the others."""
-        coloured = "colour" in keys.columns
-        out = cut(bucket_runs(keys, bucket, _close, _PAIR, [0, 1, 3] if coloured else [0, 1], _OUT + ", colour long" * coloured), "buckets")
-        near, big = out.where(~F.col("big")).select("a", "b"), out.where("big").select("key", "cid", *["colour"] * coloured).distinct()
-        if big.isEmpty():
-            return near.distinct(), None
-        heads = big.groupBy("key", F.col("colour" if coloured else "cid").alias("colour")).agg(F.min("cid").alias("cid"))  # one of each group
-        hubs = heads.groupBy("key").agg(F.min("cid").alias("hub"))
-        stars = heads.join(hubs, "key").where(F.col("cid") != F.col("hub")).select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
-        return near.unionByName(stars).distinct(), big.select("key", "cid")
-
+    rows = _usable(texts, id_col, text_col, min_chars)
+    each = 1 - (1 - recall) / 2  # half of what may be lost by the paths, half by the draws
+    firsts, shared = runs_needed(threshold, each, 1), least_shared(threshold, each)
+    signed = cut(rows.mapInArrow(_signatures(min_chars, firsts), f"id {kind}, cid long, draws binary, first binary"), "signed")
+    classes = cut(signed.groupBy("cid").agg(F.min("id").alias("id"), F.first("draws").alias("draws"), F.first("first").alias("first")), "classes")
+
+    def bucketed(posts: DataFrame, best: bool, limit: int = bucket, windows: bool = True) -> tuple[DataFrame, DataFrame]:
+        """Pairs found, and (key, cid) of buckets over the limit."""
+        out = bucket_runs(posts, limit, _close(shared, best), _PAIR, [0, 1], "big boolean, a long, b long, key long, cid long", "draws" if windows else None)
+        out = cut(out.distinct(), "buckets")
+        return out.where("NOT big").select("a", "b"), out.where("big").select("key", "cid")
+
+    @settled
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose whole shingle sets are similar enough; the sets come from the text of each class's least id."""
-        pairs = cut(pairs, "pairs")
         ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-        wanted = cut(reps.join(_small(cut(ends, "ends")), "cid"), "wanted")
+        wanted = cut(classes.select("cid", "id").join(_small(cut(ends, "ends")), "cid"), "wanted")
         held = rows.join(_small(wanted), "id").select("cid", "text").mapInArrow(_sets, "cid long, shingles binary")
         sets = cut(held.groupBy("cid").agg(F.first("shingles").alias("shingles")), "sets")
         one = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a")
         both = one.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-        return cut(both.mapInArrow(_similar(threshold), "a long, b long"), "links")
-
-    keys = classes.select("cid", "draws").mapInArrow(_first_keys, "key long, cid long, sketch long")
-    pairs, big = bucketed(keys)
+        return both.mapInArrow(_similar(threshold), "a long, b long")
+
+    def tinted(which: DataFrame) -> DataFrame:
+        """Rows of (.., cid) with the colour of their group so far."""
+        return which.join(colour, "cid", "left").withColumn("colour", F.coalesce("colour", "cid"))
+
+    def compared(mixed: DataFrame) -> DataFrame:
+        """Pairs of different colours in mixed buckets, all: the rows outside a bucket's largest group with all its rows, chunk by chunk."""
+        chunk = 2 * bucket
+        nr, na = (F.ceil(F.col(c) / chunk).cast("int") for c in ("rest", "n"))
+        place = lambda k, salt: F.pmod(F.xxhash64("cid", F.lit(salt)), k).cast("int")
+        fewer = mixed.where("colour <> main").withColumn("i", place(nr, 1)).withColumn("j", F.explode(F.sequence(F.lit(0), na - 1)))
+        every = mixed.withColumn("j", place(na, 2)).withColumn("i", F.explode(F.sequence(F.lit(0), nr - 1)))
+        keyed = fewer.unionByName(every).select(F.xxhash64("key", "i", "j").alias("key"), "cid", "colour").distinct()
+        posts = keyed.join(classes.select("cid", "draws"), "cid").select("key", "cid", "colour", "draws").mapInArrow(_bytes, _POST)
+        return bucketed(posts, False, limit=1 << 30, windows=False)[0]
+
+    colour = classes.select("cid", F.col("cid").alias("colour"))
+    pairs, big = bucketed(classes.select("cid", F.col("cid").alias("colour"), "draws", "first").mapInArrow(_posts(1, firsts, firsts), _POST), best=True)
     links = verified(pairs)
-    step = 0
-    while big is not None:
-        # Rows of one joined group need no more pairs: what counts is where a bucket mixes groups.
-        step += 1
-        colour = cut(connected_components(links, "a", "b"), "colours")
-        tinted = big.join(colour.select(F.col("id").alias("cid"), F.col("group_id").alias("colour")), "cid", "left").withColumn("colour", F.coalesce("colour", "cid"))
-        sizes = cut(tinted.groupBy("key", "colour").agg(F.count(F.lit(1)).alias("n")), "sizes")
-        mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "colour")).alias("top"), F.sum("n").alias("n")).where("k > 1")
-        cost = mixed.agg(F.sum(F.col("n") * (F.col("n") - F.col("top.n")).cast("double"))).first()[0]
-        if cost is None:
+    again: DataFrame | None = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    depth = 1
+    while True:
+        colour = connected_components(links, "a", "b").select(F.col("id").alias("cid"), F.col("group_id").alias("colour"))
+        # A bucket over the limit whose rows are of one group needs no more; one with few others, or where it is cheaper, is compared whole.
+        of = tinted(big)
+        sizes = of.groupBy("key", "colour").agg(F.count(F.lit(1)).alias("n"))
+        mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "colour")).alias("top"), F.sum("n").alias("n")).select("key", "n", (F.col("n") - F.col("top.n")).alias("rest"), F.col("top.colour").alias("main")).where("rest > 0")
+        mixed, n_mixed = cut_counted(of.join(mixed, "key"), "mixed")
+        found = None
+        hot = None
+        if n_mixed:
+            deeper = mixed.where(F.col("rest") > bucket)
+            hot = cut(deeper.select("cid").distinct(), "hot")
+            cost = deeper.agg(F.sum(F.col("rest").cast("double"))).first()[0] or 0.0
+            if cost <= hot.count() * runs_needed(threshold, each, depth + 1) * float(bucket):
+                hot, whole = None, mixed
+            else:
+                whole = mixed.where(F.col("rest") <= bucket)
+            found = compared(whole)
+        posts = None
+        if again is not None:  # the first buckets once more, all pairs between groups still apart
+            posts = tinted(classes.join(again, "cid", "left_semi")).select("cid", "colour", "draws", "first").mapInArrow(_posts(1, firsts, firsts), _POST)
+            left, _ = bucketed(posts, False)
+            found, again = left if found is None else found.unionByName(left), None
+        if hot is not None:
+            depth += 1
+            posts = tinted(classes.join(hot, "cid", "left_semi")).select("cid", "colour", "draws", "first").mapInArrow(_posts(depth, runs_needed(threshold, each, depth), firsts), _POST)
+            deep, big = bucketed(posts, False)
+            found = deep if found is None else found.unionByName(deep)
+        if found is not None:
+            links = links.unionByName(verified(cut(found.distinct(), "pairs")))
+        if hot is None:
             break
-        tinted = cut(tinted.join(mixed.select("key", F.col("top.colour").alias("main")), "key"), "tinted")
-        if cost > REST_PAIRS * n_classes and step <= MORE_STEPS:
-            source = tinted.select("key", "cid", "colour").join(classes.select("cid", "draws"), "cid").select("key", "cid", "colour", "draws")
-            pairs, big = bucketed(source.mapInArrow(_more_keys, "key long, cid long, sketch long, colour long"))
-        else:  # what still mixes is compared with all of its bucket, the largest group's rows only with the others
-            rest = tinted.where(F.col("colour") != F.col("main")).select("key", F.col("cid").alias("x"), F.col("colour").alias("cx"))
-            pairs = tinted.join(rest, "key").where(F.col("colour") != F.col("cx")).select(F.least("cid", "x").alias("a"), F.greatest("cid", "x").alias("b")).distinct()
-            big = None
-        links = links.unionByName(verified(pairs))
-
-    colour = connected_components(links, "a", "b")
-    named = signed.select("id", "cid").distinct().join(colour.select(F.col("id").alias("cid"), F.col("group_id").alias("g")), "cid", "left").withColumn("g", F.coalesce("g", "cid"))
+
+    colour = connected_components(links, "a", "b").select(F.col("id").alias("cid"), F.col("group_id").alias("g"))
+    named = signed.select("id", "cid").distinct().join(colour, "cid", "left").withColumn("g", F.coalesce("g", "cid"))
     named = cut(named.select("id", "g"), "named")
     groups = named.groupBy("g").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return named.join(groups, "g").select("id", "group_id")
+
+
+#: Query texts compared with all rows in one pass.
+BLOCK = 2_000
+
+
+def _against(ids: list, sets: list[np.ndarray], threshold: float, min_chars: int):
+    """Near-duplicates of the query texts among a partition's texts, by counting shared shingles."""
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    sizes = np.array([len(s) for s in sets])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = [], []
+            texts = [t if len(t.strip()) >= min_chars else "" for t in batch.column(1).to_pylist()]
+            for k, s in enumerate(shingle_sets(texts)):
+                if not len(s):
+                    continue
+                a, b = np.searchsorted(every, s), np.searchsorted(every, s, "right")
+                if not (b > a).any():
+                    continue
+                both = np.bincount(np.concatenate([owner[x:y] for x, y in zip(a, b) if y > x]), minlength=len(sets))
+                for q in np.flatnonzero(both >= threshold * (sizes + len(s) - both)):
+                    one.append(ids[q])
+                    two.append(k)
+            other = batch.column(0).take(pa.array(two, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(one, other.type), other], ["id", "other"])
+
+    return run
+
+
+def measured_recall(texts: DataFrame, queries: DataFrame, id_col: str, text_col: str, threshold: float = 0.5, min_chars: int = 30, block: int = BLOCK) -> DataFrame:
+    """(n_queries, n_true, n_found, recall) of the groups, against comparing each text of queries with all others, in blocks."""
+    rows = _usable(texts, id_col, text_col, min_chars).distinct()
+    kind = texts.select(id_col).dtypes[0][1]
+    asked = _usable(queries, id_col, text_col, min_chars).distinct()
+    asked = cut(asked.withColumn("part", F.xxhash64("id")), "asked")
+    parts = max(1, -(-asked.count() // block))
+    true = rows.select("id", F.col("id").alias("other")).where(F.lit(False))
+    for p in range(parts):
+        held = asked.where(F.pmod("part", F.lit(parts)) == p).select("id", "text").collect()  # about `block` rows
+        sets = [(r.id, s) for r, s in zip(held, shingle_sets([r.text if len(r.text.strip()) >= min_chars else "" for r in held])) if len(s)]
+        if sets:
+            near = rows.mapInArrow(_against([i for i, _ in sets], [s for _, s in sets], threshold, min_chars), f"id {kind}, other {kind}")
+            true = true.unionByName(cut(near.where("id <> other").distinct(), "exact"))
+    groups = near_duplicate_groups(texts, id_col, text_col, threshold, min_chars)
+    g = groups.select(F.col("id").alias("other"), F.col("group_id").alias("h"))
+    met = true.join(groups, "id", "left").join(g, "other", "left").agg(F.count(F.lit(1)).alias("n_true"), F.count_if(F.col("group_id") == F.col("h")).alias("n_found"))
+    return asked.agg(F.count_distinct("id").alias("n_queries")).crossJoin(met).select("n_queries", "n_true", "n_found", F.try_divide("n_found", "n_true").alias("recall"))  # one row each

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from muster.llm.near_duplicates import near_duplicate_groups
+from muster.llm.near_duplicates import least_shared, measured_recall, near_duplicate_groups, runs_needed
 
 
 def brute(rows, threshold=0.5):
@@ -67,3 +67,34 @@ def test_equals_brute_force(spark, bucket):
 def test_empty(spark):
     df = spark.createDataFrame([], "id string, text string")
     assert near_duplicate_groups(df, "id", "text").count() == 0
+
+
+def test_runs_follow_from_threshold_and_recall():
+    assert [runs_needed(0.5, 0.99, d) for d in (1, 2, 3)] == [7, 17, 35]
+    assert runs_needed(0.8, 0.99, 1) == 3 and runs_needed(0.5, 0.9, 1) == 4
+    assert 18 <= least_shared(0.5, 0.995) <= 24 < least_shared(0.8, 0.995)
+
+
+def test_lone_pairs_in_a_hot_bucket(spark):
+    """Texts that share boilerplate without being copies, with lone pairs near the threshold among them."""
+    rng = random.Random(2)
+    boiler = " ".join(f"b{k}" for k in range(30))
+    rows = []
+    for k in range(150):
+        own = [f"t{k}x{j}" for j in range(60)]
+        rows.append((f"d{k:03d}a", boiler + " " + " ".join(own)))
+        if k % 3 == 0:
+            cut = own[:44] + [f"u{k}x{j}" for j in range(16)]
+            rows.append((f"d{k:03d}b", boiler + " " + " ".join(cut)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "id string, text string")
+    want = brute(rows)
+    got = {r.id: r.group_id for r in near_duplicate_groups(df, "id", "text", bucket=16).collect()}
+    assert len(want) == 100 and len(got) >= 97 and all(want[i] == g for i, g in got.items())
+
+
+def test_recall(spark):
+    df = spark.createDataFrame(corpus(7), "id string, text string")
+    r = measured_recall(df, df.where("id < 'd0050'"), "id", "text", block=20).first()
+    assert r.n_queries == 50 and r.n_true > 100 and r.recall >= 0.98
+    assert measured_recall(df.where("1 = 0"), df.where("1 = 0"), "id", "text").first().n_true == 0
