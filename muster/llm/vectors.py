@@ -1,11 +1,11 @@
 """Problem 1: the k most similar vectors of every vector, by a permutation index.
 
 A vector is represented by the ordered list of its nearest pivots. It is posted in an inverted
-file under each pair of its first pivots; vectors of one posting list are ranked against each
-other by the footrule distance of their lists, and the best are reranked by cosine on 8-bit
-vectors, at last on the stored ones. The number of pivots grows with the square root of the
-number of vectors, so that a posting list keeps its length. Lists over the limit are split by
-further pivots; vectors of one direction form a class, posted once.
+file under each pair of its first pivots; in every posting list each vector's others are ranked by
+the footrule distance of their pivot lists, and the best RERANKED of them are reranked by cosine on
+8-bit vectors, at last on the stored ones. The number of pivots grows with the square root of the
+number of vectors, so that a posting list keeps its length. A list over the limit is worked on by
+pairs of chunks, so all its members still meet; vectors of one direction form a class, posted once.
 """
 
 from __future__ import annotations
@@ -19,19 +19,18 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from muster.llm.buckets import bucket_runs
 from muster.llm.shingles import mix
-from muster.plans.lineage import cut
+from muster.plans.lineage import cut, cut_counted, settled
 
-#: Pivots are a sample of the vectors: PIVOTS_PER_ROOT times the root of their number, at most MAX_PIVOTS.
-PIVOTS_PER_ROOT, MAX_PIVOTS = 3, 8192
+#: Pivots are a sample of the vectors, by hash: about PIVOTS_PER_ROOT times the root of their number.
+PIVOTS_PER_ROOT = 3
 #: Length of the ordered pivot lists, and how many of the first pivots are posted by twos.
 LIST, POSTED = 8, 5
-#: Longer posting lists are split by further pivots.
+#: Longer posting lists are worked on by pairs of chunks.
 POSTING = 1024
-#: Of one list, so many by footrule distance are reranked for each vector.
-RERANKED = 256
+#: Of each list, so many by footrule distance (and those that tie with the last) are reranked for each vector.
+RERANKED = 64
 #: Kept beyond k until the exact rerank.
 SPARE = 6
-MORE_STEPS = 3
 BROADCAST_IDS = 1_000_000
 
 
@@ -63,10 +62,15 @@ def _unit(q: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=-1, keepdims=True)
 
 
+def _number(n_pivots: int) -> type:
+    return np.uint16 if n_pivots <= 1 << 16 else np.uint32
+
+
 def _post(pivots: np.ndarray, dim: int):
     """(key, cid, q, pivot list) for each posting of a vector."""
     pairs = list(combinations(range(min(POSTED, len(pivots))), 2)) or [(0, 0)]
     length = min(LIST, len(pivots))
+    number = _number(len(pivots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,14 +79,14 @@ def _post(pivots: np.ndarray, dim: int):
                 continue
             raw = batch.column(1).to_pylist()
             x = _unit(np.frombuffer(b"".join(raw), np.int8).reshape(n, dim))
-            order = np.empty((n, length), np.uint16)
+            order = np.empty((n, length), number)
             for k in range(0, n, 2048):
                 sim = x[k : k + 2048] @ pivots.T
                 near = np.argpartition(-sim, length - 1, axis=1)[:, :length]
                 rank = np.argsort(-np.take_along_axis(sim, near, 1), axis=1, kind="stable")
                 order[k : k + 2048] = np.take_along_axis(near, rank, 1)
             two = np.sort(order[:, pairs].astype(np.uint64), axis=2)
-            keys = mix((two[:, :, 0] << np.uint64(20)) + two[:, :, 1] + np.uint64(1)).view(np.int64)
+            keys = mix((two[:, :, 0] << np.uint64(32)) + two[:, :, 1] + np.uint64(1)).view(np.int64)
             lists = [r.tobytes() for r in order]
             m = len(pairs)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), m)), pa.array([v for v in raw for _ in range(m)], pa.binary()), pa.array([v for v in lists for _ in range(m)], pa.binary())], ["key", "cid", "q", "pivots"])
@@ -90,22 +94,6 @@ def _post(pivots: np.ndarray, dim: int):
     return run
 
 
-def _split(step: int):
-    """A posting of a list over the limit goes under one more pivot of its own, each of two in turn."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
-            key = batch.column(0).to_numpy().view(np.uint64)
-            keys = [mix(key ^ mix(lists[:, min(at, lists.shape[1] - 1)].astype(np.uint64) + np.uint64((step * 7 + 1) << 20))).view(np.int64) for at in (2 * step - 2, 2 * step - 1)]
-            for k in keys:
-                yield pa.RecordBatch.from_arrays([pa.array(k), *batch.columns[1:]], ["key", "cid", "q", "pivots"])
-
-    return run
-
-
 def footrule(lists: np.ndarray) -> np.ndarray:
     """lists (runs, rows, length) of pivots: footrule distances (runs, rows, rows), a missing pivot standing after the last."""
     runs, rows, length = lists.shape
@@ -116,16 +104,16 @@ def footrule(lists: np.ndarray) -> np.ndarray:
     return length * (length + 1) - 2 * shared
 
 
-def _rank(k: int, floor: float, dim: int):
+def _rank(k: int, floor: float, number: type, reranked: int):
     def run(cols: list[np.ndarray], idx: np.ndarray) -> list[np.ndarray]:
         m = idx.shape[1]
         x = _unit(cols[2][idx].view(np.int8))
         sim = x @ x.transpose(0, 2, 1)
-        if m > RERANKED:
-            lists = cols[3][idx].view(np.uint16)
-            far = footrule(lists)
-            bound = np.partition(far, RERANKED, axis=2)[:, :, RERANKED]
-            sim[(far > bound[:, :, None]) & (far > bound[:, None, :])] = -2
+        far = footrule(cols[3][idx].view(number))
+        far[:, np.arange(m), np.arange(m)] = np.iinfo(far.dtype).max
+        last = min(reranked, m - 1) - 1
+        bound = np.partition(far, last, axis=2)[:, :, last]
+        sim[far > bound[:, :, None]] = -2
         sim[:, np.arange(m), np.arange(m)] = -2
         sim[sim < floor] = -2
         if m > k + 1:
@@ -163,7 +151,8 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def most_similar(vectors: DataFrame, id_col: str, vec_col: str, k: int = 10, dim: int = 64, min_cosine: float = -1.0, posting: int = POSTING) -> DataFrame:
+@settled
+def most_similar(vectors: DataFrame, id_col: str, vec_col: str, k: int = 10, dim: int = 64, min_cosine: float = -1.0, posting: int = POSTING, reranked: int = RERANKED) -> DataFrame:
     """(id, other, cosine): for each id the k most similar other ids with at least min_cosine; ties go to the lesser id.
 
     Vectors that are null, zero, not finite or not of dim numbers don't count. An id with several
@@ -174,34 +163,25 @@ def most_similar(vectors: DataFrame, id_col: str, vec_col: str, k: int = 10, dim
     kind = vectors.select(id_col).dtypes[0][1]
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     held = cut(rows.mapInArrow(_quantise(dim), f"id {kind}, q binary").withColumn("cid", F.xxhash64("q")), "quantised")
-    n = held.count()
-    sample = held.select("cid", "q").orderBy(F.xxhash64("cid", F.lit(1))).limit(max(1, min(MAX_PIVOTS, int(PIVOTS_PER_ROOT * n**0.5)))).collect()
-    pivots = _unit(np.array([np.frombuffer(r.q, np.int8) for r in {r.cid: r for r in sample}.values()]).reshape(-1, dim)) if sample else np.eye(1, dim, dtype=np.float32)
-
     classes = held.groupBy("cid").agg(F.first("q").alias("q"), F.min("id").alias("id"), F.count_distinct("id").alias("n"))
-    classes = cut(classes, "classes")
+    classes, n = cut_counted(classes, "classes")
+    chance = min(1.0, PIVOTS_PER_ROOT * n**0.5 / max(1, n))
+    drawn = classes.where(F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(1 << 30)) < int(chance * (1 << 30))).select("q").collect() or classes.select("q").limit(1).collect()
+    pivots = _unit(np.array([np.frombuffer(r.q, np.int8) for r in drawn]).reshape(-1, dim)) if drawn else np.eye(1, dim, dtype=np.float32)
+
     posts = classes.select("cid", "q").mapInArrow(_post(pivots, dim), "key long, cid long, q binary, pivots binary")
-    rank = _rank(k + SPARE, min_cosine - 0.02, dim)
+    rank = _rank(k + SPARE, min_cosine - 0.02, _number(len(pivots)), reranked)
     out_schema = "big boolean, a long, b long, sim float, key long, cid long, q binary, pivots binary"
     out = cut(bucket_runs(posts, posting, rank, _FOUND, [0, 1, 2, 3], out_schema), "posted")
     found = out.where(~F.col("big")).select("a", "b", "sim")
-    big, step = out.where("big").select("key", "cid", "q", "pivots"), 0
-    while not big.isEmpty():
-        step += 1
-        # What is still too long after the splits is cut in chance parts, four times over; pairs that share no part are lost.
-        if step <= MORE_STEPS:
-            more = big.mapInArrow(_split(step), "key long, cid long, q binary, pivots binary")
-        else:
-            sizes = big.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-            part = lambda s: F.pmod(F.xxhash64("cid", F.lit(s)), F.ceil(F.col("n") / (posting // 4)))
-            spread = big.join(sizes, "key")
-            more = None
-            for s in range(4):
-                one = spread.select(F.xxhash64("key", part(s + 8 * step), F.lit(s)).alias("key"), "cid", "q", "pivots")
-                more = one if more is None else more.unionByName(one)
-        out = cut(bucket_runs(more, posting, rank, _FOUND, [0, 1, 2, 3], out_schema), "posted")
-        found = found.unionByName(out.where(~F.col("big")).select("a", "b", "sim"))
-        big = out.where("big").select("key", "cid", "q", "pivots")
+    big = out.where("big").select("key", "cid", "q", "pivots")
+    if not big.isEmpty():  # every chunk of a long list meets every other, and itself
+        chunks = big.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (posting / 2)).cast("int").alias("chunks"))
+        own, other = F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"), F.col("other")
+        spread = big.join(chunks, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        met = spread.select(F.xxhash64("key", F.least("own", other), F.greatest("own", other)).alias("key"), "cid", "q", "pivots")
+        out = cut(bucket_runs(met, 1 << 30, rank, _FOUND, [0, 1, 2, 3], out_schema), "posted")
+        found = found.unionByName(out.select("a", "b", "sim"))
 
     near = Window.partitionBy("a").orderBy(F.col("sim").desc(), "b")
     best = found.groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + SPARE)

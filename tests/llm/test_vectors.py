@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from muster.llm.vectors import exact_neighbours, footrule, measured_recall, most_similar, similar_pairs
+from muster.llm.vectors import _rank, exact_neighbours, footrule, measured_recall, most_similar, similar_pairs
 
 
 def corpus(n=600, dim=64, seed=3):
@@ -12,8 +12,8 @@ def corpus(n=600, dim=64, seed=3):
     return x
 
 
-@pytest.mark.parametrize("posting", [1024, 12])
-def test_recall_against_brute_force(spark, posting):
+@pytest.mark.parametrize("posting,reranked", [(1024, 64), (12, 64), (1024, 20)])
+def test_recall_against_brute_force(spark, posting, reranked):
     x = corpus()
     rows = [(f"c{k:04d}", [float(v) for v in r], k, "m") for k, r in enumerate(x)]
     df = spark.createDataFrame(rows, "id string, embedding array<float>, cid int, q string")
@@ -21,7 +21,7 @@ def test_recall_against_brute_force(spark, posting):
     s = u @ u.T
     np.fill_diagonal(s, -1)
     truth = {(f"c{a:04d}", f"c{b:04d}") for a in range(len(x)) for b in np.argsort(-s[a])[:10] if s[a, b] >= 0.9}
-    got = {(r.id, r.other) for r in most_similar(df, "id", "embedding", k=10, min_cosine=0.9, posting=posting).collect()}
+    got = {(r.id, r.other) for r in most_similar(df, "id", "embedding", k=10, min_cosine=0.9, posting=posting, reranked=reranked).collect()}
     assert got <= truth and len(got) >= 0.9 * len(truth) and truth
 
 
@@ -49,6 +49,15 @@ def test_footrule_is_spearmans():
     assert footrule(np.array([[a, b]], np.uint16))[0, 0, 1] == want
 
 
+def test_a_list_is_ranked_by_footrule():
+    """Of a list only the nearest by footrule are reranked, however short the list."""
+    q = np.array([[127] + [0] * 63] * 4, np.int8).view(np.uint8)
+    lists = np.array([[1, 2, 3], [1, 2, 3], [3, 2, 1], [7, 8, 9]], np.uint16).view(np.uint8).reshape(4, -1)
+    cols = [np.zeros(4, np.int64), np.arange(4), q, lists]
+    a, b, _ = _rank(10, -1.0, np.uint16, 1)(cols, np.arange(4)[None, :])
+    assert {tuple(x) for x in np.stack([a, b], 1)[a < 3].tolist()} == {(0, 1), (1, 0), (2, 0), (2, 1)}
+
+
 def test_exact_neighbours_and_recall(spark):
     x = corpus(300)
     df = spark.createDataFrame([(f"c{k:04d}", [float(v) for v in r]) for k, r in enumerate(x)], "id string, embedding array<double>")
