@@ -29,10 +29,10 @@ long AS (SELECT DISTINCT * FROM ({rows}) WHERE v IS NOT NULL),
 r AS (SELECT run_id, cluster_id, (rank() OVER (PARTITION BY score ORDER BY v DESC) - 1 + (count(*) OVER (PARTITION BY score, v) + 1) / 2.0) / count(*) OVER (PARTITION BY score) AS r FROM long),
 k AS (SELECT *, row_number() OVER (PARTITION BY run_id, cluster_id ORDER BY r) AS k, count(*) OVER (PARTITION BY run_id, cluster_id) AS m FROM r),
 tail AS (SELECT run_id, cluster_id, m, (SELECT sum((factorial(m::INT) / (factorial(j::INT) * factorial((m - j)::INT)))::DOUBLE * pow(k.r, j) * pow(1 - k.r, m - j)) FROM range(1, 8) t(j) WHERE j >= k.k AND j <= k.m) AS p FROM k),
-sig AS (SELECT run_id, cluster_id, max(m)::INT AS n_scores, round(least(1.0, min(p) * max(m)), 12) AS significance FROM tail GROUP BY 1, 2),
+sig AS (SELECT run_id, cluster_id, max(m)::INT AS n_scores, least(1.0, min(p) * max(m)) AS p FROM tail GROUP BY 1, 2),
 every AS (SELECT DISTINCT run_id, cluster_id FROM c),
-a AS (SELECT run_id, cluster_id, coalesce(n_scores, 0) AS n_scores, coalesce(significance, 1.0) AS significance FROM every LEFT JOIN sig USING (run_id, cluster_id))
-SELECT run_id, cluster_id, n_scores, significance, row_number() OVER (ORDER BY significance, run_id, cluster_id) AS rank FROM a
+a AS (SELECT run_id, cluster_id, coalesce(n_scores, 0) AS n_scores, round(coalesce(p, 1.0), 12) AS significance, round(ln(coalesce(p, 1.0)), 9) AS log_significance FROM every LEFT JOIN sig USING (run_id, cluster_id))
+SELECT run_id, cluster_id, n_scores, significance, log_significance, row_number() OVER (ORDER BY log_significance, run_id, cluster_id) AS rank FROM a
 """
 
 

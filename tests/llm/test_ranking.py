@@ -1,6 +1,7 @@
 import math
 from math import comb
 
+import pytest
 from pyspark.sql import functions as F
 
 from muster.llm.ranking import robust_ranking
@@ -27,7 +28,7 @@ def test_equals_brute_force(spark):
     want = brute(rows, 4)
     assert len(got) == 61
     assert all(abs(r.significance - want[r.id]) < 1e-9 for r in got)
-    assert [r.id for r in sorted(got, key=lambda r: r["rank"])] == [i for _, i in sorted((round(p, 12), i) for i, p in want.items())]
+    assert [r.id for r in sorted(got, key=lambda r: r["rank"])] == [i for _, i in sorted((round(math.log(p), 9), i) for i, p in want.items())]
     assert robust_ranking(df.where("id > 99"), ["id"], {n: F.col(n) for n in "abcd"}).count() == 0
 
 
@@ -36,3 +37,25 @@ def test_scale_does_not_matter(spark):
     one = {r.id: r["rank"] for r in robust_ranking(df, ["id"], {"a": F.col("a"), "b": F.col("b")}).collect()}
     two = {r.id: r["rank"] for r in robust_ranking(df, ["id"], {"a": F.exp("a"), "b": F.col("b") / 1e9}).collect()}
     assert one == two
+
+
+def test_strongest_of_many_stay_apart(spark):
+    """Significances that all round to 0 are still ranked by size, and a value shared by a third of the rows is joined."""
+    n = 30_000
+    df = spark.range(n).selectExpr("id", "id * 1.0 AS a", "id * 2.0 AS b", "id * 3.0 AS c", "IF(id % 3 = 0, 0.0, id) AS d", "id * 1.5 AS e")
+    got = robust_ranking(df, ["id"], {x: F.col(x) for x in "abcde"})
+    best = {r.id: r for r in got.where("rank <= 2").collect()}
+    assert got.count() == n and best[n - 1]["rank"] == 1 and best[n - 1].significance == best[n - 2].significance == 0.0
+    assert best[n - 1].log_significance < best[n - 2].log_significance
+
+
+def test_sql_of_ranking(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from muster.llm import queries, sql
+
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW clusters AS SELECT * FROM '{data}/clusters.parquet'")
+    want = con.execute(sql.p4_ranking_sql()).fetchall()
+    got = [(r.run_id, r.cluster_id, r.n_scores, r.significance, r.log_significance, r["rank"]) for r in queries.p4_ranking(spark, data).collect()]
+    assert sorted(tuple(f"{x:.9g}" for x in r) for r in got) == sorted(tuple(f"{x:.9g}" for x in r) for r in want)
