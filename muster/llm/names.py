@@ -5,8 +5,12 @@ posted under all strings left by dropping up to two of its characters) gives the
 small edit distance; a rare token is taken for a slip of the nearest better attested one. After
 that the spellings of one name meet under one key: an organisation's distinctive word with its
 ordinary words (order, "and", scope words, legal forms and short forms set aside), a person's
-surname with the given name (nicknames and initials resolved among the full given names attested
-with that surname). Spellings under one key are checked by an optimal assignment of their tokens.
+surname with the given name (nicknames, initials and shortened names resolved among the full given
+names attested with that surname). The spellings under one key are held against the fullest of them
+by an optimal assignment of their tokens. Organisations under different keys that share a distinctive
+token are candidates too: they are one where the assignment pairs all their tokens, as equal, slip,
+initial or abbreviation, so that short forms in no list are found. Lists of short forms and nicknames
+are priors for the common ones. What is linked, directly or through others, is one entity.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from muster.llm.canonical import slips
 from muster.llm.components import connected_components
-from muster.plans.lineage import cut
+from muster.plans.lineage import cut, settled
 
 # What people type in place of a name.
 PLACEHOLDERS = {"", "-", "--", "?", "n/a", "na", "none", "null", "nil", "self", "individual", "myself", "anonymous", "anon", "unknown", "not applicable", "private", "private citizen", "citizen", "test", "x", "xx", "xxx", "xxxx", "no organization", "not provided", "withheld", "prefer not to say", "retired"}
@@ -47,8 +51,9 @@ for _full, _nicks in NICKNAMES.items():
 
 #: Companions by which a token counts as a word of its own.
 ATTESTED = 5
-#: Longest token whose deletes are posted; longer ones must be equal.
+#: Longer tokens are posted by parts instead of deletes: of two within two slips (an exchange being two edits) one of five parts is the same, moved by four at most.
 MAX_TOKEN = 40
+PARTS, MOVED = 5, 4
 
 
 def slips_allowed(n: int) -> int:
@@ -58,19 +63,31 @@ def slips_allowed(n: int) -> int:
 def deletes(token: str) -> set[str]:
     """token and what is left of it after dropping up to as many characters as slips are allowed."""
     out = {token}
+    edge = {token}
     if len(token) <= MAX_TOKEN:
-        edge = {token}
         for _ in range(slips_allowed(len(token))):
             edge = {t[:k] + t[k + 1 :] for t in edge for k in range(len(t))}
             out |= edge
     return out
 
 
+def long_keys(token: str) -> set[str]:
+    """Keys of a token that may be within two slips of one over MAX_TOKEN: the parts of a token of its own length or one near, wherever they can lie in it."""
+    out = set()
+    for n in range(max(MAX_TOKEN + 1, len(token) - 2), len(token) + 3):
+        cuts = [n * k // PARTS for k in range(PARTS + 1)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            for move in range(-MOVED, MOVED + 1) if n != len(token) else (0, *range(-MOVED, 0), *range(1, MOVED + 1)):
+                if 0 <= a + move and b + move <= len(token):
+                    out.add(f"{n}|{k}|{token[a + move : b + move]}")
+    return out
+
+
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, rows = [], []
         for k, token in enumerate(batch.column(0).to_pylist()):
-            left = deletes(token)
+            left = deletes(token) | (long_keys(token) if len(token) + 2 > MAX_TOKEN else set())
             keys += left
             rows += [k] * len(left)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(c.take(pa.array(rows, pa.int64())) for c in batch.columns)], ["left", "token", "n", "m"])
@@ -222,12 +239,13 @@ def _person_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Names a full given name may be called by: (given, form)."""
+    """Names a full given name may be called by: (full, form, listed), listed for initials and nicknames, else its beginnings."""
     for batch in batches:
         out = []
         for g in batch.column(0).to_pylist():
-            out += [(g, f) for f in {g[0], *NICKNAMES.get(g, "").split()}]
-        yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.string()), pa.array([f for _, f in out], pa.string())], ["full", "form"])
+            listed = {g[0], *NICKNAMES.get(g, "").split()}
+            out += [(g, f, True) for f in listed] + [(g, g[:k], False) for k in range(3, len(g)) if g[:k] not in listed]
+        yield pa.RecordBatch.from_arrays([pa.array([g for g, _, _ in out], pa.string()), pa.array([f for _, f, _ in out], pa.string()), pa.array([x for _, _, x in out], pa.bool_())], ["full", "form", "listed"])
 
 
 def _assigned(least: float):
@@ -241,15 +259,43 @@ def _assigned(least: float):
     return run
 
 
-def _pairs(kind: str, keyed: DataFrame, least: float) -> DataFrame:
-    """keyed: (name, key, tokens). Pairs of spellings of one key whose tokens can be assigned to each other."""
-    a, b = (keyed.select(F.col("name").alias(f"name_{x}"), "key", F.col("tokens").alias(f"t{x}")) for x in "ab")
-    pairs = a.join(b, "key").where(F.col("name_a") < F.col("name_b")).select("name_a", "name_b", "ta", "tb")
-    return pairs.mapInArrow(_assigned(least), "name_a string, name_b string").select(F.lit(kind).alias("kind"), "name_a", "name_b").distinct()
+def _fullest(keyed: DataFrame) -> DataFrame:
+    """(key, rep, rep_tokens): of each key a spelling without slips if there is one, of these the one with most letters in its tokens, then the least."""
+    size = F.length(F.array_join("tokens", ""))
+    return keyed.groupBy("key").agg(F.min(F.struct((~F.col("plain")).alias("slipped"), (-size).alias("few"), F.col("name").alias("rep"), F.col("tokens").alias("rep_tokens"))).alias("m")).select("key", "m.rep", "m.rep_tokens")
+
+
+def _linked(keyed: DataFrame, least: float) -> DataFrame:
+    """keyed: (name, key, tokens, plain). (a, b): each spelling with the fullest of its key, where their tokens can be assigned to each other."""
+    pairs = keyed.join(_fullest(keyed), "key").where(F.col("name") != F.col("rep")).select("name", "rep", "tokens", "rep_tokens")
+    return pairs.mapInArrow(_assigned(least), "name string, rep string").select(F.col("name").alias("a"), F.col("rep").alias("b"))
+
+
+def one_for_one(a: list[str], b: list[str], known: set[str]) -> bool:
+    """Can every token of the one stand for a token of the other: equal, or one of the two a short form or slip that is no word of its own?
+
+    known: tokens of either that are words of their own; two of them differ.
+    """
+    a, b = ([w for w in x if w not in SCOPES] for x in (a, b))
+    if len(a) != len(b) or not a:
+        return False
+    same = set(a) & set(b)
+    left, right = [w for w in a if w not in same], [w for w in b if w not in same]
+    if not same or len(left) != len(right) or len(left) > 2:
+        return False
+    if any(x in known and y in known for x in left for y in right):
+        return False
+    return not left or assign(left, right) >= 0.79
+
+
+def _one_for_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ok = [one_for_one(a, b, set(k)) for a, b, k in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))]
+        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
-def org_variants(comments: DataFrame, org_col: str) -> DataFrame:
-    """(kind 'org', name_a, name_b): pairs of spellings of one organisation. Nulls, blanks and placeholders name nobody."""
+def org_links(comments: DataFrame, org_col: str) -> DataFrame:
+    """(a, b): spellings of one organisation, each linked to a fuller one. Nulls, blanks and placeholders name nobody."""
     names = comments.select(normal(F.col(org_col)).alias("name")).where(~F.col("name").isin(*PLACEHOLDERS)).distinct()
     parts = cut(names.mapInArrow(_org_parts, "name string, tokens array<string>, longest string").where(F.size("tokens") > 0), "orgs")
     counts = cut(parts.select(F.explode("tokens").alias("token"), "longest").groupBy("token").agg(F.count_distinct("longest").alias("n"), F.count(F.lit(1)).alias("m")), "counts")
@@ -262,11 +308,20 @@ def org_variants(comments: DataFrame, org_col: str) -> DataFrame:
     shaped = cut(placed.groupBy("name").agg(own.alias("own"), common.alias("common")), "shaped")
     stems = slip_roots(shaped.where("own <> ''").groupBy(F.col("own").alias("token")).agg(F.count_distinct("common").alias("n"), F.count(F.lit(1)).alias("m")))
     keyed = shaped.join(stems.withColumnRenamed("token", "own"), "own", "left").select("name", F.concat_ws("|", F.coalesce("root", F.lit("")), "common").alias("key"))
-    return _pairs("org", cut(keyed.join(parts.select("name", "tokens"), "name"), "keyed"), 0.6)
-
-
-def person_variants(comments: DataFrame, first_col: str, last_col: str) -> DataFrame:
-    """(kind 'person', name_a, name_b): pairs of spellings first|last of one person. Names of fewer than two words name nobody."""
+    keyed = cut(keyed.join(parts.select("name", "tokens"), "name").withColumn("plain", F.lit(True)), "keyed")
+    # Keys that share a distinctive token (few others go with it, so few keys do): one organisation if their tokens pair off.
+    reps = cut(_fullest(keyed), "reps")
+    told = reps.select("rep", "rep_tokens", F.explode("rep_tokens").alias("token")).join(ordinary, "token")
+    told = cut(told.groupBy("rep").agg(F.first("rep_tokens").alias("tokens"), F.collect_set(F.when(~F.col("ordinary"), F.col("root"))).alias("own"), F.collect_set(F.when(F.col("ordinary"), F.col("token"))).alias("known")), "told")
+    posted = told.select("rep", "tokens", "known", F.explode("own").alias("at"))
+    x, y = (posted.select("at", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "tokens", "known"))) for k in "ab")
+    near = x.join(y, "at").where(F.col("rep_a") < F.col("rep_b")).select("rep_a", "rep_b", "tokens_a", "tokens_b", F.concat("known_a", "known_b").alias("known")).dropDuplicates(["rep_a", "rep_b"])
+    merged = near.mapInArrow(_one_for_one, "a string, b string")
+    return _linked(keyed, 0.6).unionByName(merged)
+
+
+def person_links(comments: DataFrame, first_col: str, last_col: str) -> DataFrame:
+    """(a, b): spellings first|last of one person, each linked to a fuller one. Names of fewer than two words name nobody."""
     names = comments.select(F.concat(normal(F.col(first_col)), F.lit("|"), normal(F.col(last_col))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
     parts = cut(names.mapInArrow(_person_parts, "name string, given string, surname string, generation string, tokens array<string>, rows long"), "persons")
     # The fields changed places where the surname is a known given name and mostly one, and the given name is not known as one or mostly a surname.
@@ -284,17 +339,36 @@ def person_variants(comments: DataFrame, first_col: str, last_col: str) -> DataF
     at = cut(parts.join(sur_roots, "surname").join(giv_roots, "given", "left").withColumn("g", F.coalesce("g", "given")), "at")
     nick = F.col("g").isin(*sorted(FORMAL))
     bare = (F.length("g") == 1) | nick
+    rare = giv.where(F.col("n") < ATTESTED).select(F.col("token").alias("g"), F.lit(True).alias("rare"))
+    at = cut(at.join(rare, "g", "left").withColumn("rare", F.coalesce("rare", F.lit(False)) & ~bare), "at")
     full = at.where(~bare).select("s", "generation", F.col("g").alias("full")).distinct()
-    forms = full.select("full").distinct().mapInArrow(_forms, "full string, form string")
+    forms = full.select("full").distinct().mapInArrow(_forms, "full string, form string, listed boolean")
     called = full.join(forms, "full")
-    meant = at.where(bare).select("s", "generation", F.col("g").alias("form")).distinct().join(called, ["s", "generation", "form"]).groupBy("s", "generation", "form").agg(F.count_distinct("full").alias("k"), F.min("full").alias("full")).where("k = 1")
+    asked = at.where(bare | F.col("rare")).select("s", "generation", F.col("g").alias("form"), bare.alias("listed")).distinct()
+    meant = asked.join(called, ["s", "generation", "form", "listed"]).groupBy("s", "generation", "form").agg(F.count_distinct("full").alias("k"), F.min("full").alias("full")).where("k = 1")
     first_formal = F.create_map(*[F.lit(x) for nick_, fulls in sorted(FORMAL.items()) for x in (nick_, fulls[0])])
-    keyed = at.withColumn("form", F.when(bare, F.col("g"))).join(meant.drop("k"), ["s", "generation", "form"], "left")
+    keyed = at.withColumn("form", F.when(bare | F.col("rare"), F.col("g"))).join(meant.drop("k"), ["s", "generation", "form"], "left")
     keyed = keyed.withColumn("g", F.coalesce("full", F.try_element_at(first_formal, F.col("g")), F.col("g")))
-    keyed = keyed.select("name", F.concat_ws("|", "s", "g", "generation").alias("key"), "tokens")
-    return _pairs("person", cut(keyed, "keyed"), 0.5)
+    keyed = keyed.select("name", F.concat_ws("|", "s", "g", "generation").alias("key"), "tokens", ((F.col("given") == F.col("g")) & (F.col("surname") == F.col("s"))).alias("plain"))
+    return _linked(cut(keyed, "keyed"), 0.5)
+
+
+@settled
+def name_entities(comments: DataFrame, org_col: str = "organization", first_col: str = "submitter_first", last_col: str = "submitter_last") -> DataFrame:
+    """(kind, name, entity) of every spelling that has another spelling; entity is the least spelling of its entity.
+
+    kind: 'org' or 'person'. A spelling is the value lower-cased, trimmed, inner blanks made one
+    space; for persons first || '|' || last, null as ''. Nulls, blanks, placeholders and persons
+    of fewer than two words name nobody. Empty tables give an empty result; other columns are ignored.
+    """
+    mark = lambda kind, df: df.select(*(F.concat(F.lit(f"{kind}:"), c).alias(c) for c in ("a", "b")))
+    links = mark("org", org_links(comments, org_col)).unionByName(mark("person", person_links(comments, first_col, last_col)))
+    groups = connected_components(cut(links, "links"), "a", "b")
+    bare = lambda c: F.substring_index(F.col(c), ":", 1), lambda c: F.expr(f"substring({c}, instr({c}, ':') + 1)")
+    return groups.select(bare[0]("id").alias("kind"), bare[1]("id").alias("name"), bare[1]("group_id").alias("entity"))
 
 
-def name_variants(comments: DataFrame) -> DataFrame:
-    """(kind, name_a, name_b) over organization and submitter_first, submitter_last; see org_variants and person_variants."""
-    return org_variants(comments, "organization").unionByName(person_variants(comments, "submitter_first", "submitter_last"))
+def name_pairs(entities: DataFrame) -> DataFrame:
+    """(kind, name_a, name_b), name_a < name_b: the spellings of each entity by twos."""
+    a, b = (entities.select("kind", "entity", F.col("name").alias(f"name_{x}")) for x in "ab")
+    return a.join(b, ["kind", "entity"]).where("name_a < name_b").select("kind", "name_a", "name_b")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from muster.llm.canonical import map_places
 from muster.llm.components import match_groups
 from muster.llm.mixing import mix, mixture_shares
-from muster.llm.names import name_variants
+from muster.llm.names import name_entities, name_pairs
 from muster.llm import near_duplicates
 from muster.llm.near_duplicates import near_duplicate_groups
 from muster.llm.packing import CAPACITY, pack, token_counts
@@ -69,7 +69,12 @@ def p6_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return name_variants(table(spark, sf_dir, "comments"))
+    return name_pairs(name_entities(table(spark, sf_dir, "comments")))
+
+
+def p7_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each spelling with its entity, without expanding entities into pairs."""
+    return name_entities(table(spark, sf_dir, "comments"))
 
 
 def _sizes(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
@@ -101,4 +106,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_recall, p2_found, p3_found, p4_ranking, p5_found, p5_redacted, p6_found, p6_recall, p7_found, p8_packed, p8_fill, p9_mixture, p9_shares, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_recall, p2_found, p3_found, p4_ranking, p5_found, p5_redacted, p6_found, p6_recall, p7_found, p7_entities, p8_packed, p8_fill, p9_mixture, p9_shares, p10_found)}

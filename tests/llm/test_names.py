@@ -1,4 +1,8 @@
-from muster.llm.names import assign, deletes, name_variants, org_tokens, person_parts
+from muster.llm.names import assign, deletes, long_keys, name_entities, name_pairs, one_for_one, org_tokens, person_parts
+
+
+def name_variants(df):
+    return name_pairs(name_entities(df))
 
 
 def test_parts():
@@ -49,3 +53,32 @@ def test_swapped_fields_stay_swapped_as_rows_grow(spark):
     df = spark.createDataFrame(rows, "organization string, submitter_first string, submitter_last string")
     got = {tuple(r) for r in name_variants(df).collect()}
     assert got == {("person", *sorted((f"{g}|{s}".lower(), f"{s}|{g}".lower()))) for g in givens for s in sur}
+
+
+def test_short_forms_in_no_list(spark):
+    """Abbreviations that no list holds are linked by the assignment of tokens; sister organisations are not."""
+    stems = [x.title() for x in names(12, 4)]
+    kinds = ["Watershed Conservancy", "Teamsters Chapter", "Growers Guild"]
+    orgs = [f"{s} {kinds[k % 3]}" for k, s in enumerate(stems)]
+    s0 = stems[0]
+    typed = [f"{s0} Wtrshed Consrvcy", f"{s0} Watershed Conserv.", f"{s0} Teamsters Chapter", f"{s0} Growers Guild"]
+    people = [("Konstantin", "Brandel"), ("Konst", "Brandel"), ("Kassandra", "Brandel")]
+    df = spark.createDataFrame([(o, None, None) for o in orgs + typed] + [(None, a, b) for a, b in people], "organization string, submitter_first string, submitter_last string")
+    got = {tuple(r) for r in name_variants(df).collect()}
+    same = sorted(x.lower() for x in [orgs[0], typed[0], typed[1]])
+    assert got == {("org", a, b) for k, a in enumerate(same) for b in same[k + 1 :]} | {("person", "konstantin|brandel", "konst|brandel")}
+
+
+def test_assignment_decides():
+    assert one_for_one(["marsh", "wtrshed"], ["marsh", "watershed"], {"watershed"})
+    assert not one_for_one(["marsh", "alliance"], ["marsh", "association"], {"alliance", "association"})
+    assert not one_for_one(["marsh", "dairy", "council"], ["marsh", "council"], set())
+
+
+def test_long_tokens_with_slips(spark):
+    long_ = "".join(chr(97 + (k * 7 + k // 5) % 26) for k in range(90))
+    swapped = long_[:44] + long_[45] + long_[44] + long_[46:]
+    assert long_keys(long_) & long_keys(swapped) and long_keys(long_) & long_keys(long_[:30] + long_[32:])
+    rows = [(f"{w} Dairy Council",) for w in (long_, long_, swapped, long_[:10] + long_[12:])]
+    df = spark.createDataFrame([(*r, None, None) for r in rows], "organization string, submitter_first string, submitter_last string")
+    assert name_variants(df).count() == 3
