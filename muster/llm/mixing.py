@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from muster.plans.lineage import cut
+from muster.plans.lineage import cut, settled
 
 ROUNDS = 30
 #: Relative miss of a source's tokens at which Newton's steps end.
@@ -29,11 +29,36 @@ PART_DOCS = 50_000
 MAX_SOURCES = 10_000
 
 
-def mixture_rates(sizes: DataFrame, targets: DataFrame) -> tuple[DataFrame, float]:
+def wanted_tokens(goal: list[tuple[str, float, float]], total: float | None) -> dict[str, float]:
+    """goal: (source, target share, most tokens it can give). Tokens wanted of each source.
+
+    Without a total the largest mixture in which every source meets its share. With one, the shares
+    nearest to the targets that reach it: sources that cannot meet their share give all they can, the others
+    share what is left by their targets, until all are exhausted.
+    """
+    whole = sum(share for _, share, _ in goal)
+    if total is None:
+        total = min(most * whole / share for _, share, most in goal)
+        return {s: total * share / whole for s, share, _ in goal}
+    want: dict[str, float] = {}
+    left, still = float(total), list(goal)
+    while still:
+        whole = sum(share for _, share, _ in still)
+        short = [g for g in still if g[2] < left * g[1] / whole]
+        for s, share, most in short or still:
+            want[s] = most if short else left * share / whole
+        if not short:
+            break
+        left -= sum(most for _, _, most in short)
+        still = [g for g in still if g not in short]
+    return want
+
+
+def mixture_rates(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> tuple[DataFrame, float]:
     """(id, source, n_tokens, rate, max_repeats) of the documents used, and the mixture's total tokens.
 
-    The total is the largest at which every listed source that has documents meets its share
-    within its cap; shares of listed sources without documents are spread over the others.
+    total: tokens wanted, see wanted_tokens; shares of listed sources without documents are spread
+    over the others. Raises if Newton's steps do not end.
     """
     spark = sizes.sparkSession
     goal = [r for r in targets.select("source", "target_share", "max_repeats").limit(MAX_SOURCES + 1).collect() if r.source is not None and r.target_share and r.target_share > 0 and r.max_repeats and r.max_repeats > 0]
@@ -45,9 +70,7 @@ def mixture_rates(sizes: DataFrame, targets: DataFrame) -> tuple[DataFrame, floa
     goal = [r for r in goal if r.source in have]
     if not goal:
         return docs.select("id", "source", F.col("x").cast("long").alias("n_tokens"), F.lit(0.0).alias("rate"), "max_repeats"), 0.0
-    whole = sum(r.target_share for r in goal)
-    total = min(have[r.source][0] * r.max_repeats * whole / r.target_share for r in goal)
-    want = {r.source: total * r.target_share / whole for r in goal}
+    want = wanted_tokens([(r.source, r.target_share, have[r.source][0] * r.max_repeats) for r in goal], total)
     mean = {s: t / n for s, (t, n) in have.items()}
     cap = {r.source: float(r.max_repeats) for r in goal}
 
@@ -74,19 +97,23 @@ def mixture_rates(sizes: DataFrame, targets: DataFrame) -> tuple[DataFrame, floa
             ab[x.source] = tuple(np.array(ab[x.source]) - step)
         if worst <= ENOUGH:
             break
+    else:
+        raise RuntimeError(f"the dual of the mixture missed its tokens by a share of {worst:.2g} after {ROUNDS} steps")
     rated = docs.join(known(), "source").select("id", "source", F.col("x").cast("long").alias("n_tokens"), rate.alias("rate"), "max_repeats")
-    return rated, total
+    return rated, sum(want.values())
 
 
-def mix(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+@settled
+def mix(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
     """(id, source, n_tokens, copies): documents of the mixture with their number of copies, 1 to the source's cap.
 
     sizes: id, source, n_tokens; targets: source, target_share, max_repeats. Documents of no listed
     source, null sources and empty documents are left out, as are targets that are null, not
-    positive or without documents. A part of a source (about PART_DOCS documents, by hash) misses
+    positive or without documents. total: tokens of the mixture (None: as many as keep every share
+    exact), see wanted_tokens; mixture_shares reports what was reached. A part of a source (about PART_DOCS documents, by hash) misses
     its tokens by half its shortest document or so.
     """
-    rated, _ = mixture_rates(sizes, targets)
+    rated, _ = mixture_rates(sizes, targets, total)
     rated = cut(rated, "rated")
     kind = rated.select("id").dtypes[0][1]
     parts = rated.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / PART_DOCS).cast("int").alias("parts"))

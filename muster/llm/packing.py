@@ -18,11 +18,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from muster.plans.lineage import cut
+from muster.plans.lineage import cut, settled
 
 CAPACITY = 2048
 #: Items of one cell, about; a cell is planned in one task, from counts by length.
 CELL_ITEMS = 100_000
+#: Repeats of an item numbered at once.
+REPEATS = 1_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 _LOADED: dict = {}
 
@@ -122,6 +124,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     return out
 
 
+@settled
 def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY, cell_items: int = CELL_ITEMS) -> DataFrame:
     """(id, piece, n_tokens, container, offset): where each item, or piece of an item over the capacity, lies.
 
@@ -131,14 +134,18 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY,
     """
     kind = items.select(id_col).dtypes[0][1]
     sized = items.select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("n")).where(F.col("n") > 0)
-    cuts = F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))
-    pieces = sized.select("id", "n", F.explode(cuts).alias("piece"))
-    pieces = cut(pieces.select("id", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece").cast("long") * capacity).cast("int").alias("n_tokens")), "pieces")
+    # Repeated items are told apart by their number, so that every run deals and names them alike, and repeats of one item are dealt to all cells.
+    upto = lambda first, last: F.explode(F.sequence(first, last))
+    copies = sized.groupBy("id", "n").agg(F.count(F.lit(1)).alias("copies"))
+    blocks = copies.select("*", upto(F.lit(0), F.floor((F.col("copies") - 1) / REPEATS)).alias("block"))
+    each = blocks.select("id", "n", upto(F.col("block") * REPEATS, F.least("copies", (F.col("block") + 1) * REPEATS) - 1).alias("copy"))
+    pieces = each.select("id", "copy", "n", upto(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int")).alias("piece"))
+    pieces = cut(pieces.select("id", "copy", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece").cast("long") * capacity).cast("int").alias("n_tokens")), "pieces")
     total = pieces.count()
     cells = max(1, -(-total // cell_items))
     # Full pieces need no plan. The others are dealt to cells at random, evenly for each length.
-    full = pieces.where(F.col("n_tokens") == capacity).select("id", "piece", "n_tokens", F.concat_ws("-", F.lit("full"), F.col("id").cast("string"), "piece", F.xxhash64(F.monotonically_increasing_id()).cast("string")).alias("container"), F.lit(0).alias("offset"))
-    open_ = pieces.where(F.col("n_tokens") < capacity).withColumn("cell", F.pmod(F.xxhash64("id", "piece"), F.lit(cells)).cast("int"))
+    full = pieces.where(F.col("n_tokens") == capacity).select("id", "piece", "n_tokens", F.concat_ws("-", F.lit("full"), F.col("id").cast("string"), "piece", F.col("copy").cast("string")).alias("container"), F.lit(0).alias("offset"))
+    open_ = pieces.where(F.col("n_tokens") < capacity).withColumn("cell", F.pmod(F.xxhash64("id", "piece", "copy"), F.lit(cells)).cast("int"))
     counts = open_.groupBy("cell", "n_tokens").agg(F.count(F.lit(1)).alias("n"))
 
     def lay(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -158,6 +165,6 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY,
         return pd.DataFrame({"cell": int(pdf["cell"].iloc[0]), "n_tokens": slots[:, 0].astype("int32"), "k": slots[:, 1].astype("int64"), "box": slots[:, 2].astype("int64"), "offset": slots[:, 3].astype("int32")})
 
     slots = counts.groupBy("cell").applyInPandas(lay, "cell int, n_tokens int, k long, box long, offset int")
-    numbered = open_.withColumn("k", F.row_number().over(Window.partitionBy("cell", "n_tokens").orderBy("id", "piece")).cast("long") - 1)
+    numbered = open_.withColumn("k", F.row_number().over(Window.partitionBy("cell", "n_tokens").orderBy("id", "piece", "copy")).cast("long") - 1)
     placed = numbered.join(slots, ["cell", "n_tokens", "k"]).select("id", "piece", "n_tokens", F.concat_ws("-", F.col("cell").cast("string"), F.col("box").cast("string")).alias("container"), "offset")
     return placed.unionByName(full).select(F.col("id").cast(kind), "piece", "n_tokens", "container", "offset")

@@ -1,11 +1,13 @@
 """Problem 10: the subject areas of each document, by weak supervision.
 
-Labelling functions vote on each (document, subject): a lexicon of words and one of word pairs
-(does a fifth of the text lie in sentences of the subject), the section the text opens with, the
-address (docket and mail domains) and the source. The lexicons are learned from a bounded sample
-of hand-labelled documents, sentence by sentence, and widened by the words that go with each subject in all documents. A latent model learns how
-accurate each function is from how the votes fall over the whole corpus, without labels;
-documents are assigned by the posterior probability of a subject.
+Labelling functions vote on each (document, subject), each from a source of its own: the words of
+the text and its pairs of neighbouring words (does a fifth of the text lie in sentences of the
+subject), the sections (title and headings), the addresses (docket prefix, domains of mail
+addresses) and the source. Words, pairs and headings have lexicons of their own, learned from a
+bounded sample of hand-labelled documents, sentence by sentence; that of words is widened by the
+words that go with each subject in all documents. A latent model learns how accurate each function
+is for each subject from how the votes fall over the whole corpus, without labels; documents are
+assigned by the posterior probability of a subject.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from muster.llm.shingles import mix
-from muster.plans.lineage import cut
+from muster.plans.lineage import cut, settled
 
 #: Labelled documents the lexicons are fitted on, at most (those with the least hashed ids).
 LABELLED_DOCS = 3000
@@ -32,12 +34,30 @@ WORD_ODDS, SENTENCE_ODDS = 1.0, 2.0
 WORD_SHARE = 0.5
 #: Words of the widened lexicon: in so many sentences of subjects, with this share in one.
 WIDE_COUNT, WIDE_SHARE = 8, 0.6
-LEXICON_WORDS = 50_000
+#: And making up so much of all words counted, which bounds the lexicon by its inverse.
+WIDE_PART = 1e-6
 WIDENINGS = 1
+#: Subjects at most; more raise an error.
+MAX_SUBJECTS = 1000
+#: Documents by which a subject's own accuracies are drawn to those of all subjects.
+DRAWN = 50.0
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?;\n]+|<[^>]*>")
-DOMAIN = re.compile(r"@([\w-]+)")
+DOMAIN = re.compile(r"@((?:[\w-]+\.)*[\w-]+)\.[a-z]{2,}", re.I)
+#: A line of a few words without a full stop.
+HEADING = re.compile(r"^[ \t]*(?:[^\s.!?]+[ \t]+){0,7}[^\s.!?]+[ \t]*:?[ \t]*$", re.M)
+
+
+def headings(title: str | None, text: str) -> str:
+    """The title and the lines that stand as headings, one a line."""
+    return "\n".join([title or "", *(HEADING.findall(text) if "\n" in text else [])])
+
+
+def addresses(docket: str | None, text: str) -> set[str]:
+    """The docket's prefix and the domains of mail addresses in the text."""
+    out = {"@" + d.lower() for d in DOMAIN.findall(text)} if "@" in text else set()
+    return out | ({docket.split("-")[0]} if docket else set())
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -58,17 +78,24 @@ def _flat(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words, np.array(starts, dtype=np.int64), np.array(docs, dtype=np.int64)
 
 
-def fit_lexicon(texts: list[str], labels: list[list[int]], n: int) -> dict[str, np.ndarray]:
-    """Word -> log odds for each subject, by expectation maximisation over sentences.
+def fit_lexicon(texts: list[str], labels: list[list[int]], n: int, pairs: bool = False) -> dict:
+    """Word (or hashed pair of neighbouring words) -> log odds for each subject, by expectation maximisation over sentences.
 
     A sentence belongs to one of its document's labels.
     """
     words, starts, docs = _flat(texts)
     if not words:
         return {}
-    vocab = {w: k for k, w in enumerate(dict.fromkeys(words))}
-    ids = np.array([vocab[w] for w in words])
     sent = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(words)]))
+    if pairs:
+        found, inside = _pairs(words, starts)
+        vocab, ids = np.unique(found[inside], return_inverse=True)
+        vocab, sent = vocab.tolist(), sent[:-1][inside]
+        if not len(ids):
+            return {}
+    else:
+        index = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        vocab, ids = list(index), np.array([index[w] for w in words])
     allowed = np.full((len(texts), n), -np.inf)
     for d, ls in enumerate(labels):
         allowed[d, ls] = 0.0
@@ -85,8 +112,8 @@ def fit_lexicon(texts: list[str], labels: list[list[int]], n: int) -> dict[str,
         score -= score.max(axis=1, keepdims=True)
         post = np.exp(score)
         post /= post.sum(axis=1, keepdims=True)
-    seen = np.bincount(ids, minlength=len(vocab))
-    return {w: o for w, k in vocab.items() if seen[k] >= 2 and (o := _odds(counts[k], counts.sum(axis=0))) is not None}
+    seen, sizes = np.bincount(ids, minlength=len(vocab)), counts.sum(axis=0)
+    return {w: o for k, w in enumerate(vocab) if seen[k] >= 2 + pairs and (o := _odds(counts[k], sizes)) is not None}
 
 
 def _odds(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray | None:
@@ -156,31 +183,6 @@ def _count_rows(vocab: dict[str, int], counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([names[k] for k in keep], pa.string()), *(pa.array(held[keep, s]) for s in range(held.shape[1]))], ["word", *(f"s{s}" for s in range(held.shape[1]))])
 
 
-def _pair_odds(texts: list[str], lexicon: Lexicon, n: int) -> dict[int, np.ndarray]:
-    """Log odds of hashed pairs of neighbouring words, from sentences whose subject the words tell."""
-    words, starts, _ = _flat(texts)
-    if not words:
-        return {}
-    get = lexicon.index.get
-    about = lexicon.subjects(np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words)), starts)
-    each = np.repeat(about, np.diff(np.r_[starts, len(words)]))
-    pairs, inside = _pairs(words, starts)
-    total: Counter = Counter()
-    by: dict[int, Counter] = defaultdict(Counter)
-    for p, s in zip(pairs[inside].tolist(), each[:-1][inside].tolist()):
-        total[p] += 1
-        if s >= 0:
-            by[p][s] += 1
-    sizes = np.bincount(each[each >= 0], minlength=n).astype(float)
-    out = {}
-    for p, c in by.items():
-        if total[p] >= 3:
-            odds = _odds(np.array([c.get(s, 0) for s in range(n)], dtype=float), sizes)
-            if odds is not None:
-                out[p] = odds
-    return out
-
-
 def _hash_words(words: list[str]) -> np.ndarray:
     import xxhash
 
@@ -197,11 +199,12 @@ def _pairs(words: list[str], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix(h[:-1] * np.uint64(3) + h[1:]).view(np.int64), inside
 
 
-def _votes(subjects: list[str], odds: dict[str, np.ndarray], pair_odds: dict[int, np.ndarray], source_likes: dict[str, set[int]], docket_likes: dict[str, set[int]]):
+def _votes(subjects: list[str], odds: dict[str, np.ndarray], pair_odds: dict[int, np.ndarray], head_odds: dict[str, np.ndarray], source_likes: dict[str, set[int]], address_likes: dict[str, set[int]]):
     """(doc_id, subject, votes of the five functions as digits: 0 against, 1 for, 2 no vote)."""
     n = len(subjects)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = Lexicon(head_odds, n)
         lexicon = Lexicon(odds, n)
         keys = np.array(sorted(pair_odds), dtype=np.int64)
         pairs = Lexicon({}, n)
@@ -233,49 +236,87 @@ def _votes(subjects: list[str], odds: dict[str, np.ndarray], pair_odds: dict[int
                     ok = about >= 0
                     np.add.at(s, (docs[ok], about[ok]), lens[ok])
                     shares.append(s / np.maximum(total, 1)[:, None])
-                opening = np.full(m, -1)
-                ok = np.flatnonzero(by_word >= 0)[::-1]
-                opening[docs[ok]] = by_word[ok]
+                titles = batch.column(4).to_pylist()
+                head_words, head_starts, head_docs = _flat([headings(title, text or "") for title, text in zip(titles, texts)])
+                headed: list[set[int]] = [set() for _ in range(m)]
+                if head_words:
+                    get_head = heads.index.get
+                    about = heads.subjects(np.fromiter((get_head(w, 0) for w in head_words), dtype=np.int64, count=len(head_words)), head_starts)
+                    for d, s in zip(head_docs.tolist(), about.tolist()):
+                        if s >= 0:
+                            headed[d].add(s)
                 rows, subs, votes = [], [], []
-                for d, s in zip(*np.nonzero((shares[0] > 0.02) | (shares[1] > 0.02))):
-                    src, docket = batch.column(2)[int(d)].as_py(), batch.column(3)[int(d)].as_py()
-                    v = [
-                        "1" if shares[0][d, s] >= SHARE else "0",
-                        ("1" if shares[1][d, s] >= SHARE else "0") if shares[1][d].sum() > 0.1 else "2",
-                        ("1" if opening[d] == s else "0") if opening[d] >= 0 else "2",
-                        "1" if s in docket_likes.get((docket or "").split("-")[0], ()) else "2",
-                        "1" if s in source_likes.get(src or "", ()) else "2",
-                    ]
-                    rows.append(int(d))
-                    subs.append(subjects[s])
-                    votes.append("".join(v))
+                for d in np.flatnonzero(((shares[0] > 0.02) | (shares[1] > 0.02)).any(axis=1)).tolist():
+                    src, docket = batch.column(2)[d].as_py(), batch.column(3)[d].as_py()
+                    liked = set().union(*(address_likes.get(x, ()) for x in addresses(docket, texts[d] or "")))
+                    paired = shares[1][d].sum() > 0.1
+                    for s in np.flatnonzero((shares[0][d] > 0.02) | (shares[1][d] > 0.02)).tolist():
+                        v = [
+                            "1" if shares[0][d, s] >= SHARE else "0",
+                            ("1" if shares[1][d, s] >= SHARE else "0") if paired else "2",
+                            ("1" if s in headed[d] else "0") if headed[d] else "2",
+                            "1" if s in liked else "2",
+                            "1" if s in source_likes.get(src or "", ()) else "2",
+                        ]
+                        rows.append(d)
+                        subs.append(subjects[s])
+                        votes.append("".join(v))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(subs, pa.string()), pa.array(votes, pa.string())], ["doc_id", "subject", "votes"])
 
     return run
 
 
-def posteriors(patterns: dict[str, int], rounds: int = 30) -> dict[str, float]:
-    """Probability of the subject given each vote pattern, by a latent class model fitted to how often the patterns occur."""
+def _likelihood(table: np.ndarray, votes: np.ndarray) -> np.ndarray:
+    like = np.ones((2, len(votes)))
+    for f in range(votes.shape[1]):
+        like *= table[:, f, :][:, votes[:, f]]
+    return like
+
+
+def _table(post: np.ndarray, count: np.ndarray, votes: np.ndarray, base: np.ndarray | None) -> np.ndarray:
+    """[class for / against][function][vote]: how often each class votes so; drawn to base as by DRAWN documents."""
+    out = np.empty((2, votes.shape[1], 3))
+    for c, w in enumerate((post * count, (1 - post) * count)):
+        for f in range(votes.shape[1]):
+            seen = np.bincount(votes[:, f], weights=w, minlength=3)
+            out[c, f] = (seen + 1.0) / (w.sum() + 3.0) if base is None else (seen + DRAWN * base[c, f]) / (w.sum() + DRAWN)
+    return out
+
+
+def posteriors(patterns: dict[tuple[str, str], int], rounds: int = 30) -> dict[tuple[str, str], float]:
+    """(subject, votes) -> probability of the subject, from how often each pattern of votes occurs.
+
+    A latent class model, fitted first to all subjects together and then to each by itself, its accuracies
+    drawn to those of all.
+    """
     keys = sorted(patterns)
     if not keys:
         return {}
-    votes = np.array([[int(c) for c in k] for k in keys])
+    votes = np.array([[int(c) for c in k[1]] for k in keys])
     count = np.array([patterns[k] for k in keys], dtype=float)
     # Votes for and against lean to the truth at first, as far as each function is expected to be right.
     right = np.array([0.9, 0.85, 0.75, 0.55, 0.55][: votes.shape[1]])
-    table = np.stack([np.stack([1 - right, right, np.full_like(right, 0.5)], axis=1), np.stack([right, 1 - right, np.full_like(right, 0.5)], axis=1)])  # [class for / against][function][vote]
+    table = np.stack([np.stack([1 - right, right, np.full_like(right, 0.5)], axis=1), np.stack([right, 1 - right, np.full_like(right, 0.5)], axis=1)])
     prior = 0.4
-    for _ in range(rounds):
-        like = np.ones((2, len(keys)))
-        for f in range(votes.shape[1]):
-            like *= table[:, f, :][:, votes[:, f]]
-        post = prior * like[0] / (prior * like[0] + (1 - prior) * like[1])
-        prior = float((post * count).sum() / count.sum())
-        for c, w in enumerate((post * count, (1 - post) * count)):
-            for f in range(votes.shape[1]):
-                for v in range(3):
-                    table[c, f, v] = (w[votes[:, f] == v].sum() + 1.0) / (w.sum() + 3.0)
-    return {k: float(p) for k, p in zip(keys, post)}
+
+    def fit(rows: np.ndarray, table: np.ndarray, prior: float, base: np.ndarray | None) -> tuple[np.ndarray, float, np.ndarray]:
+        v, c, first = votes[rows], count[rows], prior
+        for _ in range(rounds):
+            like = _likelihood(table, v)
+            post = prior * like[0] / (prior * like[0] + (1 - prior) * like[1])
+            drawn = 0.0 if base is None else DRAWN
+            prior = float(((post * c).sum() + drawn * first) / (c.sum() + drawn))
+            table = _table(post, c, v, base)
+        return table, prior, post
+
+    table, prior, _ = fit(np.arange(len(keys)), table, prior, None)
+    subjects = np.array([k[0] for k in keys])
+    out = {}
+    for s in dict.fromkeys(subjects.tolist()):
+        rows = np.flatnonzero(subjects == s)
+        _, _, post = fit(rows, table, prior, table)
+        out |= {keys[r]: float(p) for r, p in zip(rows, post)}
+    return out
 
 
 def _likes(pairs: list[tuple[str, int]], n: int) -> dict[str, set[int]]:
@@ -298,30 +339,35 @@ def _widened(documents: DataFrame, odds: dict[str, np.ndarray], cols: list[str])
     sizes = np.array([float(sizes[c] or 0) + 1.0 for c in cols])
     total = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
     most = F.greatest(*cols) if n > 1 else F.col(cols[0])
-    wide = sums.withColumn("total", total).where((F.col("total") >= WIDE_COUNT) & (most >= WIDE_SHARE * F.col("total")))
+    wide = sums.withColumn("total", total).where((F.col("total") >= max(WIDE_COUNT, WIDE_PART * sizes.sum())) & (most >= WIDE_SHARE * F.col("total")))
     out = {}
-    for r in wide.orderBy(F.col("total").desc(), "word").limit(LEXICON_WORDS).collect():
+    for r in wide.collect():  # at most 1 / WIDE_PART words
         if (new := _odds(np.array([r[x] for x in cols], dtype=float), sizes)) is not None:
             out[r.word] = new
     return out
 
 
+@settled
 def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, labelled_docs: int = LABELLED_DOCS) -> DataFrame:
     """(doc_id, subject) for each subject of a document, none for one without real text.
 
-    documents: doc_id, text, source, docket_id; labels: doc_id, subject (case and blanks don't matter;
+    documents: doc_id, text, title, source, docket_id (title may be missing); labels: doc_id, subject (case and blanks don't matter;
     unknown subjects and documents are left out; wrong ones are outvoted); subjects: subject. Null
     and blank texts have no subject; a repeated doc_id with the same text counts once. Without
     labels or subjects the result is empty. Whole texts are read; other columns are ignored.
     """
     spark = documents.sparkSession
-    names = sorted({r.subject for r in subjects.select("subject").limit(1000).collect() if r.subject})
+    names = sorted({r.subject for r in subjects.select("subject").distinct().limit(MAX_SUBJECTS + 2).collect() if r.subject})
+    if len(names) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
+    if "title" not in documents.columns:
+        documents = documents.withColumn("title", F.lit(None).cast("string"))
     at = {s.lower(): k for k, s in enumerate(names)}
     n = len(names)
     empty = documents.select("doc_id", F.lit("").alias("subject")).where(F.lit(False))
     named = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin(*at)) if at else labels.where(F.lit(False))
     chosen = named.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_docs)
-    taught = documents.join(F.broadcast(chosen), "doc_id").select("text", "subjects", "source", "docket_id").where(F.col("text").isNotNull()).collect()
+    taught = documents.join(F.broadcast(chosen), "doc_id").select("text", "subjects", "source", "docket_id", "title").where(F.col("text").isNotNull()).collect()
     if not taught:
         return empty
     texts, labelled = [r.text for r in taught], [[at[s] for s in r.subjects] for r in taught]
@@ -331,12 +377,16 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     for _ in range(WIDENINGS):
         odds = odds | _widened(documents, odds, cols)
 
-    pair_odds = _pair_odds(texts, Lexicon(odds, n), n)
+    pair_odds = fit_lexicon(texts, labelled, n, pairs=True)
+    head_odds = fit_lexicon([headings(r.title, r.text) for r in taught], labelled, n)
     sources = _likes([(r.source, s) for r, ls in zip(taught, labelled) for s in ls if r.source], n)
-    dockets = _likes([(r.docket_id.split("-")[0], s) for r, ls in zip(taught, labelled) for s in ls if r.docket_id], n)
+    known = _likes([(x, s) for r, ls in zip(taught, labelled) for x in addresses(r.docket_id, r.text) for s in ls], n)
     kind = documents.select("doc_id").dtypes[0][1]
-    rows = documents.select("doc_id", "text", "source", "docket_id").where(F.col("text").isNotNull())
-    votes = cut(rows.mapInArrow(_votes(names, odds, pair_odds, sources, dockets), f"doc_id {kind}, subject string, votes string"), "votes")
-    patterns = {r.votes: r.n for r in votes.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 2 * 3 ** 4
+    rows = documents.select("doc_id", "text", "source", "docket_id", "title").where(F.col("text").isNotNull())
+    votes = cut(rows.mapInArrow(_votes(names, odds, pair_odds, head_odds, sources, known), f"doc_id {kind}, subject string, votes string"), "votes")
+    patterns = {(r.subject, r.votes): r.n for r in votes.groupBy("subject", "votes").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 2 * 3 ** 4 a subject
     likely = [k for k, p in posteriors(patterns).items() if p >= 0.5]
-    return votes.where(F.col("votes").isin(*likely)).select("doc_id", "subject").distinct() if likely else empty
+    if not likely:
+        return empty
+    chosen = F.broadcast(spark.createDataFrame(likely, "subject string, votes string"))
+    return votes.join(chosen, ["subject", "votes"]).select("doc_id", "subject").distinct()

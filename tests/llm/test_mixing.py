@@ -1,4 +1,4 @@
-from muster.llm.mixing import mix, mixture_rates, mixture_shares
+from muster.llm.mixing import mix, mixture_rates, mixture_shares, wanted_tokens
 
 
 def test_shares_meet_targets(spark):
@@ -25,3 +25,14 @@ def test_nothing_to_mix(spark):
     targets = spark.createDataFrame([("b", 1.0, 1)], "source string, target_share double, max_repeats int")
     assert mix(sizes, targets).count() == 0
     assert [r.share for r in mixture_shares(sizes, targets, mix(sizes, targets)).collect()] == [0.0]
+
+
+def test_a_stated_total_is_reached_as_near_the_targets_as_can_be(spark):
+    goal = [("a", 0.5, 1000.0), ("b", 0.3, 90.0), ("c", 0.2, 10.0)]
+    assert wanted_tokens(goal, None) == {"a": 25.0, "b": 15.0, "c": 10.0}
+    assert wanted_tokens(goal, 400) == {"c": 10.0, "b": 90.0, "a": 300.0}
+    assert wanted_tokens(goal, 5000) == {"a": 1000.0, "b": 90.0, "c": 10.0}
+    sizes = spark.createDataFrame([(k, "a", 10 + k % 7) for k in range(900)] + [(1000 + k, "b", 12) for k in range(20)], "id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    shares = {r.source: r for r in mixture_shares(sizes, targets, mix(sizes, targets, total=3000)).collect()}
+    assert shares["b"].tokens == 480 and abs(shares["a"].tokens - 2520) < 60

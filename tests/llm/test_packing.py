@@ -48,3 +48,13 @@ def test_token_counts(spark):
 def test_triple_below_many_larger_lengths():
     counts = {n: 1 for n in range(300, 400) if n not in (330, 332, 338)} | {500: 1, 170: 1, 168: 1, 162: 1}
     assert plan(counts, 1000)[0] == ((500, 170, 168, 162), 1)
+
+
+def test_repeats_of_one_item_are_dealt_alike_in_every_run(spark):
+    df = spark.createDataFrame([(7, 250)] * 2500 + [(7, 30)] * 2500, "id long, n long")
+    one, two = (sorted(map(tuple, pack(x, "id", "n", 100, 1000).collect())) for x in (df, df.repartition(3)))
+    assert one == two and sum(r[2] for r in one) == 2500 * 280
+    boxes = defaultdict(int)
+    for r in one:
+        boxes[r[3]] += r[2]
+    assert max(boxes.values()) <= 100

@@ -42,3 +42,32 @@ def test_tables(spark):
     assert got == {("a", "email", 0), ("d", "email", 100_000)}
     assert {r.id: r.text for r in redact_texts(df, "id", "text").collect()}["a"] == "[EMAIL]"
     assert find_personal_data(df.where("1 = 0"), "id", "text").count() == 0
+
+
+def test_names_in_no_list_and_streets_first():
+    """Names are told by where and how they stand; none of these is in the list of given names."""
+    for name in ("Zsofia Kovacs", "Hiroshi Tanaka", "Oyelaran Adebayo-Cole", "Wim de Vries".replace("de ", "De "), "Xochitl R. Quispe"):
+        for text in (f"No more of it.\n\nYours, {name}", f"Sincerely,\n{name}\nretired nurse", f"My name is {name}, and I farm.", f"/s/ {name}"):
+            at = text.index(name)
+            assert (at, at + len(name), "person_name") in find_spans(text), text
+    for text in ("Sincerely,\nRiverside Dairy Alliance", "Thanks, Federal Commission", "Respectfully submitted, The Board", "Regards, and good luck"):
+        assert not [s for s in find_spans(text) if s[2] == "person_name"], text
+    text = "Je demeure au 12 Rue de Rivoli depuis dix ans, ou 7 calle del Prado."
+    assert [text[a:b] for a, b, k in find_spans(text) if k == "address"] == ["12 Rue de Rivoli", "7 calle del Prado"]
+
+
+def test_nothing_is_cut_short():
+    local = "a" * 300
+    text = f"Write to {local}@mail.example.org or docket{' ' * 60}555-12-3456"
+    assert [(text[a:b], k) for a, b, k in find_spans(text)] == [(f"{local}@mail.example.org", "email")]
+    name = "Marsh" + "wood" * 30
+    text = f"Name: {name}, Deborah"
+    assert [text[a:b] for a, b, k in find_spans(text)] == [f"{name}, Deborah"]
+
+
+def test_work_grows_with_the_text():
+    import time
+
+    began = time.perf_counter()
+    spans = find_spans("mail ann@example.org or 555-123-4567. " * 20_000)
+    assert len(spans) == 40_000 and time.perf_counter() - began < 30

@@ -1,6 +1,8 @@
 import random
 
-from muster.llm.subjects import document_subjects, posteriors
+import pytest
+
+from muster.llm.subjects import addresses, document_subjects, fit_lexicon, headings, posteriors
 
 TOPICS = {"farms": "barn crop soil tractor seed herd hay plow orchard dairy", "courts": "judge jury trial statute appeal verdict docket plea bail clerk", "sports": "goal team coach league match referee season stadium trophy sprint"}
 
@@ -33,6 +35,29 @@ def test_recovers_topics(spark):
 
 
 def test_model_trusts_the_accurate():
-    p = posteriors({"11122": 500, "00022": 900, "10022": 20, "01022": 20, "00122": 60})
-    assert p["11122"] > 0.95 and p["00022"] < 0.05
+    p = posteriors({("x", v): n for v, n in {"11122": 500, "00022": 900, "10022": 20, "01022": 20, "00122": 60}.items()})
+    assert p["x", "11122"] > 0.95 and p["x", "00022"] < 0.05
     assert posteriors({}) == {}
+
+
+def test_accuracies_are_each_subjects_own():
+    """A function that is noise for one subject and right for the other is trusted for the other only."""
+    noise = {("x", v): 400 for v in ("110", "111", "000", "001")}
+    right = {("y", v): n for v, n in {"111": 500, "000": 500, "101": 100, "100": 5}.items()}
+    p = posteriors(noise | right)
+    assert p["y", "101"] > p["y", "100"] + 0.3 > p["x", "110"] - p["x", "111"] + 0.3
+
+
+def test_sources_of_votes():
+    assert headings("Farm Rules", "Soil and crops\nWe plow the field every year, and then we rest.\nHay:").split("\n") == ["Farm Rules", "Soil and crops", "Hay:"]
+    assert addresses("AB-1", "write to ann@barn.farms.example or x@y") == {"AB", "@barn.farms"}
+    texts, labels = ["plow the field now. plow the field now."] * 3 + ["file the plea now. file the plea now."] * 3, [[0]] * 3 + [[1]] * 3
+    odds = fit_lexicon(texts, labels, 2, pairs=True)
+    assert odds and all(abs(int(o.argmax()) - 0.5) == 0.5 for o in odds.values())
+
+
+def test_too_many_subjects_raise(spark):
+    docs = spark.createDataFrame([(1, "a", "b", "c")], "doc_id long, text string, source string, docket_id string")
+    labels = spark.createDataFrame([(1, "s1")], "doc_id long, subject string")
+    with pytest.raises(ValueError):
+        document_subjects(docs, labels, spark.range(1001).selectExpr("concat('s', id) AS subject"))
