@@ -249,11 +249,11 @@ def _votes(subjects: list[str], odds: dict[str, np.ndarray], pair_odds: dict[int
                 for d in np.flatnonzero(((shares[0] > 0.02) | (shares[1] > 0.02)).any(axis=1)).tolist():
                     src, docket = batch.column(2)[d].as_py(), batch.column(3)[d].as_py()
                     liked = set().union(*(address_likes.get(x, ()) for x in addresses(docket, texts[d] or "")))
-                    paired = shares[1][d].sum() > 0.1
+                    paired = shares[1][d].sum()  # pairs tell fewer sentences than words: against only where they tell enough of other subjects
                     for s in np.flatnonzero((shares[0][d] > 0.02) | (shares[1][d] > 0.02)).tolist():
                         v = [
                             "1" if shares[0][d, s] >= SHARE else "0",
-                            ("1" if shares[1][d, s] >= SHARE else "0") if paired else "2",
+                            "1" if shares[1][d, s] >= SHARE else "0" if paired > 0.1 and shares[1][d, s] < SHARE / 2 * paired else "2",
                             ("1" if s in headed[d] else "0") if headed[d] else "2",
                             "1" if s in liked else "2",
                             "1" if s in source_likes.get(src or "", ()) else "2",
