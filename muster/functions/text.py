@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from muster.functions.fixed import LEGAL_FORMS
+
 #: White space as Python sees it; plain \\s is ASCII only in Java.
 SPACE = r"(?U)\s+"
 
@@ -47,7 +49,7 @@ def exact_key(c: Column) -> Column:
 
 
 def normal_org(c: Column) -> Column:
-    c = F.regexp_replace(F.lower(c), r"\b(inc|llc|llp|corp|corporation|ltd|limited|co|company|the)\b", "")
+    c = F.regexp_replace(F.lower(c), rf"\b({'|'.join(LEGAL_FORMS)})\b", "")
     c = F.regexp_replace(c, r"[^a-z0-9\s]", " ")
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 

@@ -94,6 +94,7 @@ def mtld(words: pd.Series) -> pd.Series:
 
 
 CLOSED = {"DET": "a an the this that these those every any all", "PRON": "i you he she it we they me him her us them my your his its our their who which what", "ADP": "of in on at by for with from to into upon down up about over under", "CONJ": "and or but so if because while although when than as until unless", "AUX": "be been is are was were am do does did has have had can could will would shall should may might must", "ADV": "not now only also even more so then there"}
+ENDINGS = (("ly", "ADV"), ("ing", "VERB"), ("ed", "VERB"), ("tion", "NOUN"), ("ment", "NOUN"), ("ness", "NOUN"), ("ous", "ADJ"), ("ful", "ADJ"), ("able", "ADJ"), ("ive", "ADJ"), ("al", "ADJ"))
 _TAG = {w: tag for tag, ws in CLOSED.items() for w in ws.split()}
 
 
@@ -104,12 +105,7 @@ def pos_entropy(words: pd.Series) -> pd.Series:
     from collections import Counter
 
     def tag(w: str) -> str:
-        if w in _TAG:
-            return _TAG[w]
-        for end, t in (("ly", "ADV"), ("ing", "VERB"), ("ed", "VERB"), ("tion", "NOUN"), ("ment", "NOUN"), ("ness", "NOUN"), ("ous", "ADJ"), ("ful", "ADJ"), ("able", "ADJ"), ("ive", "ADJ"), ("al", "ADJ")):
-            if w.endswith(end):
-                return t
-        return "NOUN"
+        return _TAG.get(w) or next((t for end, t in ENDINGS if w.endswith(end)), "NOUN")
 
     def one(ws) -> float:
         c = Counter(map(tag, ws))
@@ -173,11 +169,26 @@ def surprisal_features(s: DataFrame, by: str = "id") -> DataFrame:
     d = s.withColumn("d1", F.col("s") - F.lag("s").over(w)).withColumn("d2", F.col("s") - 2 * F.lag("s").over(w) + F.lag("s", 2).over(w))
     d = d.withColumn("d2n", F.lead("d2").over(w))
     m = lambda c, p: F.avg(F.pow(c, F.lit(float(p))))
-    a = d.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[m("s", p).alias(f"m{p}") for p in (1, 2, 3, 4)], F.avg("d1").alias("d1_mean"), m("d1", 2).alias("d1q"), F.avg("d2").alias("d2_mean"), m("d2", 2).alias("d2q"), F.sum(F.col("d2") * F.col("d2n")).alias("dd"), F.sum(F.when(F.col("d2n").isNotNull(), F.col("d2") + F.col("d2n"))).alias("ds"), F.count("d2").alias("k")).where("n >= 4")
+    a = d.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[m("s", p).alias(f"m{p}") for p in (1, 2, 3, 4)], F.avg("d1").alias("d1_mean"), m("d1", 2).alias("d1q"), F.avg("d2").alias("d2_mean"), m("d2", 2).alias("d2q"), F.sum(F.col("d2") * F.col("d2n")).alias("dd"), F.sum(F.when(F.col("d2n").isNotNull(), F.col("d2") + F.col("d2n"))).alias("ds"), F.count("d2").alias("k"), F.collect_list("d2").alias("d2s")).where("n >= 4")
     c = F.col
     var = c("m2") - c("m1") * c("m1")
     skew = (c("m3") - 3 * c("m1") * c("m2") + 2 * F.pow("m1", F.lit(3.0))) / (F.pow(F.greatest(F.lit(0.0), var), F.lit(1.5)) + 1e-9)
     kurt = (c("m4") - 4 * c("m1") * c("m3") + 6 * F.pow("m1", F.lit(2.0)) * c("m2") - 3 * F.pow("m1", F.lit(4.0))) / (var * var + 1e-9)
+    lo, hi = F.array_min("d2s"), F.array_max("d2s")
+    bins = F.transform("d2s", lambda x: F.when(hi > lo, F.least(F.lit(9), F.floor((x - lo) / (hi - lo) * 10))).otherwise(0))
+    a = a.withColumn("bins", bins)
+    among = lambda b: F.size(F.filter("bins", lambda x: x == b))
+    entropy = T.entropy(F.array(*map(among, range(10))))
     denom = c("k") * (c("d2q") - c("d2_mean") * c("d2_mean"))
     auto = (c("dd") - c("d2_mean") * c("ds") + (c("k") - 1) * c("d2_mean") * c("d2_mean")) / (denom + 1e-9)
-    return a.select(by, c("m1").alias("s_mean"), var.alias("s_var"), skew.alias("s_skew"), kurt.alias("s_kurt"), "d1_mean", (c("d1q") - c("d1_mean") * c("d1_mean")).alias("d1_var"), (c("d2q") - c("d2_mean") * c("d2_mean")).alias("d2_var"), auto.alias("d2_ac"))
+    return a.select(by, c("m1").alias("s_mean"), var.alias("s_var"), skew.alias("s_skew"), kurt.alias("s_kurt"), "d1_mean", (c("d1q") - c("d1_mean") * c("d1_mean")).alias("d1_var"), (c("d2q") - c("d2_mean") * c("d2_mean")).alias("d2_var"), entropy.alias("d2_entropy"), auto.alias("d2_ac"))
+
+
+def generated_score(df: DataFrame, cols: list[str]) -> DataFrame:
+    """df: run_id, cluster and features. (run_id, cluster, n, mean_surprisal, ai_score): spread of each feature in a cluster of three or more against its run's."""
+    long = df.select(*BY, F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("x")) for c in cols])).alias("e")).select(*BY, "e.f", "e.x")
+    base = long.groupBy("run_id", "f").agg((F.stddev_pop("x") + 1e-6).alias("b"))
+    part = long.where("cluster <> -1").groupBy(*BY, "f").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), (F.stddev_pop("x") + 1e-9).alias("sd")).where("n >= 3")
+    out = part.join(base, ["run_id", "f"]).groupBy(*BY).agg(F.first("n").alias("n"), F.round(F.max(F.when(F.col("f") == "s_mean", F.col("mean"))), 3).alias("mean_surprisal"), F.avg(F.log(F.col("sd") / F.col("b") + 0.01)).alias("log"))
+    raw = F.greatest(F.lit(0.0), F.least(F.lit(0.95), 1 - F.exp("log")))
+    return out.select(*BY, "n", "mean_surprisal", F.round(F.least(F.lit(1.0), F.col("n") / 15.0) * raw, 4).alias("ai_score"))

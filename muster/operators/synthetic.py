@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: label, comments, day, hour, minutes of the burst, forced state, organisation.
-CAMPAIGNS = (("template_a", 600, 14, 2, 47, "VA", "Internet Commerce Council"), ("lead_gen_b", 500, 21, 14, 72, None, "Bankers Forum"), ("bot_network_c", 400, 30, 3, 8, None, None), ("student_script_d", 200, 25, 23, 60, "MA", None))
+from muster.functions.fixed import CAMPAIGNS
+
 START = "2025-06-01 00:00:00"
 _SEEDS = {
-    "template_a": "Heavy rules on networks raise prices and slow new service for every family in our town so please keep them light",
-    "lead_gen_b": "My credit was harmed by a mistake and no one at the company answered my letters about the charge for months",
+    "industry_template_a": "Heavy rules on networks raise prices and slow new service for every family in our town so please keep them light",
+    "lead_gen_firm_b": "My credit was harmed by a mistake and no one at the company answered my letters about the charge for months",
     "bot_network_c": "The proposed rule takes away our freedom to choose and must be stopped before it does more damage to people",
     "student_script_d": "As a student with loans I ask you to keep the protections that help young people start their working lives",
 }

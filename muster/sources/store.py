@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -37,7 +39,19 @@ def write_json(df: DataFrame, path: str, without: tuple[str, ...] = ()) -> None:
     df.drop(*without).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def append_fingerprints(df: DataFrame, path: str) -> None:
+    """Adds rows of (docket_id, cluster, argument_hash, ..) to the fingerprints kept."""
+    df.withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def cached_json(spark, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows kept at path; where nothing is kept yet, those of make() are written first."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
+        write_json(make(), path)
+    return spark.read.json(path)
+
+
 def read_registry(spark, path: str) -> DataFrame:
-    """A registry of entities from CSV: name, sector, type, lobby_intensity; pos is the order in the file."""
-    rows = spark.read.schema("name string, sector string, type string, lobby_intensity string").option("header", True).csv(path)
-    return rows.withColumn("pos", F.monotonically_increasing_id())
+    """A registry of entities from CSV: pos, name, sector, type, lobby_intensity; pos is the entry's place in the order that settles ties."""
+    return spark.read.schema("pos int, name string, sector string, type string, lobby_intensity string").option("header", True).csv(path)

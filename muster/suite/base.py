@@ -13,6 +13,14 @@ from muster.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+#: The SQL of each query after the common table expressions of BASE.
+BODY: dict[str, str] = {}
+
+
+def nested(key: str) -> str:
+    """The SQL of a query for use as a table expression of another."""
+    body = BODY[key].lstrip()
+    return "WITH RECURSIVE " + body[1:] if body.startswith(",") else body
 
 
 class Tables:
@@ -36,7 +44,7 @@ def view(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
 
 
 def query(sql: str | None = None, name: str | None = None):
-    """Registers f(tables) as a query; sql follows the common table expressions of BASE, or stands alone if it starts with WITH."""
+    """Registers f(tables) as a query; sql follows the common table expressions of BASE, or stands alone if it starts with WITH; RECURSIVE before it makes them recursive."""
 
     def register(f: Callable[[Tables], DataFrame]):
         key = name or f.__name__
@@ -44,7 +52,9 @@ def query(sql: str | None = None, name: str | None = None):
         QUERIES[key] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             body = re.sub(r"\b([a-z]) -> ", r"lambda \1: ", sql)
-            SQL[key] = body if body.lstrip().startswith("WITH RECURSIVE") else BASE + body
+            recursive = body.startswith("RECURSIVE")
+            BODY[key] = body = body.removeprefix("RECURSIVE")
+            SQL[key] = body if body.lstrip().startswith("WITH RECURSIVE") else (BASE.replace("WITH", "WITH RECURSIVE", 1) if recursive else BASE) + body
         return f
 
     return register
@@ -52,8 +62,8 @@ def query(sql: str | None = None, name: str | None = None):
 
 @view
 def cm(t: Tables) -> DataFrame:
-    """Comments, a repeated id once: as first fetched."""
-    first = Window.partitionBy("id").orderBy("ingested_at")
+    """Comments, a repeated id once: as first fetched, of several fetched at once the one received first."""
+    first = Window.partitionBy("id").orderBy("ingested_at", "receive_date", "withdrawn", "posted_date", "text")
     return t.comments.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
 
 
@@ -81,7 +91,7 @@ def tc(t: Tables) -> DataFrame:
     return t.tx.join(t.lab, "id")
 
 
-BASE = r"""WITH cm AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at) AS rn FROM comments) WHERE rn = 1),
+BASE = r"""WITH cm AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at NULLS FIRST, receive_date NULLS FIRST, withdrawn NULLS FIRST, posted_date NULLS FIRST, text NULLS FIRST) AS rn FROM comments) WHERE rn = 1),
 tx AS (SELECT * FROM cm WHERE text IS NOT NULL AND length(text) >= 30 AND lower(regexp_replace(text, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')) NOT IN ('see attached', 'see attachment', 'n/a')),
 lab AS (SELECT DISTINCT l.run_id, l.id, l.cluster FROM cluster_labels l JOIN (SELECT docket_id, max(id) AS run_id FROM analysis_runs WHERE id % 2 = 0 GROUP BY docket_id) r USING (run_id)),
 cc AS (SELECT cm.*, lab.run_id, lab.cluster FROM cm JOIN lab USING (id)),

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from muster.functions import text as T
-from muster.functions.fixed import FUNCTION_WORDS, REGISTRY
+from muster.functions.fixed import FUNCTION_WORDS, LEGAL_FORMS, REGISTRY
 from muster.functions.stats import ratcliff
 from muster.operators import graph
 from muster.operators.joins import band_pairs, nearest, ranks_in, similar_sets
@@ -124,7 +124,7 @@ def j6_metadata_pairs(t: Tables) -> DataFrame:
 def j8_similar_texts(t: Tables) -> DataFrame:
     """Exact similarity join of the distinct texts, a class of copies shown by its least id; j5_templates has the classes."""
     first = t.tx.groupBy(F.md5(T.exact_key(F.col("text"))).alias("k")).agg(F.min("id").alias("id")).select("id")
-    reps = t.tx.select("id", T.shingles(F.col("text")).alias("g")).join(first, "id", "left_semi")
+    reps = t.tx.join(first, "id", "left_semi").select("id", F.transform(T.shingles(F.col("text")), lambda x: F.xxhash64(x)).alias("g"))
     return similar_sets(reps, "id", "g", 0.8).select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -138,7 +138,7 @@ def j9_cluster_cosine(t: Tables) -> DataFrame:
 
 
 FIXED_REG = "freg AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{n}', '{s}', '{ty}', '{li}')" for k, (n, s, ty, li) in enumerate(REGISTRY)) + ") v(pos, name, sector, type, intensity))"
-NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(organization), '\b(inc|llc|llp|corp|corporation|ltd|limited|co|company|the)\b', '', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+NORMAL = rf"trim(regexp_replace(regexp_replace(regexp_replace(lower(organization), '\b({'|'.join(LEGAL_FORMS)})\b', '', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 ORGS = f"og AS (SELECT DISTINCT organization, {NORMAL} AS org FROM cm WHERE organization IS NOT NULL)"
 #: The fixed registry, then the twenty commonest long names of the corpus itself.
 REG = f"{FIXED_REG}, reg AS (SELECT * FROM freg UNION ALL SELECT 100 + row_number() OVER (ORDER BY n DESC, name) - 1, name, CASE WHEN contains(name, 'health') THEN 'health' WHEN contains(name, 'credit') OR contains(name, 'lending') THEN 'finance' ELSE 'local' END, 'local', 'medium' FROM (SELECT {NORMAL} AS name, count(*) AS n FROM cm WHERE organization IS NOT NULL GROUP BY 1 HAVING length(name) >= 15 ORDER BY n DESC, name LIMIT 20))"

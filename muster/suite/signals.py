@@ -9,26 +9,19 @@ from muster.functions.fixed import CAMPAIGN, WEIGHTS
 from muster.operators import clusters as C
 from muster.operators import graph
 from muster.operators.scan import cluster_scan, count_windows
-from muster.suite.base import Tables, query, view
+from muster.suite.base import Tables, nested, query, view
 from muster.suite.relational import KEY, META, RESOLVED, fuzzy_resolved, registry, resolved
-from muster.suite.text import ARGS, VEC
+from muster.suite import style as style_suite
+from muster.suite.text import ARGS, SHINGLES, VEC
 
 BY = ["run_id", "cluster"]
 #: Least Jaccard index of near-duplicates.
-SIMILAR = 0.7
-DUP = f"k AS (SELECT id, min(id) OVER (PARTITION BY {KEY}) AS g, count(*) OVER (PARTITION BY {KEY}) AS gn FROM tx), dg AS (SELECT id, g FROM k WHERE gn >= 2)"
+SIMILAR = 0.8
+DUP = f"{SHINGLES}, hs AS (SELECT id, md5(array_to_string(list_sort(g), ' ')) AS k, g FROM sh), kl AS (SELECT k, min(id) AS f, any_value(g) AS g FROM hs GROUP BY 1), ex AS (SELECT f, unnest(g) AS s, len(g) AS n FROM kl), sm AS (SELECT a.f AS a, b.f AS b FROM ex a JOIN ex b ON a.s = b.s AND a.f <> b.f GROUP BY 1, 2 HAVING count(*) >= {SIMILAR} * (any_value(a.n) + any_value(b.n) - count(*))), rc(f, g) AS (SELECT f, f FROM kl UNION SELECT sm.b, rc.g FROM rc JOIN sm ON sm.a = rc.f WHERE rc.g < sm.b), gr AS (SELECT f, min(g) AS g FROM rc GROUP BY 1), gn AS (SELECT hs.id, gr.g, count(*) OVER (PARTITION BY gr.g) AS m FROM hs JOIN kl USING (k) JOIN gr USING (f)), dg AS (SELECT id, g FROM gn WHERE m >= 2)"
 
 
 @view
 def dg(t: Tables) -> DataFrame:
-    """(id, g) of texts that equal another's but for case and outer blanks."""
-    key = t.tx.select("id", F.md5(T.exact_key(F.col("text"))).alias("k"))
-    sizes = key.groupBy("k").agg(F.min("id").alias("g"), F.count(F.lit(1)).alias("n")).where("n >= 2")
-    return key.join(sizes, "k").select("id", "g")
-
-
-@view
-def ng(t: Tables) -> DataFrame:
     """(id, g) of texts in a near-duplicate group: Jaccard index of their five-word shingles at least SIMILAR, directly or through others."""
     return graph.near_groups(t.tx.select("id", T.shingles(F.col("text")).alias("s")), "id", "s", SIMILAR).withColumnRenamed("group_id", "g")
 
@@ -41,17 +34,11 @@ def size(t: Tables) -> DataFrame:
 SIZE = "size AS (SELECT run_id, cluster, count(*) AS n FROM lab WHERE cluster <> -1 GROUP BY 1, 2)"
 
 
-@query(f", {DUP}, {SIZE}, o AS (SELECT run_id, cluster, g, count(*) AS c FROM lab JOIN dg USING (id) WHERE cluster <> -1 GROUP BY 1, 2, 3) SELECT size.run_id, size.cluster, any_value(n) AS n_members, coalesce(sum(c), 0)::BIGINT AS n_duplicates, round(coalesce(sum(c), 0) / any_value(n), 6) AS dup_fraction, coalesce(max(c), 0) AS largest FROM size LEFT JOIN o USING (run_id, cluster) GROUP BY 1, 2")
+@query(f"RECURSIVE, {DUP}, {SIZE}, o AS (SELECT run_id, cluster, g, count(*) AS c FROM lab JOIN dg USING (id) WHERE cluster <> -1 GROUP BY 1, 2, 3) SELECT size.run_id, size.cluster, any_value(n) AS n_members, coalesce(sum(c), 0)::BIGINT AS n_duplicates, round(coalesce(sum(c), 0) / any_value(n), 6) AS dup_fraction, coalesce(max(c), 0) AS largest FROM size LEFT JOIN o USING (run_id, cluster) GROUP BY 1, 2")
 def ag1_duplicates(t: Tables) -> DataFrame:
-    """By groups of equal texts; ag1_near_duplicates has the near-duplicate groups."""
     return duplicate_stats(t, t.dg)
 
 
-@query()
-def ag1_near_duplicates(t: Tables) -> DataFrame:
-    return duplicate_stats(t, t.ng)
-
-
 def duplicate_stats(t: Tables, groups: DataFrame) -> DataFrame:
     o = t.lab.where("cluster <> -1").join(groups, "id").groupBy(*BY, "g").agg(F.count(F.lit(1)).alias("c")).groupBy(*BY).agg(F.sum("c").alias("s"), F.max("c").alias("m"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -72,17 +59,11 @@ def ag2_exact_chain(t: Tables) -> DataFrame:
     return t.chain
 
 
-@query(f", {DUP} SELECT run_id, cluster, count(*) AS n_near, count(DISTINCT g) AS n_groups FROM lab JOIN dg USING (id) WHERE cluster <> -1 GROUP BY 1, 2")
+@query(f"RECURSIVE, {DUP} SELECT run_id, cluster, count(*) AS n_near, count(DISTINCT g) AS n_groups FROM lab JOIN dg USING (id) WHERE cluster <> -1 GROUP BY 1, 2")
 def ag3_near_groups(t: Tables) -> DataFrame:
-    """By groups of equal texts; ag3_near_members has the near-duplicate groups."""
     return group_members(t, t.dg)
 
 
-@query()
-def ag3_near_members(t: Tables) -> DataFrame:
-    return group_members(t, t.ng)
-
-
 def group_members(t: Tables, groups: DataFrame) -> DataFrame:
     return t.lab.where("cluster <> -1").join(groups, "id").groupBy(*BY).agg(F.count(F.lit(1)).alias("n_near"), F.count_distinct("g").alias("n_groups"))
 
@@ -225,25 +206,14 @@ def coordination(t: Tables, groups: DataFrame) -> DataFrame:
 
 @view
 def edges(t: Tables) -> DataFrame:
-    """Template edges join equal texts only; near_edges has those of near-duplicates."""
     return coordination(t, t.dg)
 
 
-@view
-def near_edges(t: Tables) -> DataFrame:
-    return coordination(t, t.ng)
-
-
-@query(f", {EDGES} SELECT src, dst, weight, kinds FROM ed")
+@query(f"RECURSIVE, {EDGES} SELECT src, dst, weight, kinds FROM ed")
 def ag16_edges(t: Tables) -> DataFrame:
     return t.edges
 
 
-@query()
-def ag16_near_edges(t: Tables) -> DataFrame:
-    return t.near_edges
-
-
 #: For the statistics of given communities the clusters of the last runs stand in for them.
 MEMBER = "mb AS (SELECT id, run_id || ':' || cluster AS community FROM lab WHERE cluster <> -1)"
 
@@ -253,20 +223,30 @@ def member(t: Tables) -> DataFrame:
     return t.lab.where("cluster <> -1").select("id", F.concat_ws(":", "run_id", "cluster").alias("community"))
 
 
-@query(f", {EDGES}, {MEMBER}, s AS (SELECT community, count(*) AS n FROM mb GROUP BY 1 HAVING count(*) >= 3), i AS (SELECT a.community, sum(weight) AS w FROM ed JOIN mb a ON a.id = src JOIN mb b ON b.id = dst AND b.community = a.community GROUP BY 1) SELECT community, n, round(coalesce(w, 0), 6) AS weight, round(2 * coalesce(w, 0) / (n * (n - 1)), 6) AS density FROM s LEFT JOIN i USING (community)")
+@query(f"RECURSIVE, {EDGES}, {MEMBER}, s AS (SELECT community, count(*) AS n FROM mb GROUP BY 1 HAVING count(*) >= 3), i AS (SELECT a.community, sum(weight) AS w FROM ed JOIN mb a ON a.id = src JOIN mb b ON b.id = dst AND b.community = a.community GROUP BY 1) SELECT community, n, round(coalesce(w, 0), 6) AS weight, round(2 * coalesce(w, 0) / (n * (n - 1)), 6) AS density FROM s LEFT JOIN i USING (community)")
 def ag17_community_stats(t: Tables) -> DataFrame:
     return graph.community_stats(t.edges, t.member)
 
 
+@query(f"RECURSIVE, {DUP}, o AS (SELECT dg.g AS community, run_id, cluster, count(*) AS c FROM dg JOIN lab USING (id) GROUP BY 1, 2, 3) SELECT community, sum(c)::BIGINT AS n, round(max(c) / sum(c), 6) AS overlap FROM o GROUP BY 1")
+def ag18_overlap(t: Tables) -> DataFrame:
+    """Share of each near-duplicate group's members that lie in its commonest cluster; ag18_communities has the communities."""
+    return overlap(t.dg.withColumnRenamed("g", "community"), t.lab)
+
+
+def overlap(members: DataFrame, labels: DataFrame) -> DataFrame:
+    o = members.join(labels, "id").groupBy("community", *BY).agg(F.count(F.lit(1)).alias("c"))
+    return o.groupBy("community").agg(F.sum("c").alias("n"), F.round(F.max("c") / F.sum("c"), 6).alias("overlap"))
+
+
 @query()
-def ag17_near_stats(t: Tables) -> DataFrame:
-    return graph.community_stats(t.near_edges, t.member)
+def ag18_communities(t: Tables) -> DataFrame:
+    return overlap(graph.communities(t.edges), t.lab)
 
 
-@query(f", {MEMBER}, o AS (SELECT community, docket_id, count(*) AS c FROM mb JOIN cm USING (id) GROUP BY 1, 2) SELECT community, round(max(c) / sum(c), 6) AS overlap FROM o GROUP BY 1")
-def ag18_overlap(t: Tables) -> DataFrame:
-    o = t.member.join(t.cm.select("id", "docket_id"), "id").groupBy("community", "docket_id").agg(F.count(F.lit(1)).alias("c"))
-    return o.groupBy("community").agg(F.round(F.max("c") / F.sum("c"), 6).alias("overlap"))
+@query()
+def ag17_communities(t: Tables) -> DataFrame:
+    return graph.community_stats(t.edges, graph.communities(t.edges))
 
 
 @query(f", {VEC}, xy AS (SELECT run_id, cluster, v[1] AS x, v[2] AS y FROM ve JOIN lab USING (id) WHERE cluster <> -1) SELECT run_id, cluster, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(sqrt(greatest(0, (sum(x * x) + sum(y * y)) / (2 * count(*)) - pow((sum(x) + sum(y)) / (2 * count(*)), 2))), 6) AS radius FROM xy GROUP BY 1, 2")
@@ -308,11 +288,14 @@ def ml15_probe(t: Tables) -> DataFrame:
     return probes.join(centre.join(radius, BY), "run_id").groupBy(*BY).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(inside), 6).alias("reachability"))
 
 
-@query("SELECT run_id, count(*) AS n_clusters, sum(CASE WHEN campaign_score >= 0.4 THEN 1 ELSE 0 END)::BIGINT AS n_campaigns, sum(CASE WHEN campaign_score >= 0.4 THEN n_comments ELSE 0 END)::BIGINT AS n_manufactured FROM (SELECT DISTINCT run_id, cluster_id, n_comments, campaign_score FROM clusters) GROUP BY 1")
+@query(", c AS (SELECT DISTINCT run_id, cluster_id, n_comments, campaign_score FROM clusters), r AS (SELECT run_id, count(*) AS n_clusters, sum(CASE WHEN campaign_score >= 0.4 THEN 1 ELSE 0 END)::BIGINT AS n_campaigns, sum(CASE WHEN campaign_score >= 0.4 THEN n_comments ELSE 0 END)::BIGINT AS n_manufactured FROM c GROUP BY 1), l AS (SELECT run_id, count(*) AS n, sum(CASE WHEN cluster = -1 THEN 1 ELSE 0 END)::BIGINT AS noise FROM (SELECT DISTINCT run_id, id, cluster FROM cluster_labels) GROUP BY 1) SELECT run_id, n_clusters, n_campaigns, n_manufactured, greatest(0, n - n_manufactured - noise) AS n_unique, round(n_manufactured / n * 100, 1) AS manufactured_pct FROM r JOIN l USING (run_id)")
 def ag21_rollup(t: Tables) -> DataFrame:
     hit = F.col("campaign_score") >= CAMPAIGN
     c = t.clusters.select("run_id", "cluster_id", "n_comments", "campaign_score").distinct()
-    return c.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_clusters"), F.sum(F.when(hit, 1).otherwise(0)).alias("n_campaigns"), F.sum(F.when(hit, F.col("n_comments")).otherwise(0)).alias("n_manufactured"))
+    r = c.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_clusters"), F.sum(F.when(hit, 1).otherwise(0)).alias("n_campaigns"), F.sum(F.when(hit, F.col("n_comments")).otherwise(0)).alias("n_manufactured"))
+    n = t.cluster_labels.select("run_id", "id", "cluster").distinct().groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("cluster") == -1, 1).otherwise(0)).alias("noise"))
+    unique = F.greatest(F.lit(0), F.col("n") - F.col("n_manufactured") - F.col("noise"))
+    return r.join(n, "run_id").select("run_id", "n_clusters", "n_campaigns", "n_manufactured", unique.alias("n_unique"), F.round(F.col("n_manufactured") / F.col("n") * 100, 1).alias("manufactured_pct"))
 
 
 HOURS = "hr AS (SELECT date_trunc('hour', posted_date) AS h, count(*) AS n FROM cm WHERE posted_date IS NOT NULL GROUP BY 1), fl AS (SELECT g.h, coalesce(hr.n, 0) AS n FROM (SELECT unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS h FROM hr) g LEFT JOIN hr ON hr.h = g.h), tl AS (SELECT strftime(h, '%Y-%m-%dT%H:00:00Z') AS hour, n, CASE WHEN count(*) OVER () < 3 THEN false ELSE coalesce((n - avg(n) OVER ()) / nullif(stddev_samp(n) OVER (), 0) > 3, false) END AS is_burst FROM fl)"
@@ -347,9 +330,15 @@ def ag24_agreement(t: Tables) -> DataFrame:
     return C.agreement(t.paired, "truth", "pred")
 
 
-@query(f", {PAIRED} SELECT truth, count(DISTINCT pred) AS n_clusters, count(*) AS n FROM tp GROUP BY 1")
+@query(", tp AS (SELECT coalesce(organization, '?') AS truth, cluster, run_id || ':' || cluster AS pred FROM cc), n AS (SELECT truth, pred, any_value(cluster) AS cluster, count(*) AS c FROM tp GROUP BY 1, 2), f AS (SELECT *, row_number() OVER (PARTITION BY truth ORDER BY c DESC, pred) AS k FROM n WHERE cluster <> -1) SELECT n.truth, count(*) FILTER (WHERE n.cluster <> -1) AS n_clusters, sum(c)::BIGINT AS n, coalesce(sum(c) FILTER (WHERE n.cluster = -1), 0)::BIGINT AS n_noise, (SELECT string_agg(pred || '=' || c, ',' ORDER BY k) FROM f WHERE f.truth = n.truth AND k <= 3) AS top FROM n GROUP BY n.truth")
 def ag25_fragmentation(t: Tables) -> DataFrame:
-    return t.paired.groupBy("truth").agg(F.count_distinct("pred").alias("n_clusters"), F.count(F.lit(1)).alias("n"))
+    """Of each class its clusters, how many of it are noise, and its three largest clusters."""
+    n = t.cc.select(F.coalesce("organization", F.lit("?")).alias("truth"), "cluster", F.concat_ws(":", "run_id", "cluster").alias("pred")).groupBy("truth", "pred", "cluster").agg(F.count(F.lit(1)).alias("c"))
+    k = F.row_number().over(Window.partitionBy("truth").orderBy(F.desc("c"), "pred"))
+    f = n.where("cluster <> -1").withColumn("k", k).where("k <= 3").groupBy("truth").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.concat_ws("=", "pred", "c").alias("p")))), lambda x: x["p"]), ",").alias("top"))
+    noise = F.col("cluster") == -1
+    a = n.groupBy("truth").agg(F.count_if(~noise).alias("n_clusters"), F.sum("c").alias("n"), F.sum(F.when(noise, F.col("c")).otherwise(0)).alias("n_noise"))
+    return a.join(f, "truth", "left")
 
 
 @query(f", {PAIRED} SELECT pred, sum(c)::BIGINT AS n, round(max(c) / sum(c), 6) AS purity FROM (SELECT truth, pred, count(*) AS c FROM tp GROUP BY 1, 2) GROUP BY 1 ORDER BY n DESC, pred LIMIT 10")
@@ -358,16 +347,11 @@ def ag26_purity(t: Tables) -> DataFrame:
     return c.groupBy("pred").agg(F.sum("c").alias("n"), F.round(F.max("c") / F.sum("c"), 6).alias("purity")).orderBy(F.desc("n"), "pred").limit(10)
 
 
-@query(f", {DUP} SELECT g AS community, run_id, cluster, count(*) AS n FROM dg JOIN lab USING (id) GROUP BY 1, 2, 3")
+@query(f"RECURSIVE, {DUP} SELECT g AS community, run_id, cluster, count(*) AS n FROM dg JOIN lab USING (id) GROUP BY 1, 2, 3")
 def j14_members_labels(t: Tables) -> DataFrame:
     return t.dg.join(t.lab, "id").groupBy(F.col("g").alias("community"), *BY).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def j14_near_labels(t: Tables) -> DataFrame:
-    return t.ng.join(t.lab, "id").groupBy(F.col("g").alias("community"), *BY).agg(F.count(F.lit(1)).alias("n"))
-
-
 # Learned operators
 
 
@@ -419,12 +403,12 @@ def ml6_projected(t: Tables) -> DataFrame:
 
 @query()
 def ml12_communities(t: Tables) -> DataFrame:
-    return graph.communities(t.near_edges)
+    return graph.communities(t.edges)
 
 
 @query("SELECT id, CASE WHEN cluster = -1 AND p > 0.5 THEN best ELSE cluster END AS cluster FROM (SELECT a.id, a.cluster, max(m.p) AS p, arg_max(m.cluster, m.p) AS best FROM lab a JOIN (SELECT run_id, cluster, count(*) / (sum(count(*)) OVER (PARTITION BY run_id)) AS p FROM lab WHERE cluster <> -1 GROUP BY 1, 2) m USING (run_id) GROUP BY 1, 2)")
-def ml9_reclaim(t: Tables) -> DataFrame:
-    """Noise goes to its likeliest cluster if that is likelier than one half; a cluster's share of its run stands in for membership."""
+def ml9_largest(t: Tables) -> DataFrame:
+    """Noise goes to its run's largest cluster if that holds more than half of the clustered; ml9b_reclaimed goes by soft membership."""
     n = t.lab.where("cluster <> -1").groupBy("run_id", F.col("cluster").alias("other")).agg(F.count(F.lit(1)).alias("c"))
     p = n.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy("run_id"))).groupBy("run_id").agg(F.max("p").alias("p"), F.max_by("other", "p").alias("best"))
     return t.lab.join(p, "run_id").select("id", F.when((F.col("cluster") == -1) & (F.col("p") > 0.5), F.col("best")).otherwise(F.col("cluster")).alias("cluster"))
@@ -448,19 +432,44 @@ def scored(t: Tables) -> DataFrame:
     return c.withColumn("score", F.round(F.least(F.lit(1.0), total), 3))
 
 
-@query(f", {SCORED} SELECT run_id, cluster_id, score FROM sd")
+#: The signals of the score: the query that works each out, and its column.
+PARTS = {"duplicate": ("ag1_duplicates", "dup_fraction"), "temporal_coupling": ("ag10_scan", "tcs"), "stylometric": ("ag9_style", "style_score"), "argument_identity": ("ag14_arguments", "mean_identity"), "ai_detection": ("ag13_generated_score", "ai_score"), "paraphrase_reachable": ("ml15_probe", "reachability")}
+COMPUTED = f"{SIZE}, " + ", ".join(f"g_{k} AS ({nested(q)})" for k, (q, _) in PARTS.items()) + ", cs0 AS (SELECT size.run_id, size.cluster, size.n, " + ", ".join(f"coalesce(g_{k}.{c}, 0.0) AS {k}" for k, (_, c) in PARTS.items()) + " FROM size " + " ".join(f"LEFT JOIN g_{k} ON g_{k}.run_id = size.run_id AND g_{k}.cluster = size.cluster" for k in PARTS) + "), cs1 AS (SELECT *, round(least(1.0, " + " + ".join(f"{w} * {k}" for k, w in WEIGHTS.items()) + "), 3) AS score FROM cs0)"
+
+
+@view
+def computed(t: Tables) -> DataFrame:
+    """Clusters of the last runs with each signal worked out from the texts, times, names and vectors (missing is 0), and their weighted sum."""
+    works = {"ag1_duplicates": ag1_duplicates, "ag10_scan": ag10_scan, "ag9_style": style_suite.ag9_style, "ag14_arguments": ag14_arguments, "ag13_generated_score": style_suite.ag13_generated_score, "ml15_probe": ml15_probe}
+    c = t.size
+    for k, (q, col) in PARTS.items():
+        c = c.join(works[q](t).select(*BY, F.col(col).alias(k)), BY, "left").withColumn(k, F.coalesce(k, F.lit(0.0)))
+    total = None
+    for k, w in WEIGHTS.items():
+        total = F.lit(w) * F.col(k) if total is None else total + F.lit(w) * F.col(k)
+    return c.withColumn("score", F.round(F.least(F.lit(1.0), total), 3))
+
+
+@query(f"RECURSIVE, {COMPUTED} SELECT run_id, cluster, score FROM cs1")
 def sc2_score(t: Tables) -> DataFrame:
+    return t.computed.select(*BY, "score")
+
+
+@query(f", {SCORED} SELECT run_id, cluster_id, score FROM sd")
+def sc2_stored(t: Tables) -> DataFrame:
+    """The same sum over the stored breakdown of clusters."""
     return t.scored.select("run_id", "cluster_id", "score")
 
 
-@query(f", {SCORED} SELECT run_id, cluster_id, CASE WHEN score >= 0.4 THEN 'campaign' WHEN score >= 0.28 THEN 'uncertain' ELSE 'organic' END AS verdict FROM sd")
+@query(f"RECURSIVE, {COMPUTED} SELECT run_id, cluster, CASE WHEN score >= 0.4 THEN 'campaign' WHEN score >= 0.28 THEN 'uncertain' ELSE 'organic' END AS verdict FROM cs1")
 def sc3_verdict(t: Tables) -> DataFrame:
-    return t.scored.select("run_id", "cluster_id", C.verdict(F.col("score")).alias("verdict"))
+    return t.computed.select(*BY, C.verdict(F.col("score")).alias("verdict"))
 
 
-@query(f", {SCORED} SELECT run_id, docket_id, cluster_id, n_comments, is_tree_campaign, score, CASE WHEN score >= 0.4 THEN 'campaign' WHEN score >= 0.28 THEN 'uncertain' ELSE 'organic' END AS verdict, round(center_x, 4) AS center_x, round(center_y, 4) AS center_y FROM sd WHERE cluster_id <> -1 AND n_comments >= 3")
+@query(f"RECURSIVE, {COMPUTED}, ctr AS ({nested('ag19_centre')}) SELECT cs1.run_id, cs1.cluster, n AS n_comments, cs1.cluster >= 10000 AS is_tree_campaign, {', '.join(PARTS)}, score, CASE WHEN score >= 0.4 THEN 'campaign' WHEN score >= 0.28 THEN 'uncertain' ELSE 'organic' END AS verdict, cx, cy, radius FROM cs1 LEFT JOIN ctr ON ctr.run_id = cs1.run_id AND ctr.cluster = cs1.cluster WHERE n >= 3")
 def sc4_clusters(t: Tables) -> DataFrame:
-    return t.scored.where("cluster_id <> -1 AND n_comments >= 3").select("run_id", "docket_id", "cluster_id", "n_comments", "is_tree_campaign", "score", C.verdict(F.col("score")).alias("verdict"), F.round("center_x", 4).alias("center_x"), F.round("center_y", 4).alias("center_y"))
+    """Scored clusters of three or more, with the signals the score is made of and where they lie."""
+    return t.computed.where("n >= 3").join(ag19_centre(t), BY, "left").select(*BY, F.col("n").alias("n_comments"), (F.col("cluster") >= 10000).alias("is_tree_campaign"), *PARTS, "score", C.verdict(F.col("score")).alias("verdict"), "cx", "cy", "radius")
 
 
 @query(f", {ARGS}, f AS (SELECT run_id, cluster, min(id) AS id FROM ar WHERE cluster <> -1 AND len(premises) > 0 GROUP BY 1, 2) SELECT f.run_id, f.cluster, substring(md5(array_to_string(list_sort(premises), '||')), 1, 16) AS argument_hash FROM f JOIN ar USING (id)")

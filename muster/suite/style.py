@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from muster.functions import text as T
 from muster.functions.fixed import DISCOURSE_MARKERS, FUNCTION_WORDS, GENERATED_WORDS, MARKS
 from muster.operators import style
-from muster.suite.base import Tables, query, view
+from muster.suite.base import Tables, nested, query, view
 from muster.suite.text import zlib_ratio
 
 BY = ["run_id", "cluster"]
@@ -69,16 +69,22 @@ def st11_function_word_chi2(t: Tables) -> DataFrame:
     return style.function_word_chi2(t.tx.select("id", "docket_id", "text"), "docket_id").select("id", F.round("chi2", 5).alias("chi2"))
 
 
-@query()
+SENTS = r"list_filter(string_split_regex(text, '[.!?]+[\s\x{00A0}]+'), s -> regexp_replace(s, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g') <> '')"
+
+
+@query(rf", q AS (SELECT id, list_transform({SENTS}, s -> least(200, 1 + length(s) - length(regexp_replace(s, '[,;(\[]', '', 'g')))::DOUBLE) AS d FROM tx) SELECT id, list_sum(d) / len(d) AS depth FROM q WHERE len(d) > 0")
 def st15_clause_depth(t: Tables) -> DataFrame:
     """Depth of clauses by commas and brackets, in place of a parser's: one more than the most in a sentence, at most 200."""
     depth = F.transform(T.sentences(F.col("text")), lambda s: F.least(F.lit(200), 1 + F.length(s) - F.length(F.regexp_replace(s, r"[,;(\[]", ""))).cast("double"))
     return t.tx.select("id", depth.alias("d")).where(F.size("d") > 0).select("id", (F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / F.size("d")).alias("depth"))
 
 
-@query()
+_TAGS = "CASE " + " ".join(f"WHEN w IN ({_quoted(ws.split())}) THEN '{tag}'" for tag, ws in reversed(style.CLOSED.items())) + " " + " ".join(f"WHEN w LIKE '%{end}' THEN '{tag}'" for end, tag in style.ENDINGS) + " ELSE 'NOUN' END"
+
+
+@query(f", {COUNTS}, tg AS (SELECT id, {_TAGS} AS tag, sum(c)::DOUBLE AS c FROM wc GROUP BY 1, 2), q AS (SELECT id, c / sum(c) OVER (PARTITION BY id) AS p FROM tg) SELECT id, round(-sum(p * log2(p)), 6) AS pos_entropy FROM q GROUP BY 1")
 def st16_pos_entropy(t: Tables) -> DataFrame:
-    return t.feats.select("id", style.pos_entropy("w").alias("pos_entropy"))
+    return t.feats.select("id", F.round(style.pos_entropy("w"), 6).alias("pos_entropy"))
 
 
 @query()
@@ -93,32 +99,62 @@ def st20_baseline(t: Tables) -> DataFrame:
     return words.withColumn("rate", F.round(F.col("c") / n, 9)).where(F.col("word").isin(*FUNCTION_WORDS)).select("docket_id", "word", "rate")
 
 
-IMPUTE = "im AS (SELECT DISTINCT run_id, cluster_id, CASE WHEN isnan(score_breakdown.paraphrase_reachable) OR isinf(score_breakdown.paraphrase_reachable) THEN NULL ELSE score_breakdown.paraphrase_reachable END AS v FROM clusters)"
+_SCORES = ["duplicate", "temporal_coupling", "stylometric", "argument_identity", "ai_detection", "paraphrase_reachable"]
+IMPUTE = "im AS (SELECT DISTINCT run_id, cluster_id, " + ", ".join(f"CASE WHEN isnan(score_breakdown.{c}) OR isinf(score_breakdown.{c}) THEN NULL ELSE score_breakdown.{c} END AS {c}" for c in _SCORES) + " FROM clusters)"
 
 
-@query(f", {IMPUTE} SELECT run_id, cluster_id, coalesce(v, (SELECT median(v) FROM im)) AS v FROM im")
+@query(f", {IMPUTE} SELECT run_id, cluster_id, " + ", ".join(f"coalesce({c}, (SELECT median({c}) FROM im)) AS {c}" for c in _SCORES) + " FROM im")
 def st21_imputed(t: Tables) -> DataFrame:
-    c = t.clusters.select("run_id", "cluster_id", T.finite(F.col("score_breakdown.paraphrase_reachable")).alias("v")).distinct()
-    return style.impute(c, ["v"])
+    """The matrix of the stored signals, which holds missing and non-finite values (the features of texts have none)."""
+    c = t.clusters.select("run_id", "cluster_id", *(T.finite(F.col(f"score_breakdown.{c}")).alias(c) for c in _SCORES)).distinct()
+    return style.impute(c, _SCORES)
 
 
-STYLE_COLS = ["sent_len_cv", "ttr", "avg_word_len", "punct_entropy", "gunning_fog"]
+#: The features of the style matrix that SQL has; the two others are the lexical diversity by runs and the compressed size.
+STYLE_COLS = ["burstiness_sent", "sent_len_cv", "ttr", "avg_word_len", "punct_entropy", "emdash_rate", "flesch_kincaid", "coleman_liau", "gunning_fog", "discourse_marker_rate", "llmism_rate", "yule_k", "hapax_ratio", "char_entropy", "fw_chi2", "clause_depth", "pos_entropy"]
+ALL_COLS = [*STYLE_COLS, "mtld", "zlib_ratio"]
+_ADDED = {"yule_k": ("st4_yule_k", "yule_k"), "hapax_ratio": ("st5_hapax", "hapax_ratio"), "char_entropy": ("st8_trigram_entropy", "entropy"), "fw_chi2": ("st11_function_word_chi2", "chi2"), "clause_depth": ("st15_clause_depth", "depth"), "pos_entropy": ("st16_pos_entropy", "pos_entropy")}
+MATRIX = f"{FEATS}, " + ", ".join(f"a_{k} AS ({nested(q)})" for k, (q, _) in _ADDED.items()) + ", mx AS (SELECT ft.*, " + ", ".join(f"coalesce(a_{k}.{c}, 0.0) AS {k}" for k, (_, c) in _ADDED.items()) + " FROM ft " + " ".join(f"LEFT JOIN a_{k} ON a_{k}.id = ft.id" for k in _ADDED) + ")"
 
 
-@query(f", {FEATS} SELECT id, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / (stddev_pop({c}) OVER () + 1e-9), 5) AS {c}" for c in STYLE_COLS) + " FROM ft")
+@view
+def matrix(t: Tables) -> DataFrame:
+    """(id, the 17 style features that SQL has); a feature a text is too short for is 0."""
+    works = {"st4_yule_k": st4_yule_k, "st5_hapax": st5_hapax, "st8_trigram_entropy": st8_trigram_entropy, "st11_function_word_chi2": st11_function_word_chi2, "st15_clause_depth": st15_clause_depth}
+    m = t.feats.withColumn("pos_entropy", F.round(style.pos_entropy("w"), 6)).drop("w")
+    for k, (q, c) in _ADDED.items():
+        if q in works:
+            m = m.join(works[q](t).select("id", F.col(c).alias(k)), "id", "left").withColumn(k, F.coalesce(k, F.lit(0.0)))
+    return m.select("id", *STYLE_COLS)
+
+
+@view
+def full_matrix(t: Tables) -> DataFrame:
+    more = t.tx.select("id", style.mtld(T.words(F.col("text"))).alias("mtld"), zlib_ratio("text").alias("zlib_ratio"))
+    return t.matrix.join(more, "id")
+
+
+@query(f", {MATRIX} SELECT id, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / (stddev_pop({c}) OVER () + 1e-9), 5) AS {c}" for c in STYLE_COLS) + " FROM mx")
 def st22_standardised(t: Tables) -> DataFrame:
-    return style.standardise(t.feats.select("id", *STYLE_COLS), STYLE_COLS).select("id", *[F.round(c, 5).alias(c) for c in STYLE_COLS])
+    return style.standardise(t.matrix, STYLE_COLS).select("id", *[F.round(c, 5).alias(c) for c in STYLE_COLS])
 
 
-TIGHT = f"{FEATS}, z AS (SELECT id, " + ", ".join(f"({c} - avg({c}) OVER ()) / (stddev_pop({c}) OVER () + 1e-9) AS {c}" for c in STYLE_COLS) + " FROM ft), lg AS (" + " UNION ALL ".join(f"SELECT run_id, cluster, '{c}' AS f, {c} AS x FROM z JOIN lab USING (id)" for c in STYLE_COLS) + "), cl AS (SELECT run_id, cluster, f, count(*) AS n, greatest(1e-9, var_pop(x)) AS v FROM lg WHERE cluster <> -1 GROUP BY 1, 2, 3 HAVING count(*) >= 3), rs AS (SELECT c.run_id, c.cluster, c.f, any_value(c.n) AS n, any_value(c.v) AS v, CASE WHEN count(*) FILTER (WHERE l.cluster <> c.cluster) < 5 THEN var_pop(l.x) ELSE var_pop(l.x) FILTER (WHERE l.cluster <> c.cluster) END AS b FROM cl c JOIN lg l ON l.run_id = c.run_id AND l.f = c.f GROUP BY 1, 2, 3)"
+TIGHT = f"{MATRIX}, z AS (SELECT id, " + ", ".join(f"({c} - avg({c}) OVER ()) / (stddev_pop({c}) OVER () + 1e-9) AS {c}" for c in STYLE_COLS) + " FROM mx), lg AS (" + " UNION ALL ".join(f"SELECT run_id, cluster, '{c}' AS f, {c} AS x FROM z JOIN lab USING (id)" for c in STYLE_COLS) + "), cl AS (SELECT run_id, cluster, f, count(*) AS n, greatest(1e-9, var_pop(x)) AS v FROM lg WHERE cluster <> -1 GROUP BY 1, 2, 3 HAVING count(*) >= 3), rs AS (SELECT c.run_id, c.cluster, c.f, any_value(c.n) AS n, any_value(c.v) AS v, CASE WHEN count(*) FILTER (WHERE l.cluster <> c.cluster) < 5 THEN var_pop(l.x) ELSE var_pop(l.x) FILTER (WHERE l.cluster <> c.cluster) END AS b FROM cl c JOIN lg l ON l.run_id = c.run_id AND l.f = c.f GROUP BY 1, 2, 3)"
 
 
 @query(f", {TIGHT} SELECT run_id, cluster, any_value(n) AS n, round(least(1.0, any_value(n) / 20.0) * greatest(0.0, least(0.95, 1 - exp(avg(ln(sqrt(v / greatest(1e-6, b)) + 0.01))))), 4) AS style_score FROM rs GROUP BY 1, 2")
 def ag9_style(t: Tables) -> DataFrame:
-    z = style.standardise(t.feats.select("id", *STYLE_COLS), STYLE_COLS)
+    """By the 17 features that SQL has; ag9_full_style has all 19."""
+    z = style.standardise(t.matrix, STYLE_COLS)
     return style.tightness(z.join(t.lab, "id"), STYLE_COLS).select(*BY, "n", "style_score")
 
 
+@query()
+def ag9_full_style(t: Tables) -> DataFrame:
+    z = style.standardise(style.impute(t.full_matrix, ALL_COLS), ALL_COLS)
+    return style.tightness(z.join(t.lab, "id"), ALL_COLS).select(*BY, "n", "style_score", F.round("chi_stat", 2).alias("chi_stat"), F.round("median_ratio", 4).alias("median_ratio"))
+
+
 SURP = r"ws AS (SELECT id, unnest(list_zip(range(0, len(w)), w)) AS e FROM (SELECT id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM tx)), wp AS (SELECT id, e[1] AS pos, e[2] AS word, coalesce(lag(e[2]) OVER (PARTITION BY id ORDER BY e[1]), '^') AS prev FROM ws), cp AS (SELECT prev, word, count(*) AS cp FROM wp GROUP BY 1, 2), cw AS (SELECT prev, count(*) AS cw FROM wp GROUP BY 1), vv2 AS (SELECT count(DISTINCT word) AS v FROM cp), sp AS (SELECT id, pos, -log2((cp + 0.1) / (cw + 0.1 * v)) AS s FROM wp JOIN cp USING (prev, word) JOIN cw USING (prev), vv2)"
 
 
@@ -127,21 +163,29 @@ def ml13_surprisal(t: Tables) -> DataFrame:
     return style.surprisal(t.tx.select("id", "text")).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 6).alias("mean_surprisal"))
 
 
-@query(f", {SURP}, d AS (SELECT *, s - lag(s) OVER w AS d1, s - 2 * lag(s) OVER w + lag(s, 2) OVER w AS d2 FROM sp WINDOW w AS (PARTITION BY id ORDER BY pos)) SELECT id, round(avg(s), 5) AS s_mean, round(var_pop(s), 5) AS s_var, round(avg(d1), 5) AS d1_mean, round(var_pop(d1), 5) AS d1_var, round(var_pop(d2), 5) AS d2_var FROM d GROUP BY 1 HAVING count(*) >= 4")
+_D = "list_transform(range(1, len({0})), i -> {0}[i + 1] - {0}[i])"
+SHAPE = f"{SURP}, q0 AS (SELECT id, list(s ORDER BY pos) AS s FROM sp GROUP BY 1 HAVING count(*) >= 4), q1 AS (SELECT *, {_D.format('s')} AS d1, list_avg(s) AS m, list_var_pop(s) AS v FROM q0), q2 AS (SELECT *, {_D.format('d1')} AS d2 FROM q1), q3 AS (SELECT *, list_avg(d2) AS dm, list_min(d2) AS lo, list_max(d2) AS hi FROM q2), q4 AS (SELECT *, list_transform(d2, x -> CASE WHEN hi > lo THEN least(9, floor((x - lo) / (hi - lo) * 10)) ELSE 0 END) AS bn, list_transform(d2, x -> x - dm) AS dc FROM q3), sf AS (SELECT id, m AS s_mean, v AS s_var, list_avg(list_transform(s, x -> pow(x - m, 3))) / (pow(v, 1.5) + 1e-9) AS s_skew, list_avg(list_transform(s, x -> pow(x - m, 4))) / (v * v + 1e-9) AS s_kurt, list_avg(d1) AS d1_mean, list_var_pop(d1) AS d1_var, list_var_pop(d2) AS d2_var, -list_sum(list_transform(list_filter(list_transform(range(10), b -> len(list_filter(bn, y -> y = b)) / len(bn)), p -> p > 0), p -> p * log2(p))) AS d2_entropy, list_sum(list_transform(range(1, len(dc)), i -> dc[i] * dc[i + 1])) / (list_sum(list_transform(dc, x -> x * x)) + 1e-9) AS d2_ac FROM q4)"
+SHAPE_COLS = ["s_mean", "s_var", "s_skew", "s_kurt", "d1_mean", "d1_var", "d2_var", "d2_entropy", "d2_ac"]
+
+
+@query(f", {SHAPE} SELECT id, " + ", ".join(f"round({c}, 5) AS {c}" for c in SHAPE_COLS) + " FROM sf")
 def ag12_surprisal_features(t: Tables) -> DataFrame:
     f = style.surprisal_features(style.surprisal(t.tx.select("id", "text")))
-    return f.select("id", *[F.round(c, 5).alias(c) for c in ("s_mean", "s_var", "d1_mean", "d1_var", "d2_var")])
+    return f.select("id", *[F.round(c, 5).alias(c) for c in SHAPE_COLS])
 
 
-@query()
+@query(f", {SHAPE} SELECT id, round(d2_ac, 6) AS d2_ac FROM sf")
 def wn3_autocorrelation(t: Tables) -> DataFrame:
-    return style.surprisal_features(style.surprisal(t.tx.select("id", "text"))).select("id", "s_skew", "s_kurt", "d2_ac")
+    """Autocorrelation at lag one of the second differences of each text's surprisal."""
+    return style.surprisal_features(style.surprisal(t.tx.select("id", "text"))).select("id", F.round("d2_ac", 6).alias("d2_ac"))
 
 
-@query()
+GENERATED = f"{SHAPE}, lf AS (" + " UNION ALL ".join(f"SELECT run_id, cluster, '{c}' AS f, {c} AS x FROM sf JOIN lab USING (id)" for c in SHAPE_COLS) + "), bs AS (SELECT run_id, f, stddev_pop(x) + 1e-6 AS b FROM lf GROUP BY 1, 2), cf AS (SELECT run_id, cluster, f, count(*) AS n, avg(x) AS mean, stddev_pop(x) + 1e-9 AS sd FROM lf WHERE cluster <> -1 GROUP BY 1, 2, 3 HAVING count(*) >= 3), ai AS (SELECT run_id, cluster, any_value(n) AS n, round(max(CASE WHEN f = 's_mean' THEN mean END), 3) AS mean_surprisal, round(least(1.0, any_value(n) / 15.0) * greatest(0.0, least(0.95, 1 - exp(avg(ln(sd / b + 0.01))))), 4) AS ai_score FROM cf JOIN bs USING (run_id, f) GROUP BY 1, 2)"
+
+
+@query(f", {GENERATED} SELECT run_id, cluster, n, mean_surprisal, ai_score, CASE WHEN ai_score > 0.6 THEN 'ai_likely' WHEN ai_score > 0.3 THEN 'uncertain' ELSE 'human_likely' END AS label FROM ai")
 def ag13_generated_score(t: Tables) -> DataFrame:
-    """How much less each cluster's surprisal features vary than its run's, with label."""
-    cols = ["s_mean", "s_var", "d1_var", "d2_var"]
-    f = style.surprisal_features(style.surprisal(t.tx.select("id", "text"))).select("id", *cols)
-    s = style.tightness(style.standardise(f, cols).join(t.lab, "id"), cols, full_size=15.0)
-    return s.select(*BY, F.col("style_score").alias("ai_score"), F.when(F.col("style_score") > 0.6, "ai_likely").when(F.col("style_score") > 0.3, "uncertain").otherwise("human_likely").alias("label"))
+    """How much less each cluster's nine surprisal features vary than its run's, with label; all members and the whole run count, not samples."""
+    f = style.surprisal_features(style.surprisal(t.tx.select("id", "text"))).join(t.lab, "id")
+    s = style.generated_score(f, SHAPE_COLS)
+    return s.select("*", F.when(F.col("ai_score") > 0.6, "ai_likely").when(F.col("ai_score") > 0.3, "uncertain").otherwise("human_likely").alias("label"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from muster.functions import text as T
+from muster.functions.fixed import LEGAL_FORMS
 from muster.functions.stats import chi2_sf_df1, chi2_sf_df19, ratcliff
 from muster.suite.base import Tables, query, view
 
@@ -33,7 +34,7 @@ def fn3_exact_key(t: Tables) -> DataFrame:
     return t.tx.select("id", F.md5(T.exact_key(F.col("text"))).alias("exact_key"))
 
 
-NORMAL_ORG = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(organization), '\b(inc|llc|llp|corp|corporation|ltd|limited|co|company|the)\b', '', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+NORMAL_ORG = rf"trim(regexp_replace(regexp_replace(regexp_replace(lower(organization), '\b({'|'.join(LEGAL_FORMS)})\b', '', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 @query(f"SELECT id, {NORMAL_ORG} AS org FROM cm WHERE organization IS NOT NULL")
