@@ -37,7 +37,17 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = f"{shared_dir(spark)}/muster/{name}-{uuid.uuid4().hex}"
     _WRITTEN[-1].append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._muster_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the table cut() gave, before its operator ends; nothing read from it may be used any more."""
+    for tables in _WRITTEN:
+        own = [x for x in tables if x[1] == df._muster_path]
+        tables[:] = [x for x in tables if x[1] != df._muster_path]
+        _drop(own)
 
 
 def cut_counted(df: DataFrame, name: str = "cut") -> tuple[DataFrame, int]:
