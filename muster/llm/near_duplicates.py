@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from muster.llm.buckets import bucket_runs
 from muster.llm.components import connected_components
 from muster.llm.shingles import mix, shingle_runs, shingle_sets
-from muster.plans.lineage import cut, cut_counted, settled
+from muster.plans.lineage import cut, cut_counted, release, settled
 
 #: Random orders a class is drawn by; each gives 16 bits of its least shingle, the first also 32 for paths of one step.
 ORDERS = 64
@@ -35,6 +35,8 @@ ORDERS = 64
 RECALL = 0.99
 #: Buckets up to this size are compared pair by pair.
 BUCKET = 128
+#: Comparisons within a bucket that cost about as much as one more row of a path.
+PAIRS_A_ROW = 32
 #: Sides of a join up to this many ids are broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -195,6 +197,9 @@ def near_duplicate_groups(texts: DataFrame, id_col: str, text_col: str, threshol
     signed = cut(rows.mapInArrow(_signatures(min_chars, firsts), f"id {kind}, cid long, draws binary, first binary"), "signed")
     classes = cut(signed.groupBy("cid").agg(F.min("id").alias("id"), F.first("draws").alias("draws"), F.first("first").alias("first")), "classes")
 
+    ids = cut(signed.select("id", "cid").distinct(), "ids")
+    release(signed)
+
     def bucketed(posts: DataFrame, best: bool, limit: int = bucket, windows: bool = True) -> tuple[DataFrame, DataFrame]:
         """Pairs found, and (key, cid) of buckets over the limit."""
         out = bucket_runs(posts, limit, _close(shared, best), _PAIR, [0, 1], "big boolean, a long, b long, key long, cid long", "draws" if windows else None)
@@ -245,7 +250,7 @@ def near_duplicate_groups(texts: DataFrame, id_col: str, text_col: str, threshol
             deeper = mixed.where(F.col("rest") > bucket)
             hot = cut(deeper.select("cid").distinct(), "hot")
             cost = deeper.agg(F.sum(F.col("rest").cast("double"))).first()[0] or 0.0
-            if cost <= hot.count() * runs_needed(threshold, each, depth + 1) * float(bucket):
+            if cost <= hot.count() * runs_needed(threshold, each, depth + 1) * float(PAIRS_A_ROW):
                 hot, whole = None, mixed
             else:
                 whole = mixed.where(F.col("rest") <= bucket)
@@ -266,7 +271,7 @@ def near_duplicate_groups(texts: DataFrame, id_col: str, text_col: str, threshol
             break
 
     colour = connected_components(links, "a", "b").select(F.col("id").alias("cid"), F.col("group_id").alias("g"))
-    named = signed.select("id", "cid").distinct().join(colour, "cid", "left").withColumn("g", F.coalesce("g", "cid"))
+    named = ids.join(colour, "cid", "left").withColumn("g", F.coalesce("g", "cid"))
     named = cut(named.select("id", "g"), "named")
     groups = named.groupBy("g").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return named.join(groups, "g").select("id", "group_id")
