@@ -3,8 +3,8 @@
 Texts with the same set of word shingles form a class, which counts once from then on. A class
 follows paths: at each step it goes where one of its shingles, drawn by a random order shared by
 all (the least in it), leads, so that two classes stay together over a step with a probability
-equal to their similarity. A path ends as soon as its bucket is small, and the bucket is compared
-pair by pair; in buckets still too large, where comparing is not cheaper, the classes start anew
+equal to their similarity. A path ends, after two steps at the least, as soon as its bucket is
+small, and the bucket is compared pair by pair; in buckets still too large, where comparing is not cheaper, the classes start anew
 with paths one step longer. For paths of d steps as many runs are made as it takes for a pair at
 the threshold to meet in one of them with the wanted recall, so each pair is sought at a depth at
 which its buckets end, with enough runs for that depth.
@@ -29,8 +29,10 @@ from muster.llm.components import connected_components
 from muster.llm.shingles import mix, shingle_runs, shingle_sets
 from muster.plans.lineage import cut, cut_counted, release, settled
 
-#: Random orders a class is drawn by; each gives 16 bits of its least shingle, the first also 32 for paths of one step.
+#: Random orders a class is drawn by; each gives 16 bits of its least shingle, of which four go along with a row.
 ORDERS = 64
+#: Steps of the first paths: their ends are told by 32 bits.
+STEPS = 2
 #: Wanted probability that a pair at the threshold is found by itself (without links through others).
 RECALL = 0.99
 #: Buckets up to this size are compared pair by pair.
@@ -65,7 +67,7 @@ def _paths(runs: int, depth: int) -> np.ndarray:
     return np.stack([rng.choice(ORDERS, depth, replace=False) for _ in range(runs)])
 
 
-def _signatures(min_chars: int, firsts: int):
+def _signatures(min_chars: int):
     """Classes are told by the hashes of a text's shingles with their number of times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,19 +79,24 @@ def _signatures(min_chars: int, firsts: int):
                     continue
                 starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
                 short = (sh >> np.uint64(32)).astype(np.uint32)
-                least = np.empty((len(starts), ORDERS), dtype=np.uint32)
+                draws = np.empty((len(starts), ORDERS), dtype=np.uint16)
                 for j in range(ORDERS):
-                    least[:, j] = np.minimum.reduceat((short ^ _XOR[j]) * _MUL[j], starts)
-                draws = (mix(least.astype(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
+                    draws[:, j] = mix(np.minimum.reduceat((short ^ _XOR[j]) * _MUL[j], starts).astype(np.uint64)) & np.uint64(0xFFFF)
                 cid = mix(np.add.reduceat(mix(sh), starts) ^ mix(np.add.reduceat(sh * (sh | np.uint64(1)), starts))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[starts])), pa.array(cid), pa.array([x.tobytes() for x in draws], pa.binary()), pa.array([x.tobytes() for x in least[:, :firsts]], pa.binary())], ["id", "cid", "draws", "first"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[starts])), pa.array(cid), pa.array([x.tobytes() for x in draws], pa.binary())], ["id", "cid", "draws"])
 
     return run
 
 
-def _posts(depth: int, runs: int, firsts: int):
-    """(cid, colour, draws, first) to one row a run: (key of the path's end, cid, colour, one byte of each draw)."""
-    paths = _paths(runs, depth) if depth > 1 else None
+def _short(draws: np.ndarray) -> list[bytes]:
+    """Four bits of each draw, two draws a byte."""
+    low = (draws & 15).astype(np.uint8)
+    return [x.tobytes() for x in low[:, ::2] | (low[:, 1::2] << 4)]
+
+
+def _posts(depth: int, runs: int):
+    """(cid, colour, draws) to one row a run: (key of the path's end, cid, colour, four bits of each draw)."""
+    paths = _paths(runs, depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,16 +105,11 @@ def _posts(depth: int, runs: int, firsts: int):
                 continue
             draws = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint16).reshape(n, ORDERS)
             which = np.arange(runs, dtype=np.uint64)
-            if depth == 1:
-                first = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint32).reshape(n, firsts)
-                keys = mix(first.astype(np.uint64) + (which << np.uint64(40)) + np.uint64(1))
-            else:
-                keys = np.full((n, runs), mix(np.array([depth], dtype=np.uint64))[0])
-                for k in range(depth):
-                    keys = mix(keys ^ mix(draws[:, paths[:, k]].astype(np.uint64) + (which << np.uint64(20)) + np.uint64(1)))
-            bytes_ = [x.tobytes() for x in (draws & 0xFF).astype(np.uint8)]
+            keys = np.full((n, runs), mix(np.array([depth], dtype=np.uint64))[0])
+            for k in range(depth):
+                keys = mix(keys ^ mix(draws[:, paths[:, k]].astype(np.uint64) + (which << np.uint64(20)) + np.uint64(1)))
             many = lambda c: pa.array(np.repeat(c.to_numpy(), runs))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), many(batch.column(0)), many(batch.column(1)), pa.array([x for x in bytes_ for _ in range(runs)], pa.binary())], ["key", "cid", "colour", "draws"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), many(batch.column(0)), many(batch.column(1)), pa.array([x for x in _short(draws) for _ in range(runs)], pa.binary())], ["key", "cid", "colour", "draws"])
 
     return run
 
@@ -115,11 +117,11 @@ def _posts(depth: int, runs: int, firsts: int):
 _POST = "key long, cid long, colour long, draws binary"
 
 
-def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             draws = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint16).reshape(-1, ORDERS)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.tobytes() for x in (draws & 0xFF).astype(np.uint8)], pa.binary())], ["key", "cid", "colour", "draws"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(_short(draws), pa.binary())], ["key", "cid", "colour", "draws"])
 
 
 def _close(shared: int, best: bool):
@@ -129,8 +131,10 @@ def _close(shared: int, best: bool):
         m = idx.shape[1]
         draws, colour, cid = cols[3][idx], cols[2][idx], cols[1][idx]
         same = np.zeros((len(idx), m, m), dtype=np.uint8)
-        for j in range(ORDERS):
-            same += draws[:, :, None, j] == draws[:, None, :, j]
+        for j in range(ORDERS // 2):
+            apart = draws[:, :, None, j] ^ draws[:, None, :, j]
+            same += (apart & 15) == 0
+            same += apart < 16
         same[(colour[:, :, None] == colour[:, None, :]) | (same < shared)] = 0
         if best:
             before = np.where(np.tril(np.ones((m, m), bool), -1), same, 0)
@@ -193,9 +197,9 @@ def near_duplicate_groups(texts: DataFrame, id_col: str, text_col: str, threshol
     kind = texts.select(id_col).dtypes[0][1]
     rows = _usable(texts, id_col, text_col, min_chars)
     each = 1 - (1 - recall) / 2  # half of what may be lost by the paths, half by the draws
-    firsts, shared = runs_needed(threshold, each, 1), least_shared(threshold, each)
-    signed = cut(rows.mapInArrow(_signatures(min_chars, firsts), f"id {kind}, cid long, draws binary, first binary"), "signed")
-    classes = cut(signed.groupBy("cid").agg(F.min("id").alias("id"), F.first("draws").alias("draws"), F.first("first").alias("first")), "classes")
+    shared = least_shared(threshold, each)
+    signed = cut(rows.mapInArrow(_signatures(min_chars), f"id {kind}, cid long, draws binary"), "signed")
+    classes = cut(signed.groupBy("cid").agg(F.min("id").alias("id"), F.first("draws").alias("draws")), "classes")
 
     ids = cut(signed.select("id", "cid").distinct(), "ids")
     release(signed)
@@ -229,14 +233,14 @@ def near_duplicate_groups(texts: DataFrame, id_col: str, text_col: str, threshol
         fewer = mixed.where("colour <> main").withColumn("i", place(nr, 1)).withColumn("j", F.explode(F.sequence(F.lit(0), na - 1)))
         every = mixed.withColumn("j", place(na, 2)).withColumn("i", F.explode(F.sequence(F.lit(0), nr - 1)))
         keyed = fewer.unionByName(every).select(F.xxhash64("key", "i", "j").alias("key"), "cid", "colour").distinct()
-        posts = keyed.join(classes.select("cid", "draws"), "cid").select("key", "cid", "colour", "draws").mapInArrow(_bytes, _POST)
+        posts = keyed.join(classes.select("cid", "draws"), "cid").select("key", "cid", "colour", "draws").mapInArrow(_shortened, _POST)
         return bucketed(posts, False, limit=1 << 30, windows=False)[0]
 
-    colour = classes.select("cid", F.col("cid").alias("colour"))
-    pairs, big = bucketed(classes.select("cid", F.col("cid").alias("colour"), "draws", "first").mapInArrow(_posts(1, firsts, firsts), _POST), best=True)
+    colour, depth = classes.select("cid", F.col("cid").alias("colour")), STEPS
+    first = _posts(depth, runs_needed(threshold, each, depth))
+    pairs, big = bucketed(classes.select("cid", F.col("cid").alias("colour"), "draws").mapInArrow(first, _POST), best=True)
     links = verified(pairs)
     again: DataFrame | None = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    depth = 1
     while True:
         colour = connected_components(links, "a", "b").select(F.col("id").alias("cid"), F.col("group_id").alias("colour"))
         # A bucket over the limit whose rows are of one group needs no more; one with few others, or where it is cheaper, is compared whole.
@@ -255,14 +259,13 @@ def near_duplicate_groups(texts: DataFrame, id_col: str, text_col: str, threshol
             else:
                 whole = mixed.where(F.col("rest") <= bucket)
             found = compared(whole)
-        posts = None
         if again is not None:  # the first buckets once more, all pairs between groups still apart
-            posts = tinted(classes.join(again, "cid", "left_semi")).select("cid", "colour", "draws", "first").mapInArrow(_posts(1, firsts, firsts), _POST)
+            posts = tinted(classes.join(again, "cid", "left_semi")).select("cid", "colour", "draws").mapInArrow(first, _POST)
             left, _ = bucketed(posts, False)
             found, again = left if found is None else found.unionByName(left), None
         if hot is not None:
             depth += 1
-            posts = tinted(classes.join(hot, "cid", "left_semi")).select("cid", "colour", "draws", "first").mapInArrow(_posts(depth, runs_needed(threshold, each, depth), firsts), _POST)
+            posts = tinted(classes.join(hot, "cid", "left_semi")).select("cid", "colour", "draws").mapInArrow(_posts(depth, runs_needed(threshold, each, depth)), _POST)
             deep, big = bucketed(posts, False)
             found = deep if found is None else found.unionByName(deep)
         if found is not None:
