@@ -2,7 +2,9 @@
 
 Distinct spellings are cut into tokens. A symmetric-delete index over the distinct tokens (each
 posted under all strings left by dropping up to two of its characters) gives the tokens within a
-small edit distance; a rare token is taken for a slip of the nearest better attested one. After
+small edit distance; a rare token is taken for a slip of the nearest better attested one. Invented
+and family names lie the closer the more of them there are, so one is a slip of another only beside
+the same ordinary words or the same given name, and what makes a word ordinary is its share of all. After
 that the spellings of one name meet under one key: an organisation's distinctive word with its
 ordinary words (order, "and", scope words, legal forms and short forms set aside), a person's
 surname with the given name (nicknames, initials and shortened names resolved among the full given
@@ -19,7 +21,9 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from muster.llm.canonical import slips
@@ -51,6 +55,8 @@ for _full, _nicks in NICKNAMES.items():
 
 #: Companions by which a token counts as a word of its own.
 ATTESTED = 5
+#: An ordinary word of organisations goes with one of so many companions at least; pieces of invented words, which also recur as names grow in number, with far fewer.
+ORDINARY = 1000
 #: Longer tokens are posted by parts instead of deletes: of two within two slips (an exchange being two edits) one of five parts is the same, moved by four at most.
 MAX_TOKEN = 40
 PARTS, MOVED = 5, 4
@@ -83,11 +89,16 @@ def long_keys(token: str) -> set[str]:
     return out
 
 
+def left_of(token: str) -> set[str]:
+    """Two tokens within the slips allowed have one of these in common."""
+    return deletes(token) | (long_keys(token) if len(token) + 2 > MAX_TOKEN else set())
+
+
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, rows = [], []
         for k, token in enumerate(batch.column(0).to_pylist()):
-            left = deletes(token) | (long_keys(token) if len(token) + 2 > MAX_TOKEN else set())
+            left = left_of(token)
             keys += left
             rows += [k] * len(left)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(c.take(pa.array(rows, pa.int64())) for c in batch.columns)], ["left", "token", "n", "m"])
@@ -122,6 +133,66 @@ def slip_roots(tokens: DataFrame, words: tuple[str, ...] = ()) -> DataFrame:
     return cut(tokens.select("token").join(found, "token", "left").select("token", F.coalesce("root", "token").alias("root")), "roots")
 
 
+def _post_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, token, asks, tells, n, m) posted under each of its contexts and what is left of its token, in parts of bounded size."""
+    for whole in batches:
+        for batch in (whole.slice(k, 2_000) for k in range(0, whole.num_rows, 2_000)):
+            keys, rows, asking = [], [], []
+            for k, (token, asks, tells) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
+                left = left_of(token)
+                for beside in {*asks, *tells}:
+                    keys += [xxhash.xxh64_intdigest(f"{beside}\0{x}") for x in left]
+                    rows += [k] * len(left)
+                    asking += [beside in asks] * len(left)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), *(batch.column(c).take(at) for c in (0, 1, 4, 5)), pa.array(asking, pa.bool_())], ["left", "id", "token", "n", "m", "asking"])
+
+
+def _near_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = list(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()))
+        d = [slips(a, b) for a, b in pairs]
+        ok = pa.array([k <= min(slips_allowed(len(a)), slips_allowed(len(b))) for k, (a, b) in zip(d, pairs)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(4), pa.array(d, pa.int32())], ["id", "other", "m", "slips"]).filter(ok)
+
+
+def roots_beside(nodes: DataFrame) -> DataFrame:
+    """nodes: (id, token, asks, tells, n companions of the token, m spellings), one row an id. (id, root): the token its slips lead to; its own without any.
+
+    A token is a slip of the nearest one, of those that tell a context it asks for, that is in more spellings.
+    One with ATTESTED companions or more is nobody's slip, unless the other has five times as many.
+    """
+    nodes = nodes.select("id", "token", "asks", "tells", F.col("n").cast("long"), F.col("m").cast("long"))
+    posted = cut(nodes.mapInArrow(_post_beside, "left long, id string, token string, n long, m long, asking boolean"), "posted")
+    x = posted.where("asking").select("left", F.col("id").alias("x"), F.col("token").alias("tx"), F.col("n").alias("nx"), F.col("m").alias("mx"))
+    better = (F.col("m") > F.col("mx")) | ((F.col("m") == F.col("mx")) & (F.col("token") < F.col("tx")))
+    pairs = x.join(posted, "left").where((F.col("tx") != F.col("token")) & ((F.col("nx") < ATTESTED) | (F.col("nx") * 5 <= F.col("n"))) & better).groupBy("x", "tx", "id", "token").agg(F.max("m").alias("m"))
+    near = pairs.mapInArrow(_near_beside, "id string, other string, m long, slips int")
+    best = near.groupBy("id").agg(F.min(F.struct("slips", (-F.col("m")).alias("few"), "other")).alias("b")).select("id", F.col("b.other").alias("other"))
+    groups = connected_components(cut(best, "slips"), "id", "other")
+    roots = groups.join(nodes.select("id", "token", "m"), "id").groupBy("group_id").agg(F.min(F.struct((-F.col("m")).alias("few"), "token")).alias("r"))
+    found = groups.join(roots, "group_id").select("id", F.col("r.token").alias("root"))
+    return cut(nodes.select("id", "token").join(found, "id", "left").select("id", F.coalesce("root", "token").alias("root")), "roots")
+
+
+def word_roots(counts: DataFrame, ordinary: int) -> DataFrame:
+    """counts: (token, n companions, m spellings). (token, root, ordinary): an ordinary word has so many companions or is a fixed one; a slip of one leads to it, any other token to itself."""
+    fixed = sorted(KINDS | SCOPES)
+    words = counts.where((F.col("n") >= ordinary) | F.col("token").isin(*fixed)).select("token", F.col("n").cast("long"), F.col("m").cast("long"))
+    post = lambda df: df.select("token", F.col("n").cast("long"), F.col("m").cast("long")).mapInArrow(_post, "left string, token string, n long, m long")
+    rare = post(counts).select("left", F.col("token").alias("x"), F.col("n").alias("nx"), F.col("m").alias("mx"))
+    better = (F.col("m") > F.col("mx")) | ((F.col("m") == F.col("mx")) & (F.col("token") < F.col("x")))
+    pairs = rare.join(F.broadcast(cut(post(words), "words")), "left").where((F.col("x") != F.col("token")) & ((F.col("nx") < ATTESTED) | (F.col("nx") * 5 <= F.col("n"))) & better)
+    near = pairs.select("x", "token", F.col("m").alias("n")).distinct().mapInArrow(_near, "token string, other string, n long, slips int")
+    best = cut(near.groupBy("token").agg(F.min(F.struct("slips", (-F.col("n")).alias("few"), "other")).alias("b")).select("token", F.col("b.other").alias("other")), "slips")
+    # A word may be a slip of another.
+    groups = connected_components(best, "token", "other")
+    roots = groups.join(words.select(F.col("token").alias("id"), "m"), "id").groupBy("group_id").agg(F.min(F.struct((-F.col("m")).alias("few"), "id")).alias("r"))
+    found = groups.join(roots, "group_id").select(F.col("id").alias("token"), F.col("r.id").alias("root"))
+    known = words.select("token", F.lit(True).alias("word"))
+    return cut(counts.select("token").join(found, "token", "left").join(known, "token", "left").select("token", F.coalesce("root", "token").alias("root"), (F.col("root").isNotNull() | F.col("word").isNotNull()).alias("ordinary")), "roots")
+
+
 def normal(c):
     """Lower case, trimmed, inner blanks one space; null as ''."""
     c = F.lower(F.coalesce(c, F.lit("")))
@@ -260,9 +331,9 @@ def _assigned(least: float):
 
 
 def _fullest(keyed: DataFrame) -> DataFrame:
-    """(key, rep, rep_tokens): of each key a spelling without slips if there is one, of these the one with most letters in its tokens, then the least."""
+    """(key, rep, rep_tokens): of each key a spelling without slips if there is one, of these the one with most letters in its tokens, then the fewest tokens, then the least."""
     size = F.length(F.array_join("tokens", ""))
-    return keyed.groupBy("key").agg(F.min(F.struct((~F.col("plain")).alias("slipped"), (-size).alias("few"), F.col("name").alias("rep"), F.col("tokens").alias("rep_tokens"))).alias("m")).select("key", "m.rep", "m.rep_tokens")
+    return keyed.groupBy("key").agg(F.min(F.struct((~F.col("plain")).alias("slipped"), (-size).alias("few"), F.size("tokens").alias("cuts"), F.col("name").alias("rep"), F.col("tokens").alias("rep_tokens"))).alias("m")).select("key", "m.rep", "m.rep_tokens")
 
 
 def _linked(keyed: DataFrame, least: float) -> DataFrame:
@@ -294,32 +365,63 @@ def _one_for_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
+def _post_told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, tokens, own) posted under the number of its tokens and each distinctive one, and under what slips leave of that with each other token."""
+    for whole in batches:
+        for batch in (whole.slice(k, 2_000) for k in range(0, whole.num_rows, 2_000)):
+            keys, rows = [], []
+            for k, (tokens, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                tokens = [w for w in tokens if w not in SCOPES]
+                for at in own:
+                    told = {f"{len(tokens)}\0{at}", *(f"{len(tokens)}\0{x}\0{w}" for x in left_of(at) for w in set(tokens) if w != at)}
+                    keys += map(xxhash.xxh64_intdigest, told)
+                    rows += [k] * len(told)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), batch.column(0).take(pa.array(rows, pa.int64()))], ["at", "rep"])
+
+
 def org_links(comments: DataFrame, org_col: str) -> DataFrame:
     """(a, b): spellings of one organisation, each linked to a fuller one. Nulls, blanks and placeholders name nobody."""
     names = comments.select(normal(F.col(org_col)).alias("name")).where(~F.col("name").isin(*PLACEHOLDERS)).distinct()
     parts = cut(names.mapInArrow(_org_parts, "name string, tokens array<string>, longest string").where(F.size("tokens") > 0), "orgs")
     counts = cut(parts.select(F.explode("tokens").alias("token"), "longest").groupBy("token").agg(F.count_distinct("longest").alias("n"), F.count(F.lit(1)).alias("m")), "counts")
-    roots = slip_roots(counts).join(counts.select(F.col("token").alias("root"), F.col("n").alias("rn")), "root")
-    fixed = sorted(KINDS | SCOPES)
-    ordinary = roots.select("token", "root", ((F.col("rn") >= ATTESTED) | F.col("root").isin(*fixed)).alias("ordinary"))
+    ordinary = word_roots(counts, max(ATTESTED, parts.select("longest").distinct().count() // ORDINARY))
     placed = parts.select("name", F.posexplode("tokens").alias("pos", "token")).join(ordinary, "token")
     own = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("ordinary"), F.struct("pos", "token")))), lambda x: x["token"]), "")
     common = F.array_join(F.array_sort(F.collect_set(F.when(F.col("ordinary") & ~F.col("root").isin(*sorted(SCOPES)), F.col("root")))), " ")
-    shaped = cut(placed.groupBy("name").agg(own.alias("own"), common.alias("common")), "shaped")
-    stems = slip_roots(shaped.where("own <> ''").groupBy(F.col("own").alias("token")).agg(F.count_distinct("common").alias("n"), F.count(F.lit(1)).alias("m")))
-    keyed = shaped.join(stems.withColumnRenamed("token", "own"), "own", "left").select("name", F.concat_ws("|", F.coalesce("root", F.lit("")), "common").alias("key"))
+    shaped = cut(placed.groupBy("name").agg(own.alias("own"), common.alias("common")).withColumn("id", F.concat_ws("|", "own", "common")), "shaped")
+    stems = shaped.where("own <> ''").groupBy("id", F.col("own").alias("token"), F.array("common").alias("asks"), F.array("common").alias("tells")).agg(F.count(F.lit(1)).alias("m"))
+    stems = roots_beside(stems.join(stems.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token"))
+    keyed = shaped.join(stems, "id", "left").select("name", F.concat_ws("|", F.coalesce("root", F.lit("")), "common").alias("key"))
     keyed = cut(keyed.join(parts.select("name", "tokens"), "name").withColumn("plain", F.lit(True)), "keyed")
-    # Keys that share a distinctive token (few others go with it, so few keys do): one organisation if their tokens pair off.
+    # Keys that share a distinctive token (few others go with it, so few keys do), or a slip of one and another token: one organisation if their tokens pair off.
     reps = cut(_fullest(keyed), "reps")
     told = reps.select("rep", "rep_tokens", F.explode("rep_tokens").alias("token")).join(ordinary, "token")
-    told = cut(told.groupBy("rep").agg(F.first("rep_tokens").alias("tokens"), F.collect_set(F.when(~F.col("ordinary"), F.col("root"))).alias("own"), F.collect_set(F.when(F.col("ordinary"), F.col("token"))).alias("known")), "told")
-    posted = told.select("rep", "tokens", "known", F.explode("own").alias("at"))
-    x, y = (posted.select("at", *(F.col(c).alias(f"{c}_{k}") for c in ("rep", "tokens", "known"))) for k in "ab")
-    near = x.join(y, "at").where(F.col("rep_a") < F.col("rep_b")).select("rep_a", "rep_b", "tokens_a", "tokens_b", F.concat("known_a", "known_b").alias("known")).dropDuplicates(["rep_a", "rep_b"])
+    told = cut(told.groupBy("rep").agg(F.first("rep_tokens").alias("tokens"), F.collect_set(F.when(~F.col("ordinary"), F.col("token"))).alias("own"), F.collect_set(F.when(F.col("ordinary"), F.col("token"))).alias("known")), "told")
+    posted = cut(told.mapInArrow(_post_told, "at long, rep string"), "posted")
+    x, y = (posted.select("at", F.col("rep").alias(f"rep_{k}")) for k in "ab")
+    near = x.join(y, "at").where(F.col("rep_a") < F.col("rep_b")).select("rep_a", "rep_b").distinct()
+    for k in "ab":
+        near = near.join(told.select(*(F.col(c).alias(f"{c}_{k}") for c in ("rep", "tokens", "known"))), f"rep_{k}")
+    near = near.select("rep_a", "rep_b", "tokens_a", "tokens_b", F.concat("known_a", "known_b").alias("known"))
     merged = near.mapInArrow(_one_for_one, "a string, b string")
     return _linked(keyed, 0.6).unionByName(merged)
 
 
+def _meant(at: DataFrame, by: str, bare) -> DataFrame:
+    """at with g the full given name meant, where just one attested with the same by can be called so, and k how many can (null for none).
+
+    Initials and nicknames (bare) may stand for it; a beginning of it may that has under ATTESTED companions, or a fifth of its companions.
+    """
+    full = at.where(~bare).select(by, "generation", F.col("g").alias("full"), F.col("gn").alias("fn")).distinct()
+    forms = full.select("full").distinct().mapInArrow(_forms, "full string, form string, listed boolean")
+    asked = at.select(by, "generation", F.col("g").alias("form"), bare.alias("listed"), "gn").distinct()
+    meant = asked.join(full.join(forms, "full"), [by, "generation", "form", "listed"]).where(F.col("listed") | (F.col("gn") < ATTESTED) | (F.col("gn") * 5 <= F.col("fn")))
+    meant = meant.groupBy(by, "generation", F.col("form").alias("g")).agg(F.count_distinct("full").alias("k"), F.min("full").alias("full"), F.max("fn").alias("fn"))
+    left = [c for c in at.columns if c not in ("g", "gn", "k")]
+    told = lambda c, other: F.when(F.col("k") == 1, F.col(c)).otherwise(F.col(other)).alias(other)
+    return at.join(meant, [by, "generation", "g"], "left").select(*left, told("full", "g"), told("fn", "gn"), "k")
+
+
 def person_links(comments: DataFrame, first_col: str, last_col: str) -> DataFrame:
     """(a, b): spellings first|last of one person, each linked to a fuller one. Names of fewer than two words name nobody."""
     names = comments.select(F.concat(normal(F.col(first_col)), F.lit("|"), normal(F.col(last_col))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
@@ -332,23 +434,25 @@ def person_links(comments: DataFrame, first_col: str, last_col: str) -> DataFram
         parts = parts.join(stands.select(F.col("token").alias(part), F.col("known").alias(f"{part}_known"), F.col("lean").alias(f"{part}_lean")), part, "left")
     turned = F.coalesce(F.col("surname_known") & (F.col("surname_lean") > 0) & (~F.col("given_known") | (F.col("given_lean") < 0)), F.lit(False))
     parts = cut(parts.select("name", F.when(turned, F.col("surname")).otherwise(F.col("given")).alias("given"), F.when(turned, F.col("given")).otherwise(F.col("surname")).alias("surname"), "generation", "tokens"), "persons")
-    sur = parts.groupBy(F.col("surname").alias("token")).agg(F.count_distinct("given").alias("n"), F.count(F.lit(1)).alias("m"))
-    giv = parts.where(F.length("given") > 1).groupBy(F.col("given").alias("token")).agg(F.count_distinct("surname").alias("n"), F.count(F.lit(1)).alias("m"))
-    sur_roots = slip_roots(cut(sur, "surnames")).select(F.col("token").alias("surname"), F.col("root").alias("s"))
-    giv_roots = slip_roots(cut(giv, "givens"), tuple(sorted({*FORMAL, *NICKNAMES}))).select(F.col("token").alias("given"), F.col("root").alias("g"))
-    at = cut(parts.join(sur_roots, "surname").join(giv_roots, "given", "left").withColumn("g", F.coalesce("g", "given")), "at")
-    nick = F.col("g").isin(*sorted(FORMAL))
-    bare = (F.length("g") == 1) | nick
-    rare = giv.where(F.col("n") < ATTESTED).select(F.col("token").alias("g"), F.lit(True).alias("rare"))
-    at = cut(at.join(rare, "g", "left").withColumn("rare", F.coalesce("rare", F.lit(False)) & ~bare), "at")
-    full = at.where(~bare).select("s", "generation", F.col("g").alias("full")).distinct()
-    forms = full.select("full").distinct().mapInArrow(_forms, "full string, form string, listed boolean")
-    called = full.join(forms, "full")
-    asked = at.where(bare | F.col("rare")).select("s", "generation", F.col("g").alias("form"), bare.alias("listed")).distinct()
-    meant = asked.join(called, ["s", "generation", "form", "listed"]).groupBy("s", "generation", "form").agg(F.count_distinct("full").alias("k"), F.min("full").alias("full")).where("k = 1")
+    giv = cut(parts.where(F.length("given") > 1).groupBy(F.col("given").alias("token")).agg(F.count_distinct("surname").alias("n"), F.count(F.lit(1)).alias("m")), "givens")
+    giv_roots = slip_roots(giv, tuple(sorted({*FORMAL, *NICKNAMES}))).select(F.col("token").alias("given"), F.col("root").alias("g"))
+    at = parts.join(giv_roots, "given", "left").withColumn("g", F.coalesce("g", "given"))
+    at = cut(at.join(giv.select(F.col("token").alias("g"), F.col("n").alias("gn")), "g", "left"), "at")
+    bare = (F.length("g") == 1) | F.col("g").isin(*sorted(FORMAL))
+    at = cut(_meant(at, "surname", bare), "at")
+    nodes = at.groupBy("surname", "g").agg(F.count(F.lit(1)).alias("m"), F.max("k").alias("k")).withColumn("id", F.concat_ws("|", "surname", "g"))
+    nodes = nodes.join(at.groupBy("surname").agg(F.count_distinct("given").alias("n")), "surname")
+    formal = F.create_map(*[x for nick_, fulls in sorted(FORMAL.items()) for x in (F.lit(nick_), F.array(*map(F.lit, [nick_, *fulls])))])
+    initial, beginning = F.concat(F.substring("g", 1, 1), F.lit(".")), F.concat(F.substring("g", 1, 3), F.lit("-"))
+    named = F.try_element_at(formal, F.col("g"))
+    # What several given names of its own surname may be called belongs to one of them, not to a near surname.
+    asks = F.when((F.col("k") > 1) & bare, F.array().cast("array<string>")).when(F.length("g") == 1, F.array(initial)).otherwise(F.coalesce(named, F.array("g", beginning)))
+    tells = F.when(F.length("g") == 1, F.array(initial)).otherwise(F.coalesce(named, F.array("g", beginning, initial)))
+    sur_roots = roots_beside(nodes.select("id", F.col("surname").alias("token"), asks.alias("asks"), tells.alias("tells"), "n", "m"))
+    at = cut(at.withColumn("id", F.concat_ws("|", "surname", "g")).join(sur_roots, "id").withColumnRenamed("root", "s"), "at")
+    keyed = _meant(at.drop("k"), "s", bare)
     first_formal = F.create_map(*[F.lit(x) for nick_, fulls in sorted(FORMAL.items()) for x in (nick_, fulls[0])])
-    keyed = at.withColumn("form", F.when(bare | F.col("rare"), F.col("g"))).join(meant.drop("k"), ["s", "generation", "form"], "left")
-    keyed = keyed.withColumn("g", F.coalesce("full", F.try_element_at(first_formal, F.col("g")), F.col("g")))
+    keyed = keyed.withColumn("g", F.coalesce(F.try_element_at(first_formal, F.col("g")), F.col("g")))
     keyed = keyed.select("name", F.concat_ws("|", "s", "g", "generation").alias("key"), "tokens", ((F.col("given") == F.col("g")) & (F.col("surname") == F.col("s"))).alias("plain"))
     return _linked(cut(keyed, "keyed"), 0.5)
 

@@ -82,3 +82,37 @@ def test_long_tokens_with_slips(spark):
     rows = [(f"{w} Dairy Council",) for w in (long_, long_, swapped, long_[:10] + long_[12:])]
     df = spark.createDataFrame([(*r, None, None) for r in rows], "organization string, submitter_first string, submitter_last string")
     assert name_variants(df).count() == 3
+
+
+def test_pieces_that_recur_in_many_names_are_no_ordinary_words(spark):
+    """In a larger table a piece of an invented word goes with many others; its names still meet when typed in one word and in two."""
+    import random
+
+    rng = random.Random(3)
+    others = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(7000)]
+    tails = ["thomvo", "krelpu", "sindra", "gofbey", "lutzmi", "charno"]
+    typed = [f"{a} dairy council" for t in tails for a in (f"wammu{t}", f"wammu {t}")]
+    df = spark.createDataFrame([(f"{x} {('dairy', 'river', 'timber')[k % 3]} council", None, None) for k, x in enumerate(others)] + [(x, None, None) for x in typed], "organization string, submitter_first string, submitter_last string")
+    got = {tuple(r) for r in name_variants(df).collect()}
+    assert {("org", f"wammu {t} dairy council", f"wammu{t} dairy council") for t in tails} == {x for x in got if "wammu" in x[1]}
+
+
+def test_near_surnames_of_others_leave_initials_told(spark):
+    """Surnames lie within slips of each other in a larger table; an initial is told by the names of its own surname."""
+    people = [("Deborah", "branfendel"), ("D.", "branfendel"), ("Dr. Deborah", "branfendel"), ("Debbie", "branfendle"), ("David", "branfendol"), ("David", "branfendol, esq."), ("David B.", "branfendol"), ("Dr. David", "branfendol")]
+    df = spark.createDataFrame([(None, *x) for x in people], "organization string, submitter_first string, submitter_last string")
+    got = {tuple(r) for r in name_variants(df).collect()}
+    want = set()
+    for own in (people[:4], people[4:]):
+        low = sorted("|".join(x).lower() for x in own)
+        want |= {("person", a, b) for k, a in enumerate(low) for b in low[k + 1 :]}
+    assert got == want
+
+
+def test_slip_beside_an_abbreviation_in_no_list(spark):
+    stems = [x.title() for x in names(12, 4)]
+    orgs = [f"{s} Watershed Conservancy" for s in stems[:6]] + [f"{s} Teamsters Chapter" for s in stems[6:]]
+    s0 = stems[0]
+    typed = f"{s0[:4]}{s0[5:]} Watershed Conserv."
+    df = spark.createDataFrame([(o, None, None) for o in [*orgs, typed]], "organization string, submitter_first string, submitter_last string")
+    assert {tuple(r) for r in name_variants(df).collect()} == {("org", *sorted((orgs[0].lower(), typed.lower())))}
