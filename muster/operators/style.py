@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import re
+import sys
+import unicodedata
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from muster.functions import text as T
 from muster.functions.fixed import DISCOURSE_MARKERS, FUNCTION_WORDS, GENERATED_WORDS, MARKS
+from muster.plans.lineage import cut
 
 BY = ["run_id", "cluster"]
 
@@ -75,8 +87,7 @@ def function_word_chi2(texts: DataFrame, docket: str) -> DataFrame:
     return rows.select("id", F.aggregate("rates", F.lit(0.0), lambda a, x: a + term(x)).alias("chi2"))
 
 
-@F.pandas_udf(DoubleType())
-def mtld(words: pd.Series) -> pd.Series:
+def word_runs(ws: list[str]) -> float:
     """Mean length of runs of words that keep a type-token ratio of 0.72, forwards and backwards; 0 under 50 words."""
 
     def one(ws) -> float:
@@ -90,7 +101,12 @@ def mtld(words: pd.Series) -> pd.Series:
             runs += (1 - len(seen) / n) / (1 - 0.72)
         return len(ws) / runs if runs else float(len(ws))
 
-    return words.map(lambda ws: 0.0 if len(ws) < 50 else (one(list(ws)) + one(list(ws)[::-1])) / 2)
+    return 0.0 if len(ws) < 50 else (one(ws) + one(ws[::-1])) / 2
+
+
+@F.pandas_udf(DoubleType())
+def mtld(words: pd.Series) -> pd.Series:
+    return words.map(lambda ws: word_runs(list(ws)))
 
 
 CLOSED = {"DET": "a an the this that these those every any all", "PRON": "i you he she it we they me him her us them my your his its our their who which what", "ADP": "of in on at by for with from to into upon down up about over under", "CONJ": "and or but so if because while although when than as until unless", "AUX": "be been is are was were am do does did has have had can could will would shall should may might must", "ADV": "not now only also even more so then there"}
@@ -98,28 +114,179 @@ ENDINGS = (("ly", "ADV"), ("ing", "VERB"), ("ed", "VERB"), ("tion", "NOUN"), ("m
 _TAG = {w: tag for tag, ws in CLOSED.items() for w in ws.split()}
 
 
+def word_class(w: str) -> str:
+    return _TAG.get(w) or next((t for end, t in ENDINGS if w.endswith(end)), "NOUN")
+
+
 @F.pandas_udf(DoubleType())
 def pos_entropy(words: pd.Series) -> pd.Series:
     """Entropy of word classes by a closed list and endings; a tagger may be put in its place."""
-    import math
-    from collections import Counter
-
-    def tag(w: str) -> str:
-        return _TAG.get(w) or next((t for end, t in ENDINGS if w.endswith(end)), "NOUN")
-
-    def one(ws) -> float:
-        c = Counter(map(tag, ws))
-        n = sum(c.values())
-        return -sum(k / n * math.log2(k / n) for k in c.values()) if n else 0.0
-
-    return words.map(one)
+    return words.map(lambda ws: bits(Counter(map(word_class, ws)).values()))
+
+
+def bits(counts) -> float:
+    """Shannon entropy of counts; 0 when there are none."""
+    n = sum(counts)
+    return -sum(k / n * math.log2(k / n) for k in counts if k) if n else 0.0
+
+
+@functools.cache
+def letters() -> re.Pattern:
+    """Runs of letters, as \\p{L}+ elsewhere."""
+    runs: list[list[int]] = []
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c))[0] == "L":
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]+")
+
+
+_ASCII, _VOWELS, _ENDS = re.compile("[a-z]+"), re.compile("[aeiouy]+"), re.compile("[.!?]+[ \t\n\x0b\f\r\xa0]+")
+_BLANK = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_FUNCTION = {w: k for k, w in enumerate(FUNCTION_WORDS)}
+_MEMO: dict[str, tuple] = {}
+#: What text_features works out of a text alone, and what it adds for the whole matrix.
+ALONE = ["burstiness_sent", "sent_len_cv", "ttr", "avg_word_len", "punct_entropy", "emdash_rate", "flesch_kincaid", "coleman_liau", "gunning_fog", "discourse_marker_rate", "llmism_rate", "yule_k", "hapax_ratio", "char_entropy", "clause_depth", "pos_entropy"]
+MORE = ["mtld", "zlib_ratio"]
+
+
+def words_of(low: str) -> list[str]:
+    return (_ASCII if low.isascii() else letters()).findall(low)
+
+
+def _known(w: str) -> tuple:
+    """(length, syllables, hard, class, discourse marker, typical of generated text, number among the function words or -1)."""
+    k = _MEMO.get(w)
+    if k is None:
+        if len(_MEMO) > 300_000:
+            _MEMO.clear()
+        v = len(_VOWELS.findall(w))
+        k = _MEMO[w] = (len(w), max(1, v), int(v >= 3), word_class(w), int(w in DISCOURSE_MARKERS), int(w in GENERATED_WORDS), _FUNCTION.get(w, -1))
+    return k
+
+
+def _trigram_entropy(low: str) -> float:
+    c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    g = np.sort(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+    if not len(g):
+        return 0.0
+    at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
+    n = np.diff(at).astype(float)
+    return math.log2(len(g)) - float((n * np.log2(n)).sum()) / len(g)
+
+
+def _of_text(low: str) -> tuple[list[float], list[str], list[int]] | None:
+    """(features ALONE, words, counts of function words) of a text in small letters; None where it has no word."""
+    sents = [s for s in _ENDS.split(low) if s.strip(_BLANK)]
+    find = (_ASCII if low.isascii() else letters()).findall
+    w, sl = [], []
+    for s in sents:
+        found = find(s)
+        w += found
+        sl.append(float(len(found)))
+    if not w:
+        return None
+    n, sn = float(len(w)), float(max(1, len(sl)))
+    mean = sum(sl) / len(sl)
+    sd = math.sqrt(sum((x - mean) * (x - mean) for x in sl) / len(sl))
+    few = len(sl) < 2
+    counts = Counter(w)
+    chars = syllables = hard = markers = generated = squares = once = 0
+    classes, o = Counter(), [0] * len(FUNCTION_WORDS)
+    for x, c in counts.items():
+        length, syl, is_hard, cls, marker, gen, f = _known(x)
+        chars += length * c
+        syllables += syl * c
+        hard += is_hard * c
+        classes[cls] += c
+        markers += marker * c
+        generated += gen * c
+        squares += c * c
+        once += c == 1
+        if f >= 0:
+            o[f] = c
+    depth = sum(min(200, 1 + s.count(",") + s.count(";") + s.count("(") + s.count("[")) for s in sents) / len(sents)
+    return [
+        0.0 if few or sd + mean == 0 else (sd - mean) / (sd + mean),
+        0.0 if few or mean == 0 else sd / mean,
+        len(counts) / n,
+        chars / n,
+        bits([low.count(m) for m in MARKS]),
+        low.count("—") / n,
+        0.39 * n / sn + 11.8 * syllables / n - 15.59,
+        5.8 * chars / n - 29.6 * sn / n - 15.8,
+        0.4 * (n / sn + 100 * hard / n),
+        markers / n,
+        generated / n,
+        10000 * (squares - n) / (n * n) if n >= 10 else 0.0,
+        once / len(counts),
+        _trigram_entropy(low),
+        depth,
+        bits(classes.values()),
+    ], w, o
+
+
+def text_features(texts: DataFrame, docket: str, more: bool = False) -> DataFrame:
+    """texts: id, text and the docket. (id, docket, n words, o counts of the function words, ALONE and, if asked for, MORE), a row for each text with a word.
+
+    Each text is read once and its words taken once for all the features, so no words are spread over rows.
+    """
+    cols = ALONE + MORE * more
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, keep = [], []
+            raw = b.column(3).to_pylist() if more else None
+            for k, low in enumerate(b.column(2).to_pylist()):
+                if (found := _of_text(low)) is None:
+                    continue
+                f, w, o = found
+                if more:
+                    data = raw[k].encode()
+                    f += [word_runs(w), len(zlib.compress(data)) / len(data)]
+                rows.append((len(w), o, f))
+                keep.append(k)
+            keep = pa.array(keep, pa.int32())
+            f = np.array([r[2] for r in rows], float).reshape(-1, len(cols))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int32())), *(pa.array(f[:, k]) for k in range(len(cols)))], names=["id", docket, "n", "o", *cols])
+
+    kinds = dict(texts.dtypes)
+    return texts.select("id", docket, F.lower("text").alias("low"), *["text"] * more).mapInArrow(run, f"id {kinds['id']}, {docket} {kinds[docket]}, n int, o array<int>, " + ", ".join(f"{c} double" for c in cols))
+
+
+def function_words_chi2(features: DataFrame, docket: str) -> DataFrame:
+    """features of text_features with chi2: as function_word_chi2, from the counts of each text; 0 without a docket."""
+    width = len(FUNCTION_WORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                key = b.column(0).dictionary_encode()
+                at, n = key.indices.to_numpy(zero_copy_only=False), len(key.dictionary)
+                sums = np.zeros((n, width + 1), np.int64)
+                np.add.at(sums, at, np.column_stack((b.column(1).to_numpy(), b.column(2).flatten().to_numpy().reshape(-1, width))))
+                yield pa.RecordBatch.from_arrays([key.dictionary, pa.array(list(sums), pa.list_(pa.int64()))], names=[docket, "s"])
+
+    kind = dict(features.dtypes)[docket]
+    sums = features.where(F.col(docket).isNotNull()).select(docket, "n", "o").mapInArrow(run, f"{docket} {kind}, s array<long>")
+    total = sums.select(docket, F.posexplode("s").alias("i", "c")).groupBy(docket, "i").agg(F.sum("c").alias("c")).groupBy(docket).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("s"))
+    rates = total.select(docket, F.transform(F.slice("s", 2, width), lambda c: c / F.element_at("s", 1)).alias("rates"))
+    term = lambda p, o: F.when(p * F.col("n") > 0.5, (o - p * F.col("n")) * (o - p * F.col("n")) / (p * F.col("n"))).otherwise(0.0)
+    chi2 = F.aggregate(F.zip_with("rates", "o", term), F.lit(0.0), lambda a, x: a + x)
+    return features.join(rates, docket, "left").select(*features.columns, F.coalesce(chi2, F.lit(0.0)).alias("chi2"))
 
 
 def impute(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Null, NaN and infinite values as their column's median."""
+    """Null, NaN and infinite values as their column's median, worked out for the columns that have such values."""
     fine = df.select(*[c for c in df.columns if c not in cols], *[T.finite(F.col(c)).alias(c) for c in cols])
-    med = fine.agg(*[F.median(c).alias(f"m_{c}") for c in cols])
-    return fine.crossJoin(F.broadcast(med)).select(*[c for c in df.columns if c not in cols], *[F.coalesce(c, f"m_{c}").alias(c) for c in cols])  # med is one row
+    lacking = fine.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    med = [c for c in cols if lacking[c]]
+    if not med:
+        return fine
+    one = fine.agg(*[F.median(c).alias(f"m_{c}") for c in med])
+    return fine.crossJoin(F.broadcast(one)).select(*[c for c in df.columns if c not in cols], *[F.coalesce(c, f"m_{c}").alias(c) if c in med else F.col(c) for c in cols])  # one row
 
 
 def standardise(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -132,8 +299,8 @@ def tightness(df: DataFrame, cols: list[str], full_size: float = 20.0) -> DataFr
 
     Variances of the rest come from the run's moments less the cluster's, so no row is read twice.
     """
-    long = df.select(*BY, F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("x")) for c in cols])).alias("e")).select(*BY, "e.f", "e.x")
-    part = long.groupBy(*BY, "f").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    wide = df.groupBy(*BY).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{c}") for c in cols], *[F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in cols])
+    part = wide.select(*BY, "n", F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(f"s_{c}").alias("s"), F.col(f"q_{c}").alias("q")) for c in cols])).alias("e")).select(*BY, "n", "e.f", "e.s", "e.q")
     w = Window.partitionBy("run_id", "f")
     part = part.withColumn("run_n", F.sum("n").over(w)).withColumn("run_s", F.sum("s").over(w)).withColumn("run_q", F.sum("q").over(w))
     part = part.where("cluster <> -1 AND n >= 3")

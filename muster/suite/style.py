@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from muster.functions import text as T
 from muster.functions.fixed import DISCOURSE_MARKERS, FUNCTION_WORDS, GENERATED_WORDS, MARKS
 from muster.operators import style
+from muster.plans.lineage import cut
 from muster.suite.base import Tables, nested, query, view
 from muster.suite.text import zlib_ratio
 
@@ -117,21 +118,23 @@ _ADDED = {"yule_k": ("st4_yule_k", "yule_k"), "hapax_ratio": ("st5_hapax", "hapa
 MATRIX = f"{FEATS}, " + ", ".join(f"a_{k} AS ({nested(q)})" for k, (q, _) in _ADDED.items()) + ", mx AS (SELECT ft.*, " + ", ".join(f"coalesce(a_{k}.{c}, 0.0) AS {k}" for k, (_, c) in _ADDED.items()) + " FROM ft " + " ".join(f"LEFT JOIN a_{k} ON a_{k}.id = ft.id" for k in _ADDED) + ")"
 
 
+def text_matrix(t: Tables, more: bool) -> DataFrame:
+    """Each text's features are worked out once and kept, as what stands on them reads them several times."""
+    f = cut(style.text_features(t.tx.select("id", "docket_id", "text"), "docket_id", more), "features")
+    places = {"yule_k": 6, "hapax_ratio": 6, "char_entropy": 6, "pos_entropy": 6}
+    m = style.function_words_chi2(f, "docket_id").withColumn("fw_chi2", F.round("chi2", 5))
+    return m.select("id", *[F.round(c, places[c]).alias(c) if c in places else F.col(c) for c in (ALL_COLS if more else STYLE_COLS)])
+
+
 @view
 def matrix(t: Tables) -> DataFrame:
     """(id, the 17 style features that SQL has); a feature a text is too short for is 0."""
-    works = {"st4_yule_k": st4_yule_k, "st5_hapax": st5_hapax, "st8_trigram_entropy": st8_trigram_entropy, "st11_function_word_chi2": st11_function_word_chi2, "st15_clause_depth": st15_clause_depth}
-    m = t.feats.withColumn("pos_entropy", F.round(style.pos_entropy("w"), 6)).drop("w")
-    for k, (q, c) in _ADDED.items():
-        if q in works:
-            m = m.join(works[q](t).select("id", F.col(c).alias(k)), "id", "left").withColumn(k, F.coalesce(k, F.lit(0.0)))
-    return m.select("id", *STYLE_COLS)
+    return text_matrix(t, False)
 
 
 @view
 def full_matrix(t: Tables) -> DataFrame:
-    more = t.tx.select("id", style.mtld(T.words(F.col("text"))).alias("mtld"), zlib_ratio("text").alias("zlib_ratio"))
-    return t.matrix.join(more, "id")
+    return text_matrix(t, True)
 
 
 @query(f", {MATRIX} SELECT id, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / (stddev_pop({c}) OVER () + 1e-9), 5) AS {c}" for c in STYLE_COLS) + " FROM mx")
