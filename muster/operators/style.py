@@ -351,6 +351,85 @@ def surprisal_features(s: DataFrame, by: str = "id") -> DataFrame:
     return a.select(by, c("m1").alias("s_mean"), var.alias("s_var"), skew.alias("s_skew"), kurt.alias("s_kurt"), "d1_mean", (c("d1q") - c("d1_mean") * c("d1_mean")).alias("d1_var"), (c("d2q") - c("d2_mean") * c("d2_mean")).alias("d2_var"), entropy.alias("d2_entropy"), auto.alias("d2_ac"))
 
 
+#: A chunk of texts that are worked on together ends at so many texts or words.
+CHUNK_TEXTS, CHUNK_WORDS = 4_000, 1_000_000
+
+
+def _shape(s: np.ndarray) -> list[float]:
+    """SHAPES of a text's surprisals, four or more."""
+    d1 = np.diff(s)
+    d2 = np.diff(d1)
+    m, v, dm = s.mean(), s.var(), d2.mean()
+    x, dc = s - m, d2 - d2.mean()
+    lo, hi = d2.min(), d2.max()
+    n = np.bincount(np.minimum(9, (d2 - lo) / (hi - lo) * 10).astype(np.int64) if hi > lo else np.zeros(len(d2), np.int64))
+    p = n[n > 0] / len(d2)
+    x2 = x * x
+    return [m, v, (x2 * x).mean() / (v**1.5 + 1e-9), (x2 * x2).mean() / (v * v + 1e-9), d1.mean(), d1.var(), d2.var(), -(p * np.log2(p)).sum() + 0.0, dc[:-1] @ dc[1:] / (dc @ dc + 1e-9)]
+
+
+#: The features that surprisal_features and surprisal_shapes give.
+SHAPES = ["s_mean", "s_var", "s_skew", "s_kurt", "d1_mean", "d1_var", "d2_var", "d2_entropy", "d2_ac"]
+
+
+def surprisal_shapes(texts: DataFrame, k: float = 0.1) -> DataFrame:
+    """texts: id, text. As surprisal_features(surprisal(texts)), by chunks of texts instead of rows of words.
+
+    A task numbers the pairs of words of each chunk and counts them there. The model is summed from
+    these counts, the chunk's pairs get their bits from it, and each text is looked up in its chunk's
+    list. So what is joined grows with the different pairs of a chunk, and no worker holds the model.
+    """
+    kind = dict(texts.dtypes)["id"]
+    id_type = texts.select("id").schema["id"].dataType
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        chunk = TaskContext.get().partitionId() << 32
+        names, id_kind = ["chunk", "id", "codes", "prev", "word", "code", "c"], to_arrow_type(id_type)
+        ids, codes, known, words = [], [], {}, 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal chunk, ids, codes, known, words
+            if ids:
+                n, counts = len(ids), np.bincount(np.concatenate(codes), minlength=len(known))
+                none = lambda t, n=n: pa.nulls(n, t)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(ids, id_kind), pa.array(codes, pa.list_(pa.int32())), none(pa.string()), none(pa.string()), none(pa.int32()), none(pa.int64())], names=names)
+                n = len(known)
+                prev, word = zip(*known)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.nulls(n, id_kind), pa.nulls(n, pa.list_(pa.int32())), pa.array(prev, pa.string()), pa.array(word, pa.string()), pa.array(np.arange(n, dtype=np.int32)), pa.array(counts.astype(np.int64))], names=names)
+            chunk, ids, codes, known, words = chunk + 1, [], [], {}, 0
+
+        for b in batches:
+            for i, low in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                w = words_of(low)
+                if w:
+                    ids.append(i)
+                    codes.append(np.array([known.setdefault(pair, len(known)) for pair in zip(["^", *w], w)], np.int32))
+                    words += len(w)
+                    if len(ids) >= CHUNK_TEXTS or words >= CHUNK_WORDS:
+                        yield from out()
+        yield from out()
+
+    numbered = cut(texts.select("id", F.lower("text").alias("low")).mapInArrow(number, f"chunk long, id {kind}, codes array<int>, prev string, word string, code int, c long"), "numbered")
+    pairs = numbered.where("code IS NOT NULL").select("chunk", "prev", "word", "code", "c")
+    cp = cut(pairs.groupBy("prev", "word").agg(F.sum("c").alias("cp")), "pairs")
+    cw = cp.groupBy("prev").agg(F.sum("cp").alias("cw"))
+    v = cp.agg(F.count_distinct("word").alias("v"))
+    table = cp.join(cw, "prev").crossJoin(F.broadcast(v)).select("prev", "word", (-F.log2((F.col("cp") + k) / (F.col("cw") + k * F.col("v")))).alias("s"))  # v is one row
+    lists = pairs.join(table, ["prev", "word"]).select(F.col("chunk").alias("of"), "code", "s")
+
+    def shapes(mine: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
+        bits = np.empty(len(listed))
+        bits[listed["code"].to_numpy()] = listed["s"].to_numpy()
+        rows = [(i, *_shape(bits[c])) for i, c in zip(mine["id"], mine["codes"]) if len(c) >= 4]
+        return pd.DataFrame(rows, columns=["id", *SHAPES])
+
+    mine = numbered.where("id IS NOT NULL").select("chunk", "id", "codes")
+    return mine.groupBy("chunk").cogroup(lists.groupBy("of")).applyInPandas(shapes, f"id {kind}, " + ", ".join(f"{c} double" for c in SHAPES))
+
+
 def generated_score(df: DataFrame, cols: list[str]) -> DataFrame:
     """df: run_id, cluster and features. (run_id, cluster, n, mean_surprisal, ai_score): spread of each feature in a cluster of three or more against its run's."""
     long = df.select(*BY, F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("x")) for c in cols])).alias("e")).select(*BY, "e.f", "e.x")

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from muster.functions.text import strip
+from muster.plans.lineage import cut
 from muster.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,14 @@ class Tables:
             return VIEWS[name](self)
         return table(self.spark, self.dir, name)
 
+    def kept(self) -> Tables:
+        """These tables with the comments and labels that the signals read worked out once and written; one by one, a query that joins many signals would work them out for each."""
+        out = Tables(self.spark, self.dir)
+        out.cm = cut(self.cm.select("id", "docket_id", "text", "posted_date"), "comments")
+        out.lab = cut(self.lab, "labels")
+        out.ve = cut(self.ve, "vectors")
+        return out
+
 
 VIEWS: dict[str, Callable[[Tables], DataFrame]] = {}
 

@@ -440,6 +440,7 @@ COMPUTED = f"{SIZE}, " + ", ".join(f"g_{k} AS ({nested(q)})" for k, (q, _) in PA
 @view
 def computed(t: Tables) -> DataFrame:
     """Clusters of the last runs with each signal worked out from the texts, times, names and vectors (missing is 0), and their weighted sum."""
+    t = t.kept()
     works = {"ag1_duplicates": ag1_duplicates, "ag10_scan": ag10_scan, "ag9_style": style_suite.ag9_style, "ag14_arguments": ag14_arguments, "ag13_generated_score": style_suite.ag13_generated_score, "ml15_probe": ml15_probe}
     c = t.size
     for k, (q, col) in PARTS.items():

@@ -189,6 +189,6 @@ GENERATED = f"{SHAPE}, lf AS (" + " UNION ALL ".join(f"SELECT run_id, cluster, '
 @query(f", {GENERATED} SELECT run_id, cluster, n, mean_surprisal, ai_score, CASE WHEN ai_score > 0.6 THEN 'ai_likely' WHEN ai_score > 0.3 THEN 'uncertain' ELSE 'human_likely' END AS label FROM ai")
 def ag13_generated_score(t: Tables) -> DataFrame:
     """How much less each cluster's nine surprisal features vary than its run's, with label; all members and the whole run count, not samples."""
-    f = style.surprisal_features(style.surprisal(t.tx.select("id", "text"))).join(t.lab, "id")
+    f = cut(style.surprisal_shapes(t.tx.select("id", "text")), "shapes").join(t.lab, "id")
     s = style.generated_score(f, SHAPE_COLS)
     return s.select("*", F.when(F.col("ai_score") > 0.6, "ai_likely").when(F.col("ai_score") > 0.3, "uncertain").otherwise("human_likely").alias("label"))
