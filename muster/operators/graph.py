@@ -40,10 +40,12 @@ def near_groups(sets: DataFrame, id_col: str, set_col: str, threshold: float) ->
     """
     hashed = F.array_sort(F.transform(set_col, lambda x: F.xxhash64(x)))
     held = cut(sets.select(F.col(id_col).alias("id"), hashed.alias("s")).withColumn("k", F.md5(F.array_join("s", " "))), "sets")
-    classes = cut(held.groupBy("k").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "classes")
-    reps = held.join(classes.select(F.col("first").alias("id")), "id", "left_semi").select("id", "s")
-    joined = components(similar_sets(reps, "id", "s", threshold), "id_a", "id_b").select(F.col("id").alias("first"), "group_id")
-    named = classes.join(joined, "first", "left").where("n > 1 OR group_id IS NOT NULL").select("k", F.coalesce("group_id", "first").alias("group_id"))
+    classes = cut(held.groupBy("k").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("r", F.monotonically_increasing_id()), "classes")  # numbers are shorter than ids
+    reps = held.join(classes.select(F.col("first").alias("id"), "r"), "id").select("r", "s")
+    joined = components(similar_sets(reps, "r", "s", threshold), "id_a", "id_b").select(F.col("id").alias("r"), F.col("group_id").alias("g"))
+    joined = classes.join(joined, "r", "left").where("n > 1 OR g IS NOT NULL").select("k", "first", F.coalesce("g", "r").alias("g"))
+    least = joined.groupBy("g").agg(F.min("first").alias("group_id"))
+    named = joined.join(least, "g").select("k", "group_id")
     return held.select("id", "k").join(named, "k").select("id", "group_id")
 
 

@@ -24,13 +24,14 @@ def similar_sets(sets: DataFrame, id_col: str, set_col: str, threshold: float) -
 
     Elements are ordered by how rare they are; of a set of n, two similar sets must share one of
     the first n - ceil(threshold * n) + 1, so only those prefixes are joined (and pairs of very
-    different size dropped) before the whole sets are compared.
+    different size dropped) before the whole sets are compared. Elements of one set only stand
+    first in the order and join with nothing, so they are counted, not listed.
     """
-    one = sets.select(F.col(id_col).alias("id"), F.explode(set_col).alias("g"))
-    rare = one.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ranked = one.join(rare, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("s"))
-    ranked = ranked.withColumn("n", F.size("s"))
-    prefix = F.slice("s", F.lit(1), F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1)
+    one = sets.select(F.col(id_col).alias("id"), F.size(set_col).alias("n"), F.explode(set_col).alias("g"))
+    shared = one.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("g"))).where("df >= 2")
+    ranked = shared.groupBy("id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "g"))).alias("s"))
+    first = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
+    prefix = F.slice("s", F.lit(1), F.greatest(F.lit(0), first - (F.col("n") - F.size("s"))))
     heads = ranked.select("id", "n", F.explode(F.transform(prefix, lambda x: x["g"])).alias("g"))
     a, b = (heads.select(F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n{x}"), "g") for x in "ab")
     size = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)

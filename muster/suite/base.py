@@ -40,7 +40,6 @@ class Tables:
         out = Tables(self.spark, self.dir)
         out.cm = cut(self.cm.select("id", "docket_id", "text", "posted_date"), "comments")
         out.lab = cut(self.lab, "labels")
-        out.ve = cut(self.ve, "vectors")
         return out
 
 
